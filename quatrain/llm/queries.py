@@ -27,6 +27,25 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), model_path())
 
 
+def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.golay import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.quality import quality_verdicts
+
+    out = quality_verdicts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.credentials import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.spm_fst import encode_texts
 
@@ -35,6 +54,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op4_simhash_golay": op4_simhash_golay,
+    "op5_quality_mcd": op5_quality_mcd,
+    "op7_secret_links": op7_secret_links,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quatrain.llm.warc import ROUNDTRIP_SQL
+
 MODEL = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), model_path())
 
 
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.warc import archive_roundtrip
+
+    return archive_roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.golay import near_duplicates
 
@@ -54,10 +62,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc_archive": op2_warc_archive,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_quality_mcd": op5_quality_mcd,
     "op7_secret_links": op7_secret_links,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_archive": ROUNDTRIP_SQL,
+}

@@ -54,6 +54,12 @@ def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.html_extract import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.spm_fst import encode_texts
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_golay": op4_simhash_golay,
     "op5_quality_mcd": op5_quality_mcd,
     "op7_secret_links": op7_secret_links,
+    "op9_html_suffix_array": op9_html_suffix_array,
     "op10_sentencepiece": op10_sentencepiece,
 }
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quatrain.llm.line_dedup import SPREAD_SQL
 from quatrain.llm.warc import ROUNDTRIP_SQL
 
 MODEL = "piece_bpe_32k.model"
@@ -54,6 +55,15 @@ def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quatrain.llm.line_dedup import remove_spread_lines
+
+    out = remove_spread_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_html_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.html_extract import extract_main_text
 
@@ -72,10 +82,12 @@ QUERIES: dict[str, Query] = {
     "op4_simhash_golay": op4_simhash_golay,
     "op5_quality_mcd": op5_quality_mcd,
     "op7_secret_links": op7_secret_links,
+    "op8_line_spread": op8_line_spread,
     "op9_html_suffix_array": op9_html_suffix_array,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": ROUNDTRIP_SQL,
+    "op8_line_spread": SPREAD_SQL,
 }

@@ -49,6 +49,12 @@ def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_cgk_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.credentials import scan_secrets
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_warc_archive": op2_warc_archive,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_quality_mcd": op5_quality_mcd,
+    "op6_cgk_leaks": op6_cgk_leaks,
     "op7_secret_links": op7_secret_links,
     "op8_line_spread": op8_line_spread,
     "op9_html_suffix_array": op9_html_suffix_array,

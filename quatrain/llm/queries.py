@@ -36,6 +36,12 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_pfp_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.pfp import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.golay import near_duplicates
 
@@ -85,6 +91,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_archive": op2_warc_archive,
+    "op3_pfp_repeats": op3_pfp_repeats,
     "op4_simhash_golay": op4_simhash_golay,
     "op5_quality_mcd": op5_quality_mcd,
     "op6_cgk_leaks": op6_cgk_leaks,

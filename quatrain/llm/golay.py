@@ -212,18 +212,45 @@ def link_fingerprints(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame
 
 
 def near_duplicates(
-    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), hot_bucket: int = HOT_BUCKET
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), hot_bucket: int = HOT_BUCKET, root_col: str | None = None
 ) -> DataFrame:
-    """The id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable) and kept columns."""
+    """The id, fingerprint (16 hexadecimal digits), component_id (smallest id reachable) and kept columns; root_col adds
+    a number that tells components apart even where all ids are null."""
 
     def make():
         return lambda texts: [pa.array(np.frombuffer(b"".join(map(fingerprint, texts)), ">i8").astype(np.int64))]
 
-    marked, _ = materialize(map_texts(df, [id_col, *keep], text_or_empty(text_col), make, [T.StructField("__fp", T.LongType(), False)]), "fingerprints")
-    each = marked.groupBy("__fp").agg(F.min(id_col).alias("__least"))
+    source = df.select(F.col(id_col).alias("__id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("__body"))
+    held = ["__id", *(f"__k{i}" for i in range(len(keep)))]
+    marked, _ = materialize(map_texts(source, held, F.col("__body"), make, [T.StructField("__fp", T.LongType(), False)]), "fingerprints")
+    each = marked.groupBy("__fp").agg(F.min("__id").alias("__least"))
     distinct, _ = materialize(each, "distinct")
     stars, _ = connected_components(link_fingerprints(distinct.select(F.col("__fp").alias("fp")), hot_bucket))
     rooted = distinct.join(stars.withColumnRenamed("src", "__fp"), "__fp", "left").withColumn("__root", F.coalesce("dst", "__fp"))
-    roots = rooted.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    named = rooted.select("__fp", "__root").join(roots, "__root").select("__fp", "component_id")
-    return marked.join(named, "__fp").select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    roots = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
+    named = rooted.select("__fp", "__root").join(roots, "__root")
+    return marked.join(named, "__fp").select(
+        F.col("__id").alias(id_col),
+        F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"),
+        F.col("__component").alias("component_id"),
+        *[F.col(h).alias(c) for h, c in zip(held[1:], keep, strict=True)],
+        *([F.col("__root").alias(root_col)] if root_col else []),
+    )
+
+
+def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row of each component: the one with the component's id (of rows that repeat the id, the one whose text hash is
+    least). Components are found without the texts, which then move once."""
+    from pyspark.sql import Window
+
+    named = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__version"), F.col(text_col).alias("__text"))
+    groups = near_duplicates(named, "__text", "__id", ("__version",), root_col="root").where(F.col("__id").eqNullSafe(F.col("component_id")))
+    # only rows that repeat an id meet here
+    first = Window.partitionBy("root").orderBy("__version")
+    chosen = groups.withColumn("n", F.row_number().over(first)).where("n = 1")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+    chosen = chosen.select(key("__id").alias("__key"), "__version")
+    columns = tuple(columns or df.columns)
+    rows = df.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(columns)], key(id_col).alias("__key"), F.xxhash64(text_or_empty(text_col)).alias("__version"))
+    kept = rows.join(chosen, ["__key", "__version"]).dropDuplicates(["__key", "__version"])
+    return kept.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])

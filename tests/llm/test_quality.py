@@ -1,0 +1,119 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+
+import numpy as np
+
+from quatrain.llm import quality as Q
+
+
+def brute_statistics(text: str) -> tuple[int, ...]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = len(words)
+    windows = [tuple(words[i : i + 5]) for i in range(n - 4)]
+    counts: dict = {}
+    for w in windows:
+        counts[w] = counts.get(w, 0) + 1
+    covered = {p for i, w in enumerate(windows) if counts[w] > 1 for p in range(i, i + 5)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines), len(lines) - len(set(lines)), len(covered)
+
+
+def base_failed(n_words: int, n_repeat: int) -> bool:
+    return n_words < 10 or 100 * n_repeat > 20 * n_words
+
+
+def grid_quantile(values: np.ndarray, q: float) -> float:
+    cells = np.sort(np.ceil(values * Q.GRID))
+    return cells[math.ceil(q * len(cells) - 1e-9) - 1] / Q.GRID
+
+
+def brute_estimate(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    floors = np.diag(np.square(Q.FLOORS))
+    m = np.array([grid_quantile(v[:, i], 0.5) for i in Q.DIMS])
+    s = floors + np.diag([(1.4826 * grid_quantile(np.abs(v[:, i] - m[i]), 0.5)) ** 2 for i in Q.DIMS])
+    for _ in range(Q.STEPS):
+        d = np.log1p(distances(v, m, s))
+        near = v[np.ceil(d * Q.GRID) <= grid_quantile(d, Q.H_SHARE) * Q.GRID + 0.5]
+        m = near.mean(axis=0)
+        s = Q._consistency() * np.cov(near.T, bias=True) + floors
+    return m, s
+
+
+def distances(v, m, s):
+    return np.einsum("ij,ij->i", (v - m) @ np.linalg.inv(s), v - m)
+
+
+def brute_kept(rows: list[tuple]) -> list[bool]:
+    """rows: (text, lang, source)."""
+    stats = [brute_statistics(t or "") for t, *_ in rows]
+    failed = [base_failed(s[0], s[5]) for s in stats]
+    count: dict = {}
+    for (_, la, so), f in zip(rows, failed):
+        if not f:
+            count[la or "", so or ""] = count.get((la or "", so or ""), 0) + 1
+    small: dict = {}
+    for (la, so), n in count.items():
+        small[la] = small.get(la, 0) + (n if n < Q.MIN_GROUP else 0)
+    group = []
+    for (_, la, so), f in zip(rows, failed):
+        k = (la or "", so or "")
+        group.append(None if f else k if count[k] >= Q.MIN_GROUP else k[:1] if small[k[0]] >= Q.MIN_GROUP else ())
+    vector = [[math.log((s[1] + 1) / max(s[0], 1)), *(math.log1p(100 * a / max(b, 1)) for a, b in ((s[2], s[0]), (s[4], s[3]), (s[5], s[0])))] for s in stats]
+    kept = [False] * len(rows)
+    for g in set(group) - {None}:
+        at = [i for i, x in enumerate(group) if x == g]
+        v = np.array([vector[i] for i in at])
+        d = distances(v, *brute_estimate(v))
+        for i, x in zip(at, d):
+            kept[i] = bool(x <= Q.CUTOFF)
+    return kept
+
+
+def fixture(seed: int) -> list[tuple]:
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choice("abcdefghiéß") for _ in range(rnd.randint(1, 9))) for _ in range(500)]
+    rows = []
+    for i in range(420):
+        n = rnd.choice([0, 3, 9, 10, 30, 80, 300])
+        text = [rnd.choice(words) for _ in range(n)]
+        kind = rnd.randrange(12)
+        if kind == 0:
+            text = [w + "&&&" for w in text]
+        elif kind == 1:
+            text = text[:5] * (n // 5)
+        elif kind == 2 and n > 20:
+            text = text[:6] + text + text[:6]
+        elif kind == 3:
+            text = [w * 9 for w in text]
+        joined = ""
+        for w in text:
+            joined += w + rnd.choice([" "] * 9 + ["\n", "\t ", " \n\n "])
+        if kind == 4:
+            joined += "\nsame line\nsame line\n"
+        source = rnd.choice(["a"] * 6 + ["b", "c", "d", None])
+        rows.append((i, joined, rnd.choice(["en", "en", "de", None]), source, 5, "__g", 1.0))
+    rows += [(9000, None, "en", "a", 5, "__g", 1.0), (9001, "", None, None, 5, "__g", 1.0), (9002, "long word " * 30_000, "xx", "z", 5, "__g", 1.0), (None, "ten words are here to be kept as they are now", "en", "a", 5, "__g", 1.0)]
+    return rows + rows[5:8]
+
+
+def test_against_numpy(spark):
+    rows = fixture(8)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string, distance double")
+    got = sorted((tuple(r)[:8] for r in Q.quality_verdicts(df).collect()), key=str)
+    kept = brute_kept([(r[1], r[2], r[3]) for r in rows])
+    want = []
+    for r, k in zip(rows, kept):
+        s = brute_statistics(r[1] or "")
+        want.append((r[0], s[0], s[1], s[2], s[4], s[5], base_failed(s[0], s[5]), k))
+    assert got == sorted(want, key=str)
+    assert any(not w[6] and not w[7] for w in want)
+    assert Q.quality_verdicts(df.limit(0)).count() == 0
+
+
+def test_no_python_in_plans(spark):
+    df = spark.createDataFrame(fixture(1)[:50], "doc_id long, text string, lang string, source string, n_words int, kept string, distance double")
+    plan = Q.text_statistics(df)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -3,15 +3,15 @@
 Every byte is removed that is covered by a string of LENGTH bytes which also begins anywhere else, in the same text or
 in another one; strings lie within one text and are judged on the input.
 
-Parsing. A rolling hash runs over windows of TRIGGER bytes, and the least hash of each LENGTH - TRIGGER + 1 neighbouring
-windows is a trigger; triggers cut texts into phrases. Whether a window is a trigger for a string depends on that string
-alone, so equal strings are cut alike, and each string of LENGTH bytes holds at least one trigger. (A trigger by hash
-residue would leave strings without one.)
+Parsing. A rolling hash runs over windows of TRIGGER bytes, and the first window with the least hash in a string of
+LENGTH bytes is the string's trigger. The windows that are triggers of some string cut texts into phrases. A trigger
+depends on its string alone, so equal strings are cut alike, and every string has one. (A trigger by hash residue would
+leave strings without one.)
 
-Dictionary. A trigger with a range of offsets stands for the block of strings that hold it there. Its core is what all
-of them share, its hull is all that any of them covers; the first block of a trigger takes all offsets, its core is the
-trigger and its hull the phrases around it. Per level, over distinct entries of the dictionary instead of positions of
-the corpus:
+Dictionary. A trigger with a range of offsets stands for the block of strings whose trigger it is and that begin so far
+before it. Its core is what any of them shares, its hull is all that they cover; the first block of a trigger takes all
+offsets, its core is the trigger and its hull the phrases around it. Per level, over distinct entries of the dictionary
+instead of positions of the corpus:
 
 * a core that occurs once means that no string of the block repeats: the block is dropped;
 * a hull that occurs twice means that every string of the block repeats: the hull is covered;
@@ -48,8 +48,10 @@ from quatrain.llm.common import discard, materialize, release_shuffles, text_or_
 
 LENGTH = 200
 TRIGGER = 64
-#: Offsets in a block, by level: all, then so many, then one.
-STEPS = (LENGTH - TRIGGER + 1, 23, 1)
+#: Offsets in a block, by level: all, then fewer, then one.
+STEPS = (LENGTH - TRIGGER + 1, 20, 4, 1)
+#: Low bits of a window's sort key that hold its place, which settles ties; texts are shorter than this allows.
+PLACE_BITS = 30
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Texts are hashed in batches of about so many bytes (a longer text makes a batch of its own).
 BATCH_BYTES = 4 << 20
@@ -87,32 +89,34 @@ class Rolling:
         return mix((sums[end] - sums[start]) * self.down[start])
 
 
-def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least or greatest of each width neighbours, from running extremes of blocks in both directions."""
-    pick = np.minimum if least else np.maximum
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each width neighbours, from running minima of blocks in both directions."""
     n = len(x)
-    padded = np.full(-(-n // width) * width, np.iinfo(x.dtype).max if least else 0, x.dtype)
+    padded = np.full(-(-n // width) * width, np.iinfo(x.dtype).max, x.dtype)
     padded[:n] = x
     grid = padded.reshape(-1, width)
-    ahead = pick.accumulate(grid, axis=1).ravel()
-    back = pick.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return pick(back[: n - width + 1], ahead[width - 1 : n])
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def find_triggers(rolling: Rolling, sums: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of triggers in texts that stand in a row (bounds: where they begin, and the end), and their texts. At the
-    borders of texts there may be more than are needed, which does no harm. All windows with the least hash count."""
+def find_triggers(rolling: Rolling, sums: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Triggers of texts that stand in a row (bounds: where they begin, and the end): places, texts, and the least and
+    greatest offset of the strings whose trigger they are."""
     size = int(bounds[-1])
-    width = LENGTH - TRIGGER + 1
     starts = np.arange(size - TRIGGER + 1)
     key = rolling.spans(sums, starts, starts + TRIGGER)
-    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: len(starts)]
-    whole = starts + TRIGGER <= bounds[text + 1]
-    key[~whole] = np.iinfo(np.uint64).max
-    edge = np.zeros(width - 1, np.uint64)
-    # greatest of the least: equal to the hash itself where some neighbourhood has it as its least
-    at = np.flatnonzero((_sliding(np.concatenate([edge, _sliding(key, width, True), edge]), width, False) == key) & whole)
-    return at, text[at]
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    key = key & ~low | starts.astype(np.uint64)
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[: size - LENGTH + 1]
+    string = starts[: size - LENGTH + 1]
+    inside = string + LENGTH <= bounds[text + 1]
+    owner = (_sliding_least(key, STEPS[0]) & low).astype(np.int64)
+    string, owner, text = string[inside], owner[inside], text[inside]
+    begins = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(string) else np.empty(0, np.int64)
+    ends = np.append(begins[1:], len(string)) - 1
+    at = owner[begins]
+    return at, text[begins], at - string[ends], at - string[begins]
 
 
 class Blocks:
@@ -126,19 +130,19 @@ class Blocks:
         data = np.frombuffer(b"".join(bodies), np.uint8)
         self.sums = [r.sums(data) for r in self.rollings]
 
-    def entries(self, at: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Which blocks (offsets first to last of triggers at places at) hold a string of their text; those blocks' core
-        and hull hashes; and the hull's begin and end within the text."""
-        low, high = self.bounds[text], self.bounds[text + 1]
-        own_first, own_last = np.maximum(first, at + LENGTH - high), np.minimum(last, at - low)
+    def entries(self, at, text, first, last, least, most) -> tuple[np.ndarray, ...]:
+        """Which blocks (offsets first to last of triggers at places at, which own offsets least to most) hold a string;
+        those blocks' core and hull hashes, and the hull's begin and end within the text."""
+        own_first, own_last = np.maximum(first, least), np.minimum(last, most)
         there = np.flatnonzero(own_first <= own_last)
-        at, first, last, low, own_first, own_last = (x[there] for x in (at, first, last, low, own_first, own_last))
+        at, first, last, own_first, own_last = (x[there] for x in (at, first, last, own_first, own_last))
         core = self.rollings[0].spans(self.sums[0], at - first, at - last + LENGTH)
         begin, end = at - own_last, at - own_first + LENGTH
         hull = self.rollings[1].spans(self.sums[1], begin, end)
-        # blocks that the text's border clips are equal only if they are clipped alike; blocks of one level only meet
+        # hulls are equal only if their strings have equal offsets; blocks of one level and range only meet
         hull = mix(hull ^ (own_first << 20 | own_last << 10 | last - first).astype(np.uint64))
         core = mix(core ^ (first << 10 | last).astype(np.uint64))
+        low = self.bounds[text[there]]
         return there, core.view(np.int64), hull.view(np.int64), begin - low, end - low
 
 
@@ -153,15 +157,16 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-ENTRY = "rid long, rid2 int, at int, first int, core long, hull long, begin int, end int"
+ENTRY = "rid long, rid2 int, at int, first int, least int, most int, core long, hull long, begin int, end int"
+OPEN = ("at", "first", "least", "most")
 
 
-def _entry_batch(rid, rid2, at, first, core, hull, begin, end) -> pa.RecordBatch:
-    small = lambda x: pa.array(x.astype(np.int32))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rid), pa.array(rid2), small(at), small(first), pa.array(core), pa.array(hull), small(begin), small(end)],
-        names=["rid", "rid2", "at", "first", "core", "hull", "begin", "end"],
-    )
+def _entry_batches(blocks: Blocks, rids, rids2, at, text, first, last, least, most) -> Iterator[pa.RecordBatch]:
+    there, core, hull, begin, end = blocks.entries(at, text, first, last, least, most)
+    own = text[there]
+    small = [x.astype(np.int32) for x in (at[there] - blocks.bounds[own], first[there], least[there], most[there])]
+    columns = [rids[own], rids2[own], *small, core, hull, begin.astype(np.int32), end.astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[f.split()[0] for f in ENTRY.split(", ")])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +176,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rids, rids2, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         for a, b in _groups(pc.binary_length(bodies).to_pylist()):
             blocks.load(bodies.slice(a, b - a).to_pylist())
-            at, text = find_triggers(blocks.rollings[0], blocks.sums[0], blocks.bounds)
+            at, text, least, most = find_triggers(blocks.rollings[0], blocks.sums[0], blocks.bounds)
             first, last = np.zeros(len(at), np.int64), np.full(len(at), STEPS[0] - 1)
-            there, core, hull, begin, end = blocks.entries(at, text, first, last)
-            own = text[there]
-            yield _entry_batch(rids[a:b][own], rids2[a:b][own], at[there] - blocks.bounds[own], first[there], core, hull, begin, end)
+            yield from _entry_batches(blocks, rids[a:b], rids2[a:b], at, text, first, last, least, most)
 
 
 def _split(level: int):
-    """(rid, rid2, body, at list, first list) of texts with open blocks to entries of the level."""
+    """(rid, rid2, body, then lists of at, first, least and most) of texts with open blocks to entries of the level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks()
@@ -189,19 +192,14 @@ def _split(level: int):
             rids, rids2, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for a, b in _groups(pc.binary_length(bodies).to_pylist()):
                 blocks.load(bodies.slice(a, b - a).to_pylist())
-                marks = batch.column(3).slice(a, b - a)
-                many = marks.value_lengths().to_numpy()
-                text = np.repeat(np.arange(b - a), many)
-                opened = marks.flatten().to_numpy(zero_copy_only=False) + blocks.bounds[text]
-                begun = batch.column(4).slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
-                at, text = np.repeat(opened, len(parts)), np.repeat(text, len(parts))
-                first = np.repeat(begun, len(parts)) + np.tile(parts, len(opened))
-                last = np.minimum(first + step, np.repeat(np.minimum(begun + wide, STEPS[0]), len(parts))) - 1
-                real = first <= last
-                at, text, first, last = at[real], text[real], first[real].astype(np.int64), last[real].astype(np.int64)
-                there, core, hull, begin, end = blocks.entries(at.astype(np.int64), text, first, last)
-                own = text[there]
-                yield _entry_batch(rids[a:b][own], rids2[a:b][own], at[there] - blocks.bounds[own], first[there], core, hull, begin, end)
+                many = batch.column(3).slice(a, b - a).value_lengths().to_numpy()
+                text = np.repeat(np.arange(b - a), many * len(parts))
+                at, begun, least, most = (
+                    np.repeat(batch.column(3 + i).slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(parts)) for i in range(4)
+                )
+                first = begun + np.tile(parts, int(many.sum()))
+                last = np.minimum(first + step, np.minimum(begun + wide, STEPS[0])) - 1
+                yield from _entry_batches(blocks, rids[a:b], rids2[a:b], at + blocks.bounds[text], text, first, last, least, most)
 
     return run
 
@@ -222,7 +220,7 @@ def _marks(entries: DataFrame, level: int) -> tuple[DataFrame, list[str]]:
     kept = known.where((F.col("n") > 1) | split)
     marks = kept.groupBy("rid", "rid2").agg(
         F.collect_set(F.when(F.col("n") > 1, F.struct("begin", "end"))).alias("spans"),
-        F.collect_list(F.when(split, F.struct("at", "first"))).alias("open"),
+        F.collect_list(F.when(split, F.struct(*OPEN))).alias("open"),
     )
     out, path = materialize(marks, f"marks{level}")
     discard(spark, met_path)
@@ -277,6 +275,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         return texts.select("id", "body", "spans", *(["rid"] if with_kept else [])).mapInArrow(_cut, results)
 
     none = F.array().cast("array<struct<begin:int,end:int>>")
+    no_open = F.array().cast(f"array<struct<{','.join(f'{n}:int' for n in OPEN)}>>")
     short = F.octet_length("body") < LENGTH
     done = [finished(keyed.where(short).withColumn("spans", none))]
     texts = keyed.where(~short).withColumn("had", none)
@@ -284,7 +283,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     for level in range(len(STEPS)):
         marks, marks_path = _marks(entries, level)
         joined = texts.join(marks, ["rid", "rid2"], "left").select(
-            "rid", "rid2", "id", "body", F.concat("had", F.coalesce("spans", none)).alias("spans"), F.coalesce("open", F.array().cast("array<struct<at:int,first:int>>")).alias("open")
+            "rid", "rid2", "id", "body", F.concat("had", F.coalesce("spans", none)).alias("spans"), F.coalesce("open", no_open).alias("open")
         )
         if level + 1 == len(STEPS):
             done.append(finished(joined))
@@ -296,7 +295,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         texts = split_off.where("more").select("rid", "rid2", "id", "body", F.col("spans").alias("had"), "open")
         discard(spark, *marks_path)
         release_shuffles(spark)
-        entries = texts.select("rid", "rid2", "body", F.col("open.at").alias("at"), F.col("open.first").alias("first")).mapInArrow(_split(level + 1), ENTRY)
+        entries = texts.select("rid", "rid2", "body", *[F.col(f"open.{n}").alias(n) for n in OPEN]).mapInArrow(_split(level + 1), ENTRY)
         texts = texts.drop("open")
     out = done[0]
     for d in done[1:]:

@@ -1 +1,178 @@
+"""Readers and writers: JSON shards, JSON lines, documents, fingerprints, remote shards."""
 
+from __future__ import annotations
+
+import json
+import os
+import tempfile
+import time
+import urllib.request
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quatrain.functions import text as X
+
+
+def read_json_shards(spark: SparkSession, path: str, glob: str = "poet.tang.*.json", max_files: int | None = None) -> DataFrame:
+    """(source_file, shard_no, item_pos, source_id, title, author, paragraphs) of JSON-array files. Files that hold no
+    array, items that are no objects and items without a non-empty list of paragraphs are left out one by one; a typed
+    parse would lose the whole file for one of them. No file at all is an error (raised by the reader)."""
+    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path)
+    named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value").withColumn("shard_no", X.shard_number(F.col("source_file")))
+    if max_files is not None:
+        first = named.select("shard_no", "source_file").distinct().orderBy("shard_no", "source_file").limit(max_files)
+        named = named.join(F.broadcast(first), ["shard_no", "source_file"], "left_semi")
+    parsed = named.withColumn("v", F.try_parse_json("value"))
+    array = parsed.where(F.schema_of_variant("v").startswith("ARRAY"))
+    items = array.select("source_file", "shard_no", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("item_pos", "item"))
+    objects = items.where(F.schema_of_variant("item").startswith("OBJECT"))
+    get = lambda k, kind: F.try_variant_get("item", f"$.{k}", kind)
+    listed = objects.withColumn("p", get("paragraphs", "array<variant>")).where(F.size("p") > 0)
+    strings = F.transform(F.filter("p", lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return listed.select(
+        "source_file", "shard_no", "item_pos",
+        X.or_blank(get("id", "string"), stripped=False).alias("source_id"), X.or_blank(get("title", "string")).alias("title"), X.or_blank(get("author", "string")).alias("author"),
+        strings.alias("paragraphs"),
+    )
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON lines, strictly: a line that is no JSON object raises ValueError with the line."""
+    typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\z"))
+    objects = lines.withColumn("k", F.schema_of_variant(F.try_parse_json("value")))
+    wrong = objects.where(~F.coalesce(F.col("k").startswith("OBJECT"), F.lit(False))).select(F.input_file_name().alias("f"), "value").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]['f']}: not a JSON object: {wrong[0]['value'][:200]}")
+    return spark.read.schema(typed).json(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines that keep null fields."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def read_config(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: not an object")
+    return found
+
+
+def lexicon_table(spark: SparkSession, config: dict) -> DataFrame:
+    """(category, cat_pos, term) of {categories: {name: [term]}}."""
+    categories = config.get("categories")
+    if not isinstance(categories, dict):
+        raise ValueError("categories must be an object")
+    rows = [(c, i, t) for i, (c, terms) in enumerate(categories.items()) for t in terms]
+    return spark.createDataFrame(rows, "category string, cat_pos int, term string")
+
+
+def taxonomy_table(spark: SparkSession, config: dict, section: str = "style") -> DataFrame:
+    """(dim, type, min_items, max_items, value, zh) of {section: {dim: {type, min_items, max_items, values}}}."""
+    rows = []
+    for dim, spec in config[section].items():
+        values = spec.get("values", {})
+        pairs = values.items() if isinstance(values, dict) else ((v, v) for v in values)
+        rows += [(dim, spec.get("type"), spec.get("min_items"), spec.get("max_items"), k, str(z)) for k, z in pairs]
+    return spark.createDataFrame(rows, "dim string, type string, min_items int, max_items int, value string, zh string")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report of one row as indented JSON."""
+    row = df.first()
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(row.asDict(recursive=True), ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+
+
+def fingerprints(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def read_docx(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, pos, line): stripped, non-blank paragraphs of Word files, read from the XML in the archive."""
+    import pandas as pd
+
+    def paragraphs(batches):
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf["path"], pdf["content"]):
+                body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+                texts = ("".join(t.text or "" if t.tag == WORD_XML + "t" else "\t" if t.tag == WORD_XML + "tab" else "\n" for t in p.iter() if t.tag in (WORD_XML + "t", WORD_XML + "tab", WORD_XML + "br")) for p in body.iter(WORD_XML + "p"))
+                kept = [t.strip() for t in texts if t.strip()]
+                rows += [(name, i, t) for i, t in enumerate(kept)]
+            yield pd.DataFrame(rows, columns=["doc", "pos", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(paragraphs, "doc string, pos int, line string")
+
+
+def http_get(url: str, tries: int = 3, timeout: int = 30, opener: Callable = urllib.request.urlopen, wait: Callable = time.sleep) -> bytes:
+    """GET with linear back-off; RuntimeError after the last try."""
+    for n in range(1, tries + 1):
+        try:
+            with opener(url, timeout=timeout) as answer:
+                return answer.read()
+        except OSError as e:
+            last = e
+            if n < tries:
+                wait(n)
+    raise RuntimeError(f"{url}: {last}")
+
+
+def list_shards(listing: list[dict], pattern: str = r"poet\.tang\.(\d+)\.json") -> list[dict]:
+    """Entries of a directory listing that are shards with an address, by number; none is an error."""
+    import re
+
+    found = [(int(m[1]), x["name"], x) for x in listing if x.get("download_url") and (m := re.fullmatch(pattern, x.get("name", "")))]
+    if not found:
+        raise RuntimeError("no shards in the listing")
+    return [x for _, _, x in sorted(found, key=lambda r: r[:2])]
+
+
+def fetch_missing(shards: list[dict], folder: str, get: Callable[[str], bytes], threads: int = 6, max_files: int | None = None) -> list[str]:
+    """Fetch shards that are missing or empty; a file appears only after its content proved to be a JSON list."""
+    os.makedirs(folder, exist_ok=True)
+    wanted = shards[:max_files]
+
+    def fetch(shard: dict) -> str:
+        target = Path(folder, shard["name"])
+        if not target.exists() or not target.stat().st_size:
+            content = get(shard["download_url"])
+            if not isinstance(json.loads(content), list):
+                raise RuntimeError(f"{shard['name']}: not a JSON list")
+            with tempfile.NamedTemporaryFile(dir=folder, suffix=".tmp", delete=False) as f:
+                f.write(content)
+            os.replace(f.name, target)
+        return str(target)
+
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(fetch, wanted))
+
+
+def chat_client(url: str, key: str, model: str, temperature: float, max_tokens: int, timeout: int, opener: Callable = urllib.request.urlopen) -> Callable[[str], str]:
+    """A client for annotate.ask_model. Batch labelling uses temperature 0 and 700 tokens, the service 0.8 and 1200."""
+
+    def ask(prompt: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens}
+        request = urllib.request.Request(url, json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with opener(request, timeout=timeout) as answer:
+                return json.loads(answer.read())["choices"][0]["message"]["content"]
+        except (OSError, KeyError, IndexError, ValueError) as e:
+            raise RuntimeError(f"model call failed: {e}") from e
+
+    return ask

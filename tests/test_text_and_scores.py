@@ -1,0 +1,101 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from quatrain.functions import text as X
+from quatrain.operators import scoring as S
+
+HUANGHE = "昔人已乘黄鹤去，此地空余黄鹤楼。\n黄鹤一去不复返，白云千载空悠悠。\n晴川历历汉阳树，芳草萋萋鹦鹉洲。\n日暮乡关何处是，烟波江上使人愁。"
+HUANGHE_LINES = HUANGHE.replace("，", "，\n")
+DENGGAO = "风急天高猿啸哀\n渚清沙白鸟飞回\n无边落木萧萧下\n不尽长江滚滚来\n万里悲秋常作客\n百年多病独登台\n艰难苦恨繁霜鬓\n潦倒新停浊酒杯"
+BAIDI = "朝辞白帝彩云间\n千里江陵一日还\n两岸猿声啼不住\n轻舟已过万重山"
+SOUNDS = S.Pronunciation(
+    {
+        "楼": ("ou", 2, "lou"), "悠": ("iou", 1, "you"), "洲": ("ou", 1, "zhou"), "愁": ("ou", 2, "chou"), "去": ("ü", 4, "qu"),
+        "回": ("uei", 2, "hui"), "来": ("ai", 2, "lai"), "台": ("ai", 2, "tai"), "杯": ("ei", 1, "bei"), "还": ("uan", 2, "huan"),
+        "山": ("an", 1, "shan"), "诗": ("i", 1, "shi"), "衣": ("i", 1, "yi"), "光": ("uang", 1, "guang"), "乡": ("iang", 1, "xiang"),
+    }
+)
+
+
+def one(spark, column, **values):
+    row = spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()] or [F.lit(1).alias("x")]).select(column.alias("r")).first()
+    return row["r"]
+
+
+def test_blanks_and_lines(spark):
+    text = " a　\r\nb\x1cc  \x85\x1d\n、。\n"
+    assert one(spark, X.raw_lines(F.col("t")), t=text) == ["a", "b", "c", "、。"]
+    assert one(spark, X.clean_lines(F.col("t")), t="《a》 b\n、。\n") == ["ab", ""]
+    assert one(spark, X.strip(F.col("t")), t="　\x1f x y \n") == "x y"
+    assert one(spark, X.remove_blanks(F.col("t")), t="　a\x1c b\t") == "ab"
+    assert one(spark, X.verse_lines(F.array("t", F.lit(None).cast("string"))), t="床前明月光，疑是地上霜。\n a b ；") == ["床前明月光", "疑是地上霜", "ab"]
+
+
+def test_scripts_and_ids(spark):
+    for line, good in (("渭城朝雨浥輕塵", True), ("渭城朝雨浥輕塵\n", False), ("渭城朝雨浥輕x", False), ("𠀀城朝雨浥輕塵", True), ("城朝雨浥輕塵", False)):
+        assert one(spark, X.is_exact_han(F.col("t")), t=line) is good
+    assert one(spark, X.is_russian(F.col("t")), t="Я вас любил") and one(spark, X.is_russian(F.col("t")), t="я b") and not one(spark, X.is_russian(F.col("t")), t="я bcdefg")
+    assert one(spark, X.stable_id(F.lit(""), F.col("t")), t="abc") == "tang-sha1-a9993e364706816a"
+    assert one(spark, X.stable_id(F.lit("7"), F.col("t")), t="abc") == "tang-7"
+    assert one(spark, X.author_of(F.col("t")), t=" 　") == "UNKNOWN"
+    assert one(spark, X.shard_number(F.col("t")), t="/x/poet.tang.11000.json") == 11000
+    assert one(spark, X.tone_number(F.col("t")), t="shang4") == 4 and one(spark, X.tone_number(F.col("t")), t="de") == 0
+    assert one(spark, X.unknown_names(F.col("t"), ["qijue7"]), t=" qijue7, ,cifu") == ["cifu"]
+    assert one(spark, X.ascii_url(F.col("t")), t="https://h/全唐诗/poet.json?ref=主") == "https://h/%E5%85%A8%E5%94%90%E8%AF%97/poet.json?ref=%E4%B8%BB"
+
+
+@pytest.mark.parametrize("answer, want", [('```json\n{"a":1}\n```', '{"a":1}'), ('so: {"a":{"b":2}} ok', '{"a":{"b":2}}'), ("[1]", None), ("none", None), ("}{", None)])
+def test_json_object(spark, answer, want):
+    assert one(spark, F.to_json(X.json_object_in(F.col("t"))), t=answer) == want
+
+
+def test_section(spark):
+    cut = X.section_between(F.col("t"), "【转写结果】", "【转写思路】")
+    assert one(spark, cut, t="x【转写结果】\n a\nb\n【转写思路】c") == "a\nb" and one(spark, cut, t="【转写结果】 a ") == "a" and one(spark, cut, t="plain") == "plain"
+
+
+def test_meter(spark):
+    check = lambda t, n: one(spark, S.check_form(F.col("t"), n, 7), t=t)
+    assert check(BAIDI, 4)["score"] == check(HUANGHE_LINES, 8)["score"] == check(DENGGAO, 8)["score"] == 1.0 and check(BAIDI, 4)["ok"]
+    short = check(BAIDI.replace("一日", "一"), 4)
+    assert not short["ok"] and short["score"] == pytest.approx(27 / 28) and "(2,6)" in short["details"]
+    three = check("\n".join(BAIDI.split("\n")[:3]), 4)
+    assert three["score"] == 0.0 and three["details"] == "Expected 4 lines, got 3" and len(three["lines_clean"]) == 3
+    assert check("", 4)["details"] == check("  \n ", 4)["details"] == "Empty text" and not check("", 4)["ok"]
+
+
+def test_rhymes(spark):
+    eight = lambda t, **k: one(spark, S.check_rhymes(F.col("t"), SOUNDS, **{"mode": "xinyun", **k}), t=t)
+    good = eight(HUANGHE_LINES, require_level=True)
+    assert good["ok"] and good["score"] == 1.0 and good["ping_ok"] and good["last_chars"] == {2: "楼", 4: "悠", 6: "洲", 8: "愁"}
+    half = eight(DENGGAO)
+    assert half["score"] == 0.5 and not half["ok"] and half["ping_ok"]
+    few = eight(BAIDI)
+    assert few["score"] == 0.0 and few["details"].startswith("Need lines at positions 6,8")
+    assert eight(HUANGHE_LINES.replace("愁", "龘"))["details"] == "Failed to get finals for some last chars"
+    two = lambda mode, t=BAIDI: one(spark, S.check_two_rhymes(F.col("t"), SOUNDS, mode), t=t)
+    assert not two("strict")["ok"] and two("xinyun")["ok"] and two("xinyun")["finals_2"] == "uan->8寒" and not two("other")["ok"]
+    assert two("strict", "a")["details"] == "Need >=4 lines for rhyme check, got 1"
+    assert two("loose", "x\n光\ny\n乡")["ok"]
+    # the buzzing i is a group of its own only where the syllable is looked at
+    assert two("xinyun", "x\n诗\ny\n衣")["ok"] and not eight("x\n诗\ny\n衣", positions=(2, 4))["ok"]
+    assert one(spark, X.is_level_tone(SOUNDS.tone(F.col("t"))), t="楼") and not one(spark, X.is_level_tone(SOUNDS.tone(F.col("t"))), t="去")
+
+
+def test_parallel_and_totals(spark):
+    pair = lambda a, b: one(spark, S.check_pair(F.col("a"), F.col("b")), a=a, b=b)
+    assert pair("春眠不觉晓", "春眠不觉晓")["diff_score"] == 0.0 and pair("无边落木萧萧下", "不尽长江滚滚来")["score"] == 1.0
+    assert pair("", "x")["details"] == "Empty line" and pair("ab", "abc")["details"].startswith("Length mismatch")
+    whole = one(spark, S.check_parallel(F.col("t")), t=HUANGHE_LINES)
+    assert whole["ok"] and whole["score"] == 1.0 and set(whole["pairs"]) == {"颔联", "颈联"}
+    lines = HUANGHE_LINES.split("\n")
+    assert one(spark, S.check_parallel(F.col("t")), t="\n".join(lines[:5]))["pairs"] == {}
+    assert not one(spark, S.check_parallel(F.col("t")), t="\n".join([*lines[:3], lines[2], *lines[4:]]))["ok"]
+    total = one(spark, S.score_poem(F.col("t"), F.lit("qilv7"), SOUNDS, mode="xinyun"), t=HUANGHE_LINES)
+    assert total["ok"] and total["total"] == pytest.approx(1.0)
+    low = one(spark, S.score_poem(F.col("t"), F.lit("qijue7"), SOUNDS), t=BAIDI)
+    assert low["total"] == pytest.approx(0.7) and not low["ok"]
+    with pytest.raises(Exception, match="unknown form"):
+        one(spark, S.score_poem(F.col("t"), F.lit("cifu"), SOUNDS), t=BAIDI)

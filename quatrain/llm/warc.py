@@ -8,9 +8,8 @@ payload and two line ends; a revisit is its header and two line ends, and its pa
 Of records with equal payloads of at least min_bytes bytes the one with the smallest page id is the response; the others
 revisit it. Smaller ones are all responses.
 
-Writing: payloads never cross the network by their digest. Digests and least ids are aggregated first, with partial
-aggregation, so a payload that a third of all pages share sends one row a task; then the payload rows of the responses
-are picked by (digest, id), which is even. Reading verifies every stored payload against its address, its length and its
+Writing: least ids and payloads are aggregated by digest, with partial aggregation, so a payload that a third of all
+pages share sends one row a task. Reading verifies every stored payload against its address, its length and its
 SHA-1 once, and pages join those few numbers; a hot digest's rows are left to Spark's splitting of skewed joins.
 
 Defined results: null pages have empty payloads; a null or unparsable URL leaves the target header out (line breaks in
@@ -80,12 +79,8 @@ def write_archive(
     revisit = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     headers = thin.join(firsts, "address").withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     headers.select("page_id", _header(date).alias("header"), "address").write.option("compression", "zstd").parquet(f"{path}/headers")
-    wanted = firsts.select("address", F.col("first_id").alias("page_id"))
-    # a join on both columns is even; null ids meet only where the group has no other
-    chosen = sized.alias("p").join(
-        wanted.alias("w"), (F.col("p.address") == F.col("w.address")) & (F.coalesce(F.col("p.page_id").cast("string"), F.lit("")) == F.coalesce(F.col("w.page_id").cast("string"), F.lit(""))) & F.col("p.page_id").eqNullSafe(F.col("w.page_id")), "left_semi"
-    )
-    chosen.select("address", "page_id", "payload").dropDuplicates(["address", "page_id"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # equal payloads of a task fall together before the exchange
+    sized.groupBy("address").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def verified_payloads(spark: SparkSession, path: str) -> DataFrame:

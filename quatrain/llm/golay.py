@@ -23,7 +23,7 @@ null id is never the smallest unless all of a component are null; an empty table
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -238,13 +238,13 @@ def near_duplicates(
     )
 
 
-def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """One row of each component: the one with the component's id (of rows that repeat the id, the one whose text hash is
-    least). Components are found without the texts, which then move once."""
+def one_of_each(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", columns: tuple[str, ...] | None = None, find: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """One row of each component that find gives: the one with the component's id (of rows that repeat the id, the one
+    whose text hash is least). Components are found without the texts, which then move once."""
     from pyspark.sql import Window
 
     named = df.select(F.col(id_col).alias("__id"), F.xxhash64(text_or_empty(text_col)).alias("__version"), F.col(text_col).alias("__text"))
-    groups = near_duplicates(named, "__text", "__id", ("__version",), root_col="root").where(F.col("__id").eqNullSafe(F.col("component_id")))
+    groups = find(named, "__text", "__id", ("__version",), root_col="root").where(F.col("__id").eqNullSafe(F.col("component_id")))
     # only rows that repeat an id meet here
     first = Window.partitionBy("root").orderBy("__version")
     chosen = groups.withColumn("n", F.row_number().over(first)).where("n = 1")

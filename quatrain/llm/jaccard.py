@@ -1,0 +1,260 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles.
+
+A text is the set of the XXH64 values of its SHINGLE-word shingles (of all its words if there are fewer). Texts whose
+sets have a similarity of LEAST or more are linked, and a document's component is the smallest id it reaches over links.
+
+Finding links: shingles have one global order, rare ones first. Two sets of similarity t share a shingle among the first
+n - ceil(t n) + 1 of each, so those prefixes are the keys, and no pair is lost whatever the order is. The order's ranks
+come from counts of a sample in 2^RANK_BITS cells, which need not be exact: they only keep frequent shingles out of the
+prefixes. Pairs that share a key are dropped if their sizes or the key's places in both sets rule the similarity out;
+the others are verified on the whole sets.
+
+Scale: equal sets fall together before any join. A bucket of more than BIG_BUCKET sets first gives pairs of neighbours
+by size only. Once those are linked, pairs of it that lie in different components are taken as well, so a large group
+of copies costs few pairs and still none is lost.
+
+Defined results: a null or empty text has the empty set, and such texts are equal; repeated rows get equal rows; a null
+id is never the smallest unless all of a component are null; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quatrain.llm.common import map_texts, materialize, text_or_empty
+from quatrain.llm.components import connected_components
+
+SHINGLE, SEED = 5, 42
+#: The least similarity as a fraction.
+OVER, UNDER = 4, 5
+RANK_BITS = 20
+SAMPLED = 8
+BIG_BUCKET = 64
+LINK = "a long, b long"
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct XXH64 values; words and letter case as in golay.fingerprint."""
+    import xxhash
+
+    words = text.encode("utf-8").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[: len(words) - SHINGLE + 1].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def set_key(members: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.array([xxhash.xxh64_intdigest(members.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def prefix_of(members: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The members that a set of similarity OVER / UNDER must share one of, in the global order."""
+    keep = len(members) - -(-OVER * len(members) // UNDER) + 1 if len(members) else 0
+    order = np.lexsort((members, ranks[(members & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64)]))
+    return members[order[:keep]]
+
+
+def _ranks(texts: DataFrame) -> np.ndarray:
+    """A rank for each cell of shingles: the logarithm of its count in a sample of the texts (column t)."""
+    slices, width = 16, (1 << RANK_BITS) // 16
+
+    def emit(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = counts.reshape(slices, width)
+        used = [i for i in range(slices) if parts[i].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << RANK_BITS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (shingle_set(text) & np.uint64((1 << RANK_BITS) - 1)).astype(np.int64), 1)
+        yield from emit(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((slices, width), np.uint32)
+        for batch in batches:
+            for part, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts[part] += np.frombuffer(held, np.uint32)
+        yield from emit(counts.reshape(-1))
+
+    schema = "part int, counts binary"
+    sample = texts.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLED)) == 0)
+    ranks = np.zeros((slices, width), np.uint8)
+    for r in sample.mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():
+        ranks[r["part"]] = np.round(4 * np.log2(1.0 + np.frombuffer(r["counts"], np.uint32)))
+    return ranks.reshape(-1)
+
+
+def _may_reach(size_a, place_a, size_b, place_b):
+    """Whether sets whose first shared member has these places can have the similarity."""
+    shared = np.minimum(size_a - place_a, size_b - place_b)
+    return shared * (OVER + UNDER) >= OVER * (size_a + size_b)
+
+
+def _in_buckets(batches: Iterator[pa.RecordBatch], pairs_of) -> Iterator[pa.RecordBatch]:
+    """Rows in key order, the key first; pairs_of gives batches for the columns of whole buckets."""
+    held: list[np.ndarray] | None = None
+    late: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if late and columns[0][-1] == late[0][0][-1]:  # the bucket goes on
+            late.append(columns)
+            continue
+        late.append(columns)
+        held = [np.concatenate(c) for c in zip(*late, strict=True)]
+        cut = np.searchsorted(held[0], held[0][-1])
+        yield from pairs_of([c[:cut] for c in held])
+        late = [[c[cut:] for c in held]]
+    if late:
+        yield from pairs_of([np.concatenate(c) for c in zip(*late, strict=True)])
+
+
+def _pair_batches(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    found = [f for f in found if len(f[0])]
+    if found:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def _first_pairs(columns: list[np.ndarray], big_bucket: int) -> Iterator[pa.RecordBatch]:
+    """(key, fp, size, place) by key and size: pairs of small buckets, neighbours of big ones."""
+    key, fp, size, place = columns
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    big = np.repeat(sizes > big_bucket, sizes)
+    found = []
+    for step in range(1, int(min(sizes.max(initial=1), big_bucket))):
+        at = np.flatnonzero((key[:-step] == key[step:]) & (~big[:-step] | (step == 1)))
+        if not len(at):
+            break
+        at = at[_may_reach(size[at], place[at], size[at + step], place[at + step])]
+        found.append((fp[at], fp[at + step]))
+    yield from _pair_batches(found)
+
+
+def _cross_pairs(columns: list[np.ndarray], big_bucket: int) -> Iterator[pa.RecordBatch]:
+    """(key, fp, size, place, root) of big buckets: pairs that lie in different components."""
+    key, fp, size, place, root = columns
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+        if e - s <= big_bucket:
+            continue
+        f, n, p, r = (c[s:e] for c in (fp, size, place, root))
+        names, counts = np.unique(r, return_counts=True)
+        found, waiting = [], 0
+        for i in np.flatnonzero(r != names[counts.argmax()]).tolist():
+            at = np.flatnonzero((r != r[i]) & _may_reach(n[i], p[i], n, p))
+            found.append((np.full(len(at), f[i]), f[at]))
+            waiting += len(at)
+            if waiting > 1_000_000:
+                yield from _pair_batches(found)
+                found, waiting = [], 0
+        yield from _pair_batches(found)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * UNDER >= OVER * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left = sets.select(F.col("fp").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("fp").alias("b"), F.col("members").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, LINK)
+
+
+def _sets_of(source: DataFrame, marked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """fp and members of the sets in pairs, made again from one text of each."""
+
+    def make():
+        def work(texts: list[str]) -> list[pa.Array]:
+            sets = [shingle_set(t) for t in texts]
+            return [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+        return work
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("__fp")).distinct()
+    texts = marked.join(asked, "__fp").groupBy("__fp").agg(F.min("__hash").alias("__hash")).select("__hash")
+    texts, _ = materialize(texts, "asked")
+    chosen = source.withColumn("__hash", F.xxhash64("__body")).join(texts, "__hash", "left_semi")
+    fields = [T.StructField("fp", T.LongType(), False), T.StructField("members", T.BinaryType(), False)]
+    made = map_texts(chosen, ["__hash"], F.col("__body"), make, fields)
+    return materialize(made.groupBy("fp").agg(F.first("members").alias("members")), "sets")[0]
+
+
+def similar_texts(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: tuple[str, ...] = (), root_col: str | None = None, big_bucket: int = BIG_BUCKET
+) -> DataFrame:
+    """The id, component_id (smallest id reachable) and kept columns; root_col as in golay.near_duplicates."""
+    held = ["__id", *(f"__k{i}" for i in range(len(keep)))]
+    source = df.select(F.col(id_col).alias("__id"), *[F.col(c).alias(h) for h, c in zip(held[1:], keep, strict=True)], text_or_empty(text_col).alias("__body"))
+    ranks = _ranks(source.select(F.col("__body").alias("t")))
+
+    def make():
+        def work(texts: list[str]) -> list[pa.Array]:
+            sets = [shingle_set(t) for t in texts]
+            return [
+                pa.array([set_key(s) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([prefix_of(s, ranks).tobytes() for s in sets], pa.binary()),
+            ]
+
+        return work
+
+    fields = [T.StructField("__fp", T.LongType(), False), T.StructField("__size", T.LongType(), False), T.StructField("__prefix", T.BinaryType(), False)]
+    marked, _ = materialize(map_texts(source.withColumn("__hash", F.xxhash64("__body")), [*held, "__hash"], F.col("__body"), make, fields), "prefixes")
+    distinct, _ = materialize(marked.groupBy("__fp").agg(F.min("__id").alias("__least"), F.first("__size").alias("__size"), F.first("__prefix").alias("__prefix")), "distinct")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = [np.frombuffer(p, np.int64) for p in part.column(2).to_pylist()]
+                counts = [len(k) for k in keys]
+                place = np.concatenate([np.arange(n, dtype=np.int64) for n in counts])
+                columns = [np.concatenate(keys), np.repeat(part.column(0).to_numpy(), counts), np.repeat(part.column(1).to_numpy(), counts), place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "fp", "size", "place"])
+
+    rows = distinct.select("__fp", "__size", "__prefix").mapInArrow(keyed, "key long, fp long, size long, place long")
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "size", "fp")
+    pairs, _ = materialize(sorted_rows.mapInArrow(lambda b: _in_buckets(b, lambda c: _first_pairs(c, big_bucket)), LINK).distinct(), "pairs")
+    links, _ = materialize(_verified(pairs, _sets_of(source, marked, pairs)), "links")
+    stars, _ = connected_components(links)
+    often, _ = materialize(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > big_bucket).select("key"), "often")
+    if not often.isEmpty():
+        big = rows.join(often, "key").join(stars.withColumnRenamed("src", "fp"), "fp", "left")
+        big = big.select("key", "fp", "size", "place", F.coalesce("dst", "fp").alias("root")).repartition("key").sortWithinPartitions("key", "size", "fp")
+        more, _ = materialize(big.mapInArrow(lambda b: _in_buckets(b, lambda c: _cross_pairs(c, big_bucket)), LINK).distinct(), "more")
+        if not more.isEmpty():
+            stars, _ = connected_components(links.union(_verified(more, _sets_of(source, marked, more))))
+    rooted = distinct.join(stars.withColumnRenamed("src", "__fp"), "__fp", "left").withColumn("__root", F.coalesce("dst", "__fp"))
+    roots = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
+    named = rooted.select("__fp", "__root").join(roots, "__root")
+    return marked.join(named, "__fp").select(
+        F.col("__id").alias(id_col),
+        F.col("__component").alias("component_id"),
+        *[F.col(h).alias(c) for h, c in zip(held[1:], keep, strict=True)],
+        *([F.col("__root").alias(root_col)] if root_col else []),
+    )

@@ -74,8 +74,10 @@ def remove_spread_lines(
     min_sites: int = MIN_SITES,
     most_removed: float = MOST_REMOVED,
     keep: tuple[str, ...] = (),
+    spared_col: str | None = None,
 ) -> DataFrame:
-    """The id, text without boilerplate lines, n_lines (with a word), n_removed and kept columns."""
+    """The id, text without boilerplate lines, n_lines (with a word), n_removed and kept columns; spared_col adds what
+    would be left of the text of a document that is left whole, null for others."""
     places = _occurrences(df, text_col, id_col, site_col)
     boilerplate, _ = materialize(_spread(places.select("line", "id", "site"), min_sites), "boilerplate")
     cut = places.join(boilerplate.select("line", "keeper"), "line").where(~F.col("id").eqNullSafe(F.col("keeper")))
@@ -91,6 +93,7 @@ def remove_spread_lines(
         F.size(F.filter(_lines(F.coalesce("__text", F.lit(""))), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"),
         F.when(whole, 0).otherwise(F.size("__cut")).cast("long").alias("n_removed"),
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
+        *([F.when(whole, F.col("__left")).alias(spared_col)] if spared_col else []),
     )
 
 

@@ -42,3 +42,14 @@ def test_against_sets(spark, least):
     got = sorted(map(tuple, line_dedup.remove_spread_lines(df, min_sites=least).collect()), key=str)
     assert got == brute(rows, least)
     assert line_dedup.remove_spread_lines(df.limit(0)).count() == 0
+
+
+def test_pipeline_cuts_pages_of_mostly_boilerplate(spark):
+    import corpus_pipeline
+
+    spread = ["follow us on all of our many channels", "all rights reserved by the owners of this site", "read our terms of use before you go on"]
+    rows = [(d, "\n".join([f"page {d} says {d * 7} and {d * 11} things", *spread]), "en", f"s{d}", 1) for d in range(1, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.line_dedup(spark, df, "")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.near_dedup(spark, cut, "").collect()}
+    assert got == {d: t if d == 1 else t.split("\n")[0] for d, t, *_ in rows}

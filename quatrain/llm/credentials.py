@@ -7,8 +7,8 @@ match that is too short is dropped after it has used up its signs.
 Besides them there are weak parts, which say nothing alone: identifiers (a user, client or account name that is
 assigned), short secrets (assigned values of 6 to 11 signs, or a random-looking run of 20 or more that no name
 announces) and endpoints (addresses with a scheme, or hosts with a port). Parts are joined as intervals to scopes: a
-scope spans SCOPE code points on either side of a strong access identifier or a weak identifier. Weak parts are reported
-only where complementary ones meet in a scope: an identifier with a secret of either strength; endpoints only where both
+scope spans SCOPE code points on either side of a strong access identifier or a weak identifier, and holds every part, however
+long, that overlaps it. Weak parts are reported only where complementary ones meet in a scope: an identifier with a secret of either strength; endpoints only where both
 are there. Base spans stay whatever the linking finds.
 
 Defined results: a null or empty text has no spans (counts 0, SHA-256 of the empty string, spans ""); repeated rows are
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,10 +36,10 @@ KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 SCOPE = 200
-IDENT = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""", re.IGNORECASE | re.ASCII)
+IDENT = re.compile(r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,}+)""", re.IGNORECASE | re.ASCII)
 IDENT_NAMES = ("user", "login", "account", "client", "access")
-RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,500}|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b""")
+RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{3,}+|\b(?:[a-z0-9-]{1,63}\.){1,126}[a-z]{2,63}:\d{2,5}\b|\b(?:\d{1,3}\.){3}\d{1,3}:\d{2,5}\b""")
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -80,13 +81,16 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], short: list[tuple[
     ends = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text or ":" in text else []
 
     def inside(parts: list[tuple[int, int]], low_end: int, high_end: int) -> list[tuple[int, int]]:
-        found, at = [], bisect_left(parts, (low_end, 0))
-        while at < len(parts) and parts[at][0] < high_end:
-            if parts[at][1] <= high_end:
+        # a part may end far behind its scope, or begin far before it; furthest ends so far come in order
+        found, at = [], bisect_left(furthest[id(parts)], low_end)
+        while at < len(parts) and parts[at][0] <= high_end:
+            if parts[at][1] >= low_end:
                 found.append(parts[at])
             at += 1
         return found
 
+    furthest = {id(parts): list(accumulate((e for _, e in parts), max)) for parts in (weak, strong, ends)}
+
     out: set[tuple[int, int, int]] = set()
     weak_ids = set(idents)
     for s, e in anchors:

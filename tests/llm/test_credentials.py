@@ -58,3 +58,11 @@ def test_operator(spark):
         assert set(filter(None, joined.split(","))) <= set(got[i]["spans"].split(","))
     assert [x.split(":")[0] for x in got[7]["spans"].split(",")] == ["ident", "access", "weak", "endpoint"]
     assert C.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_long_parts_are_linked_whole():
+    token, url, name = "aB3dE5gH7jK9mN1pQ" * 24, "https://db.example.org/" + "x/" * 300, "bob." * 30
+    assert linked(f"client_id: abc {token} {url}") == [("ident", "client_id: abc"), ("weak", token)]
+    assert linked(f"client_id: abc {url} {token}") == []
+    assert linked(f"{token} login: {name} password=hunter2 {url}") == [("weak", token), ("ident", f"login: {name}"), ("weak", "password=hunter2"), ("endpoint", url)]
+    assert linked(f"login: bob token={'x' * 900}") == [("ident", "login: bob")]

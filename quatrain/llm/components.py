@@ -33,4 +33,4 @@ def connected_components(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
         mark = (found["n"], found["h"])
         old = path
         edges, path = materialize(_stars(edges), "stars")
-        discard(spark, old)
+        discard(old)

@@ -92,94 +92,112 @@ def near_indices(words: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np
     return np.where(e < 0, -1, (words[:, None] ^ e) >> 11)
 
 
-def fuzzy_keys(fingerprints: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and the fingerprints they belong to."""
-    bits = fingerprints.view(np.uint64)
-    index = [near_indices(((bits >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64), tables) for at, n in SEGMENTS]
+def fuzzy_keys(words: list[np.ndarray], tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and the rows they belong to, of fingerprints that are one or more 64-bit words."""
+    index = []
+    for word in words:
+        bits = word.view(np.uint64)
+        index += [near_indices(((bits >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64), tables) for at, n in SEGMENTS]
     keys, owners = [], []
-    for pair, (x, y) in enumerate(itertools.combinations(range(3), 2)):
-        a, b = index[x], index[y]
+    for pair, (a, b) in enumerate(itertools.combinations(index, 2)):
         joint = [(a[:, k], b[:, 0]) for k in range(6)] + [(a[:, 0], b[:, k]) for k in range(1, 6)]
         for left, right in joint:
-            there = (left >= 0) & (right >= 0)
+            there = np.flatnonzero((left >= 0) & (right >= 0))
             keys.append(pair << 24 | left[there] << 12 | right[there])
-            owners.append(fingerprints[there])
+            owners.append(there)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _spanning(values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, words of the fingerprint) to (key, fp, words); without words fp itself is the fingerprint."""
+    tables = golay_tables()
+    for batch in batches:
+        for at in range(0, batch.num_rows, 10_000):
+            columns = [c.to_numpy() for c in batch.slice(at, 10_000).columns]
+            keys, owners = fuzzy_keys(columns[1:] or columns, tables)
+            made = [keys.astype(np.int32), *(c[owners] for c in columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["key", "fp", *(f"w{i}" for i in range(len(columns) - 1))])
+
+
+def _apart(words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words ^ x).sum(axis=-1, dtype=np.int64)
+
+
+def _spanning(values: np.ndarray, words: np.ndarray, errors: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that span a bucket: each reached fingerprint is compared with those not reached yet."""
     left, right = [], []
-    rest = values.view(np.uint64)
+    rest = np.arange(len(values))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            close = np.bitwise_count(rest ^ x) <= ERRORS
+            close = _apart(words[rest], words[x]) <= errors
             if close.any():
                 reached = rest[close]
-                left.append(np.full(len(reached), x))
-                right.append(reached)
+                left.append(np.full(len(reached), values[x]))
+                right.append(values[reached])
                 queue += list(reached)
                 rest = rest[~close]
     return left, right
 
 
-def link_buckets(batches: Iterator[pa.RecordBatch], hot_bucket: int) -> Iterator[pa.RecordBatch]:
-    """From (key, fp) in key order: rows (a, b) of links, and (fp, fp) for fingerprints of hot buckets."""
-    held_k, held_v = np.empty(0, np.int32), np.empty(0, np.int64)
+def link_buckets(batches: Iterator[pa.RecordBatch], hot_bucket: int, errors: int = ERRORS) -> Iterator[pa.RecordBatch]:
+    """From (key, fp, words) in key order: rows (a, b) of links, and (fp, fp) for fingerprints of hot buckets."""
     hot_key = None
 
-    def found(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
+    def found(columns: list[np.ndarray]) -> pa.RecordBatch | None:
+        keys, values = columns[:2]
+        words = np.stack([c.view(np.uint64) for c in (columns[2:] or [values])], axis=1)
         left, right = [], []
         if len(keys) > 1:
             starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(keys)]]))
             big = sizes > SMALL_BUCKET
             for s, n in zip(starts[big].tolist(), sizes[big].tolist(), strict=True):
-                a, b = _spanning(values[s : s + n])
+                a, b = _spanning(values[s : s + n], words[s : s + n], errors)
                 left += a
                 right += b
             small = np.repeat(~big, sizes)
-            k, v = keys[small], values[small].view(np.uint64)
+            k, v, w = keys[small], values[small], words[small]
             for step in range(1, int(sizes[~big].max(initial=1))):
                 at = np.flatnonzero(k[:-step] == k[step:])
                 if not len(at):
                     break
-                at = at[np.bitwise_count(v[at] ^ v[at + step]) <= ERRORS]
+                at = at[_apart(w[at], w[at + step]) <= errors]
                 left.append(v[at])
                 right.append(v[at + step])
         if not sum(map(len, left)):
             return None
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0).view(np.int64)
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def hot(values: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(values), pa.array(values)], names=["a", "b"])
 
+    held: list[np.ndarray] | None = None
     for batch in batches:
-        k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = [c.to_numpy() for c in batch.columns]
         if hot_key is not None:
-            same = k == hot_key
+            same = new[0] == hot_key
             if same.any():
-                yield hot(v[same])
-                k, v = k[~same], v[~same]
-            if not len(k):
+                yield hot(new[1][same])
+                new = [c[~same] for c in new]
+            if not len(new[0]):
                 continue
             hot_key = None
-        k, v = np.concatenate([held_k, k]), np.concatenate([held_v, v])
-        if not len(k):
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if not len(held[0]):
             continue
-        last = k[-1]
-        cut = np.searchsorted(k, last)  # keys come in order
-        made = found(k[:cut], v[:cut])
+        last = held[0][-1]
+        cut = int(np.searchsorted(held[0], last))  # keys come in order
+        made = found([c[:cut] for c in held])
         if made is not None:
             yield made
-        held_k, held_v = k[cut:], v[cut:]
-        if len(held_k) > hot_bucket:
-            yield hot(held_v)
-            hot_key, held_k, held_v = last, held_k[:0], held_v[:0]
-    made = found(held_k, held_v)
+        held = [c[cut:] for c in held]
+        if len(held[0]) > hot_bucket:
+            yield hot(held[1])
+            hot_key, held = last, None
+    made = found(held) if held is not None else None
     if made is not None:
         yield made
 
@@ -195,15 +213,7 @@ def _links_of_hot(hot: DataFrame) -> DataFrame:
 
 def link_fingerprints(fps: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """fps: distinct long column fp. Gives pairs (a, b) of linked fingerprints that span every component."""
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = golay_tables()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                keys, owners = fuzzy_keys(batch.column(0).slice(at, 20_000).to_numpy(), tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(owners)], names=["key", "fp"])
-
-    keys = fps.mapInArrow(keyed, "key int, fp long").repartition("key").sortWithinPartitions("key")
+    keys = fps.mapInArrow(keyed_rows, "key int, fp long").repartition("key").sortWithinPartitions("key")
     found, _ = materialize(keys.mapInArrow(lambda b: link_buckets(b, hot_bucket), "a long, b long").distinct(), "links")
     hot = found.where("a = b").select(F.col("a").alias("fp"))
     if hot.isEmpty():

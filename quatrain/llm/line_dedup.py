@@ -5,8 +5,10 @@ HyperLogLog sketches per line hash, which tasks build over their own rows and me
 threshold to trust are settled by exact distinct counts of those lines alone. A boilerplate line is removed from every
 document but those with the smallest id that holds it, so what copies share survives once.
 
-A document that would lose more than MOST_REMOVED of its text is left whole: it is not a page with boilerplate but one of
-many copies, which document deduplication finds as long as they are not cut to shreds.
+Copies of a document share all their lines, and cutting them would leave shreds that document deduplication no longer
+knows as copies. A document is proven to be a copy of another if the spread lines that this one keeps make up more than a
+COPY_SHARE-th of both texts; proven copies are left whole. Every other document loses its spread lines, whatever share of
+its text they are.
 
 Lines are the parts between line breaks; only lines with a word count, and they are compared whole (by 128 bits of their
 SHA-256). Line breaks between the lines that stay are kept.
@@ -16,7 +18,8 @@ sends one sketch a task. Texts move once, to meet the places to cut.
 
 Defined results: null and empty texts have no lines and stay as they are; null sites count together as one site, and
 lines of documents with a null id are removed if another id holds them; repeated rows get equal rows; an empty table
-gives an empty table; further columns pass through if asked for.
+gives an empty table; further columns pass through if asked for. Very long texts are treated like any other; cutting takes
+time in proportion to a text's lines.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from quatrain.llm.common import materialize
 
 MIN_SITES = 8
-MOST_REMOVED = 0.5
+COPY_SHARE = 3
 #: Binary logarithm of the number of sketch registers, and the relative standard error it gives.
 REGISTERS = 12
 ERROR = 1.04 / 2 ** (REGISTERS / 2)
@@ -47,8 +50,9 @@ def line_spread(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
 
 def _occurrences(df: DataFrame, text_col: str, id_col: str, site_col: str) -> DataFrame:
     source = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.col(text_col).cast("string").alias("t"))
-    each = source.select("id", "version", "site", F.posexplode(_lines(F.col("t"))).alias("place", "body"))
-    return each.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("id", "version", "site", "place", F.substring(F.unhex(F.sha2("body", 256)), 1, 16).alias("line"))
+    each = source.select("id", "version", "site", F.length("t").alias("size"), F.posexplode(_lines(F.col("t"))).alias("place", "body"))
+    line = F.substring(F.unhex(F.sha2("body", 256)), 1, 16).alias("line")
+    return each.where(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("id", "version", "site", "size", "place", F.length("body").alias("chars"), line)
 
 
 def _spread(lines: DataFrame, min_sites: int) -> DataFrame:
@@ -66,37 +70,47 @@ def _spread(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact.where(F.col("sites") >= min_sites)).join(often, "line").select("line", "sites", "keeper")
 
 
+def _proven_copies(per: DataFrame, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """__id and __version of copies. per: document, keeper and the lines x that the document shares with it."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + s["chars"])
+    once = F.array_distinct(F.transform("x", lambda s: F.struct(s["line"], s["chars"])))
+    near = per.where(COPY_SHARE * total(F.col("x")) > F.col("size")).select("id", "version", "keeper", total(once).alias("shared"))
+    sizes = df.select(F.col(id_col).alias("keeper"), F.length(F.col(text_col).cast("string")).alias("of")).groupBy("keeper").agg(F.max("of").alias("of"))
+    return near.join(sizes, "keeper").where(COPY_SHARE * F.col("shared") > F.col("of")).select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()
+
+
 def remove_spread_lines(
-    df: DataFrame,
-    text_col: str = "text",
-    id_col: str = "doc_id",
-    site_col: str = "source",
-    min_sites: int = MIN_SITES,
-    most_removed: float = MOST_REMOVED,
-    keep: tuple[str, ...] = (),
-    spared_col: str | None = None,
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", site_col: str = "source", min_sites: int = MIN_SITES, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The id, text without boilerplate lines, n_lines (with a word), n_removed and kept columns; spared_col adds what
-    would be left of the text of a document that is left whole, null for others."""
+    """The id, text without boilerplate lines, n_lines (with a word), n_removed and kept columns."""
     places = _occurrences(df, text_col, id_col, site_col)
     boilerplate, _ = materialize(_spread(places.select("line", "id", "site"), min_sites), "boilerplate")
     cut = places.join(boilerplate.select("line", "keeper"), "line").where(~F.col("id").eqNullSafe(F.col("keeper")))
-    cuts = cut.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.collect_set("place").alias("__cut"))
+    per = cut.groupBy("id", "version", "keeper").agg(F.first("size").alias("size"), F.collect_set(F.struct("line", "chars", "place")).alias("x"))
+    per, _ = materialize(per, "cuts")
+    cuts = per.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(F.flatten(F.collect_list(F.col("x.place"))).alias("__cut"))
+    copies = _proven_copies(per, df, text_col, id_col)
+    same = lambda a, b: a["__id"].eqNullSafe(b["__id"]) & (a["__version"] == b["__version"])
+    cuts = cuts.join(copies, same(cuts, copies), "left_anti")
     held = df.select(F.col(id_col).alias("__own"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
     joined = held.join(cuts, F.col("__own").eqNullSafe(F.col("__id")) & (F.xxhash64("__text") == F.col("__version")), "left")
-    left = F.array_join(F.filter(_lines(F.col("__text")), lambda x, i: ~F.array_contains("__cut", i)), "\n")
-    tried = joined.withColumn("__left", F.when(F.col("__cut").isNotNull(), left))
-    whole = F.col("__left").isNull() | (F.length("__left") < (1 - most_removed) * F.length("__text"))
-    return tried.select(
+    lines = _lines(F.col("__text"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__cut"))
+    left = _let(lines, lambda each: F.array_join(F.transform(stay, lambda i: F.get(each, i)), "\n"))
+    return joined.select(
         F.col("__own").alias(id_col),
-        F.when(whole, F.col("__text")).otherwise(F.col("__left")).alias(text_col),
+        F.when(F.col("__cut").isNull(), F.col("__text")).otherwise(left).alias(text_col),
         F.size(F.filter(_lines(F.coalesce("__text", F.lit(""))), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"),
-        F.when(whole, 0).otherwise(F.size("__cut")).cast("long").alias("n_removed"),
+        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed"),
         *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
-        *([F.when(whole, F.col("__left")).alias(spared_col)] if spared_col else []),
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 SPREAD_SQL = f"""
 WITH l AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS body FROM documents
@@ -105,17 +119,23 @@ WITH l AS (
 ), b AS (
   SELECT body, min(doc_id) AS keeper FROM w GROUP BY body HAVING count(DISTINCT coalesce(source, '')) >= {MIN_SITES}
 ), c AS (
-  SELECT w.doc_id, list(w.place) AS cut FROM w JOIN b USING (body) WHERE w.doc_id <> b.keeper GROUP BY w.doc_id
-), t AS (
-  SELECT d.doc_id, d.text, c.cut, array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(c.cut, i)), chr(10)) AS rest
-  FROM documents d LEFT JOIN c USING (doc_id)
+  SELECT w.doc_id, b.keeper, w.body, list(w.place) AS places FROM w JOIN b USING (body) WHERE w.doc_id <> b.keeper GROUP BY ALL
+), s AS (
+  SELECT doc_id, keeper, sum(length(body) * length(places)) AS own, sum(length(body)) AS shared FROM c GROUP BY ALL
 ), k AS (
-  SELECT *, cut IS NULL OR length(rest) < {1 - MOST_REMOVED} * length(text) AS whole FROM t
+  SELECT DISTINCT s.doc_id FROM s JOIN documents d ON d.doc_id = s.doc_id JOIN documents o ON o.doc_id = s.keeper
+  WHERE {COPY_SHARE} * own > length(d.text) AND {COPY_SHARE} * shared > length(o.text)
+), p AS (
+  SELECT doc_id, flatten(list(places)) AS cut FROM c WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id
+), t AS (
+  SELECT d.doc_id, d.text, cut,
+         CASE WHEN cut IS NULL THEN d.text ELSE array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, i: NOT list_contains(cut, i)), chr(10)) END AS rest
+  FROM documents d LEFT JOIN p USING (doc_id)
 )
 SELECT doc_id,
        CAST(length(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS BIGINT) AS n_lines,
-       CAST(CASE WHEN whole THEN 0 ELSE length(cut) END AS BIGINT) AS n_removed,
-       CAST(length(CASE WHEN whole THEN text ELSE rest END) AS BIGINT) AS n_kept_chars,
-       sha256(CASE WHEN whole THEN text ELSE rest END) AS kept_sha256
-FROM k
+       CAST(coalesce(length(cut), 0) AS BIGINT) AS n_removed,
+       CAST(length(rest) AS BIGINT) AS n_kept_chars,
+       sha256(rest) AS kept_sha256
+FROM t
 """

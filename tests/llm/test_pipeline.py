@@ -7,9 +7,9 @@ import sys
 sys.path.insert(0, os.path.dirname(__file__))
 
 from test_decontaminate import brute_edits
-from test_golay import brute_components, fingerprint_by_words
 from test_line_dedup import brute as brute_lines
 from test_quality import brute_kept, fixture
+from test_similar import brute as brute_similar
 
 import corpus_pipeline
 from quatrain.llm import decontaminate, line_dedup
@@ -45,8 +45,7 @@ def brute(rows: list[tuple]) -> list[tuple]:
         options = [t for d, t, *_ in before if d == r[0]]
         cut[r[0], r[1]] = next(t for t in options if t == r[1] or set(t.split("\n")) <= set(r[1].split("\n")))
     rows = [(r[0], cut[r[0], r[1]], r[2], r[3]) for r in rows]
-    prints = [int(fingerprint_by_words(r[1]), 16) for r in rows]
-    named = brute_components(prints, [r[0] for r in rows])
+    named = brute_similar([(r[0], r[1]) for r in rows])
     rows = sorted({r for i, r in enumerate(rows) if r[0] == named[i]}, key=str)
     item = decontaminate.words_of(ITEMS[0][1])
     rows = [r for r in rows if brute_edits(item, decontaminate.words_of(r[1])) > int(decontaminate.MOST_EDITS * len(item))]

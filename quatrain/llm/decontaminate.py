@@ -1,25 +1,30 @@
 """Benchmark decontamination: edit distance by CGK embedding and bit-sampling LSH.
 
 An item has leaked into a document if some passage of the document is within MOST_EDITS times the item's words of the
-item, counted in inserted, deleted or changed words (lower-cased runs of letters, digits and underscores). Items of fewer
-than MIN_ITEM_WORDS words say nothing and are not searched.
+item, counted in inserted, deleted or changed words (lower-cased runs of letters, digits and underscores; in Chinese and
+Japanese script every sign is a word). Items of fewer than five words have leaked where their words stand unchanged.
 
 The CGK embedding walks over a sequence and writes the word under its pointer at every step; a hash of step and word
 says whether the pointer moves. Walks over two sequences that differ by edits fall into step again after each of them,
 so few edits become a small Hamming distance. Sampling SAMPLES steps of the walk gives a key that near sequences share
 with some probability, and REPEATS walks with keys of their own raise that to the recall wanted. Windows of exactly an
-item's length are embedded and looked up among the items' keys; what meets is verified by exact alignment.
+item's length are embedded and looked up among the items' keys; what meets is verified by exact alignment. An item of more than
+LONG_WORDS words is looked for by its pieces: if the whole is within MOST_EDITS, so is one of its pieces, and the whole
+item is then aligned.
 
 Where windows begin: an item's first words hold a short run that its edits leave whole. Each of k edits breaks at most g
 runs of g words, so of the first g*k+1 runs one stays; a window begins only where such a run puts an item's first word.
 That leaves out no passage within k edits (one that has lost words before the run is embedded a few words askew, which
 the walk takes as edits).
 
-Scale: the operator is narrow over documents. Items are held in blocks of BLOCK_CHARS characters, so their memory is
-bounded whatever the benchmark's size; with more blocks documents pass through more lookups.
+Scale: the operator is narrow over documents. Items are taken in blocks of about BLOCK_CHARS characters, so memory on
+the driver and in tasks is bounded whatever the benchmark's size, and windows are no longer than pieces, whatever an
+item's length. With more than one block documents are read once a block, each block's
+leaks are written to the shared folder and only they are joined.
 
-Defined results: null and empty texts have no leaks; null items are no items; repeated documents or items are reported
-each; empty tables give no leaks; other columns are not read.
+Defined results: null and empty texts have no leaks; null items and items without a word are no items; repeated documents
+or items are reported each; empty tables give no leaks; very long texts are treated like any other; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -33,20 +38,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quatrain.llm.common import map_texts, text_or_empty
+from quatrain.llm.common import map_texts, materialize, text_or_empty
 
 MOST_EDITS = 0.2
-MIN_ITEM_WORDS = 5
+LONG_WORDS = 96
 #: Found by simulation: a window at MOST_EDITS shares a key with probability 0.26 (60 words) to 0.55 (10 words) a walk,
 #: so it is missed by all walks once in a thousand times or less.
 REPEATS, SAMPLES = 48, 2
 #: Samples lie in the first so many steps a word; walks move on every other step on average.
 STEPS_PER_WORD = 1.0
 BLOCK_CHARS = 8_000_000
+#: Windows that are embedded at a time, and characters of the texts they come from.
+WINDOWS, TEXT_CHARS = 4096, 1_000_000
 SEED = 20_240_601
 
-WORD = re.compile(r"\w+")
+#: Fixed value: signs that are words of their own.
+SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{SIGNS}]|[^\W{SIGNS}]+")
 PAST_END, PAST_TEXT = -1, -2
 TWIST = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,7 +79,7 @@ def edits_to_passage(item: np.ndarray, text: np.ndarray) -> int:
 
 
 class LeakIndex:
-    """Items of one block: vocabulary, runs that windows begin by, and keys of the items' walks."""
+    """Items of one block: vocabulary, pieces, runs that windows begin by, and keys of the pieces' walks."""
 
     def __init__(self, items: list[tuple[object, str]], repeats: int = REPEATS):
         self.repeats = repeats
@@ -77,23 +87,30 @@ class LeakIndex:
         self.names, self.items = [], []
         for name, text in items:
             words = words_of(text or "")
-            if len(words) >= MIN_ITEM_WORDS:
+            if words:
                 self.names.append(name)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
+        self.pieces, self.piece_item, self.piece_at = [], [], []
+        for i, x in enumerate(self.items):
+            cuts = np.linspace(0, len(x), -(-len(x) // LONG_WORDS) + 1).astype(np.int64).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                self.pieces.append(x[a:b])
+                self.piece_item.append(i)
+                self.piece_at.append(a)
         self.base = len(self.vocabulary) + 2
         rng = np.random.default_rng(SEED)
-        self.longest = max(map(len, self.items), default=0)
+        self.longest = max(map(len, self.pieces), default=0)
         self.steps = int(STEPS_PER_WORD * self.longest) + 1
         self.mix = rng.integers(1, 1 << 63, (self.repeats, self.steps), np.uint64) * np.uint64(2) + np.uint64(1)
         self.shift = rng.integers(0, (1 << 64) - 1, (self.repeats, self.steps), np.uint64, endpoint=True)
         self.where = rng.random((SAMPLES, self.repeats))
         self.starts = {g: self._starts(g) for g in (1, 2, 3)}
-        sizes = np.array([len(x) for x in self.items], np.int64)
-        grid = np.full((len(self.items), max(1, self.longest)), PAST_END, np.int64)
-        for row, x in zip(grid, self.items, strict=True):
+        sizes = np.array([len(x) for x in self.pieces], np.int64)
+        grid = np.full((len(self.pieces), max(1, self.longest)), PAST_END, np.int64)
+        for row, x in zip(grid, self.pieces, strict=True):
             row[: len(x)] = x
-        keys = self.walk_keys(grid, sizes)
-        self.owner = np.tile(np.arange(len(self.items)), (self.repeats, 1)).ravel()
+        keys = np.concatenate([self.walk_keys(grid[at : at + WINDOWS], sizes[at : at + WINDOWS]) for at in range(0, max(1, len(sizes)), WINDOWS)], axis=1)
+        self.owner = np.tile(np.arange(len(self.pieces)), (self.repeats, 1)).ravel()
         order = np.argsort(keys.ravel(), kind="stable")
         self.keys, self.owner = keys.ravel()[order], self.owner[order]
 
@@ -105,7 +122,7 @@ class LeakIndex:
     def _starts(self, g: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted (run, offset, item length) and distinct: where the run stands, how far the item's start lies behind."""
         found = set()
-        for x in self.items:
+        for x in self.pieces:
             n = len(x)
             if self.run_length(n) == g:
                 for o in range(min(g * int(MOST_EDITS * n) + 1, n - g + 1)):
@@ -177,8 +194,9 @@ class LeakIndex:
         if not len(found):
             return out
         best: dict[int, dict[int, int]] = defaultdict(dict)
-        for part in range(0, len(found), 4096):
-            starts, sizes, text = found[part : part + 4096].T
+        tried: dict[tuple[int, int], list[int]] = defaultdict(list)
+        for part in range(0, len(found), WINDOWS):
+            starts, sizes, text = found[part : part + WINDOWS].T
             low, high = bounds[text], bounds[text + 1] - 1
             place = starts[:, None] + np.arange(self.longest)[None, :]
             inside = (place >= low[:, None]) & (place < high[:, None])
@@ -188,12 +206,14 @@ class LeakIndex:
             many = behind - first
             window = np.repeat(np.tile(np.arange(len(starts)), self.repeats), many)
             item = self.owner[np.repeat(first, many) + np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)]
-            for w, i in np.unique(np.stack([window, item], axis=1), axis=0).tolist():
-                n, t = len(self.items[i]), int(text[w])
+            for w, p in np.unique(np.stack([window, item], axis=1), axis=0).tolist():
+                i, t = self.piece_item[p], int(text[w])
+                n, begin = len(self.items[i]), int(starts[w]) - self.piece_at[p]
                 k = int(MOST_EDITS * n)
-                if best[t].get(i, k + 1) == 0:
+                if best[t].get(i, k + 1) == 0 or any(abs(begin - x) <= k for x in tried[t, i]):
                     continue
-                a, b = max(int(low[w]), int(starts[w]) - 2 * k), min(int(high[w]), int(starts[w]) + n + 2 * k)
+                tried[t, i].append(begin)
+                a, b = max(int(low[w]), begin - 3 * k), min(int(high[w]), begin + n + 3 * k)
                 # each of the item's words that is nowhere in the passage costs an edit
                 if int((~np.isin(self.items[i], ids[a:b])).sum()) > k:
                     continue
@@ -210,30 +230,47 @@ def mark_leaks(
 ) -> DataFrame:
     """Kept columns and leaks: an array of (item_id, edits), empty for clean documents."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("body")).where("body is not null")
-    chars = items.agg(F.sum(F.length("body")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-chars // BLOCK_CHARS))
     kind = items.schema["item"].dataType
-    struct = T.StructType([T.StructField("item_id", kind), T.StructField("edits", T.IntegerType(), False)])
-    arrow = pa.list_(pa.struct([pa.field("item_id", {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]), pa.field("edits", pa.int32(), False)]))
-    source = df.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], text_or_empty(text_col).alias("__body"))
+    leak = T.StructType([T.StructField("item_id", kind), T.StructField("edits", T.IntegerType(), False)])
+    leaks = T.StructField("__leaks", T.ArrayType(leak, True), False)
+    arrow = to_arrow_type(leaks.dataType)
     held = [f"__k{i}" for i in range(len(keep))]
-    parts = []
-    for block in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).collect()
-        index = LeakIndex([(r["item"], r["body"]) for r in rows])
+    source = df.select(*[F.col(c).alias(h) for h, c in zip(held, keep, strict=True)], text_or_empty(text_col).alias("__body"))
+    chars = items.agg(F.sum(F.length("body")).alias("n")).first()["n"] or 0
+    n_blocks = max(1, -(-chars // BLOCK_CHARS))
+
+    def block_leaks(rows: DataFrame, columns: list[str], block: int) -> DataFrame:
+        own = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks)) == block).collect()
+        index = LeakIndex([(r["item"], r["body"]) for r in own])
 
-        def make(index=index):
+        def make():
             def work(texts: list[str]) -> list[pa.Array]:
-                out = []
-                for at in range(0, len(texts), 256):
-                    out += [[{"item_id": i, "edits": e} for i, e in row] for row in index.leaks(texts[at : at + 256])]
-                return [pa.array(out, arrow)]
+                out, part, size = [], [], 0
+                for t in texts:
+                    if part and size + len(t) > TEXT_CHARS:
+                        out += index.leaks(part)
+                        part, size = [], 0
+                    part.append(t)
+                    size += len(t)
+                out += index.leaks(part)
+                return [pa.array([[{"item_id": i, "edits": e} for i, e in row] for row in out], arrow)]
 
             return work
 
-        source = map_texts(source, [*held, "__body", *parts], F.col("__body"), make, [T.StructField(f"__b{block}", T.ArrayType(struct, True), False)])
-        parts.append(f"__b{block}")
-    return source.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.concat(*parts).alias(leaks_col))
+        return map_texts(rows, columns, F.col("__body"), make, [leaks])
+
+    if n_blocks == 1:
+        out = block_leaks(source, held, 0)
+    else:
+        rows, _ = materialize(source.withColumn("__row", F.monotonically_increasing_id()), "texts")
+        found = None
+        for block in range(n_blocks):
+            part, _ = materialize(block_leaks(rows, ["__row"], block).where(F.size("__leaks") > 0), f"leaks{block}")
+            found = part if found is None else found.unionByName(part)
+        found = found.groupBy("__row").agg(F.flatten(F.collect_list("__leaks")).alias("__leaks"))
+        none = F.array().cast(leaks.dataType)
+        out = rows.join(found, "__row", "left").withColumn("__leaks", F.coalesce("__leaks", none))
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.col("__leaks").alias(leaks_col))
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

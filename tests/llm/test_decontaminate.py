@@ -62,7 +62,7 @@ def test_recall_and_precision(spark):
         words = D.words_of(text or "")
         for i, body in items:
             item = D.words_of(body or "")
-            if len(item) >= D.MIN_ITEM_WORDS and (e := brute_edits(item, words)) <= int(D.MOST_EDITS * len(item)):
+            if item and (e := brute_edits(item, words)) <= int(D.MOST_EDITS * len(item)):
                 want.add((d, i, e))
     assert set(got) <= want
     assert len(set(got)) >= 0.98 * len(want) and len(want) > 80
@@ -78,3 +78,34 @@ def test_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, D.find_leaks(df, bench).collect()))
     monkeypatch.setattr(D, "BLOCK_CHARS", 40)
     assert sorted(map(tuple, D.find_leaks(df, bench).collect())) == whole and len(whole) == 6
+
+
+def test_long_items_go_by_pieces(spark):
+    rnd = random.Random(8)
+    pool = [f"w{i}" for i in range(3000)] + ["the", "of", "and"] * 200
+    prose = lambda k: [rnd.choice(pool) for _ in range(k)]
+    item = prose(6000)
+    near = edited(rnd, item, 300)
+    clean = prose(9000)
+    docs = [("a", prose(200) + near + prose(3000)), ("b", clean), ("c", clean[:50] + item[1000:1400] + clean[50:]), ("d", near[:4700])]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id string, text string")
+    bench = spark.createDataFrame([("long", " ".join(item)), ("part", " ".join(item[1000:1200]))], "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in D.find_leaks(df, bench).collect()}
+    code = {w: i for i, w in enumerate({w for _, d in docs for w in d} | set(item))}
+    number = lambda ws: np.array([code[w] for w in ws], np.int64)
+    want = {}
+    for name, x in (("long", item), ("part", item[1000:1200])):
+        for d, text in docs:
+            e = D.edits_to_passage(number(x), number(text))
+            if e <= int(D.MOST_EDITS * len(x)):
+                want[d, name] = e
+    assert got == want and ("a", "long") in got and ("c", "part") in got and "b" not in {d for d, _ in got}
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items = [(1, "two words"), (2, "one"), (3, "床前明月光"), (4, "...")]
+    docs = [(1, "these Two, words"), (2, "two other words"), (3, "他说床前明月光是诗"), (4, "床前月光"), (5, "one!")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("cast(item_id as decimal(9,0)) item_id", "text")
+    got = sorted((r["doc_id"], int(r["item_id"]), r["edits"]) for r in D.find_leaks(df, bench).collect())
+    assert got == [(1, 1, 0), (3, 3, 0), (4, 3, 1), (5, 2, 0)]

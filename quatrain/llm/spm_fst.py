@@ -2,13 +2,14 @@
 
 The machine is a cascade of three transducers over the tropical semiring:
 
-* the normaliser (blank to blank mark, one blank mark in front; the identity else),
+* the normaliser (blank to blank mark, one blank mark in front; the identity else), compiled to a table of signs,
 * the pieces: from the state "last piece was a" an arc reads the signs of piece b, writes b's id and leads to the state
   "last piece was b",
 * byte fallback: an arc for each sign that no piece has, writing the ids of its UTF-8 bytes.
 
-Composed with an input it is a lattice whose states are (position, last piece). Arc weights of a unigram model are the
-negated scores, so the shortest path is the best segmentation. In a merge (BPE) model scores are merge ranks, and
+Composed with an input it is a lattice whose states are (position, last piece), and the result is what the path of least
+weight writes (PieceTransducer.shortest). Arc weights of a unigram model are the negated scores, so the shortest path is
+the best segmentation. In a merge (BPE) model scores are merge ranks, and
 summing them does not give the merge result. Its arcs weigh 0 where the merge procedure keeps the border between a and
 b and infinity where some merge would cross it. A sequence of pieces is the merge result exactly if no neighbouring
 pair has a merge over its border, because nothing outside the two pieces acts before the first such merge; so the one
@@ -17,7 +18,7 @@ turn, latest first, and asking whether the two signs groups that face each other
 
 Inputs fall into chunks (pieces.chunks), and chunks are composed once while a bounded cache holds them.
 
-Defined results: a null or empty text encodes to no ids and decodes to the empty text; the decoded text is the text with
+Defined results: a null or empty text encodes to no ids and decodes to the empty text; very long texts are encoded whole; the decoded text is the text with
 blank marks read as blanks; repeated rows are encoded each; an empty table gives an empty table; columns that are not
 asked for are not read.
 """
@@ -25,6 +26,8 @@ asked for are not read.
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 from quatrain.llm.common import map_texts, text_or_empty
 from quatrain.llm.pieces import BYTE, NORMAL, SPACE, PieceModel, chunks, read_model
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 CACHE_BORDERS = 400_000
 
 
@@ -54,17 +57,44 @@ class ArcLengths(dict):
         return found
 
 
+class Composed(dict):
+    """What chunks write, as bytes of their ids; composed when they are first asked for. Of the most recent ones twice
+    the bound is held: when one half is full the other is forgotten."""
+
+    def __init__(self, compose, most: int):
+        super().__init__()
+        self.compose, self.most, self.older = compose, most, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.older.get(chunk)
+        if found is None:
+            found = array("i", self.compose(chunk)).tobytes()
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = found
+        return found
+
+
+#: State of the piece machine before any piece, and of a unigram machine throughout.
+START = -1
+INFINITE = float("inf")
+
+
 class PieceTransducer:
     def __init__(self, model: PieceModel, cache: int = CACHE_CHUNKS):
-        self.model, self.most = model, cache
+        self.model = model
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
-        self.longest = max(map(len, self.ids))
         self.bytes = model.byte_ids
         self.unknown = next((i for i, k in enumerate(model.kinds) if k == 2), 0)
+        self.normaliser = {ord(" "): SPACE}
         self.signs = {s for p in self.ids for s in p}
         self.cost = [-s for s in model.scores]
-        self.borders: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        #: what the library adds for a sign that no piece has
+        self.fallback_cost = 10.0 - min((s for s, k in zip(model.scores, model.kinds, strict=True) if k == NORMAL), default=0.0)
+        self.borders: dict[int, float] = {}
+        self.known = Composed(self.compose, cache)
+        self.arcs, self.lengths = self.ids, ArcLengths(self.ids)
         if model.bpe:
             self._compile_merges()
 
@@ -118,78 +148,89 @@ class PieceTransducer:
             else:
                 return True
 
-    def _merge_path(self, text: str) -> list[int]:
-        """The one path of finite weight, depth first and longest arcs first. The part of a text before a position has
-        one such path as well, so a position from which the search came back once needs no second visit."""
-        arcs, borders, lengths, size = self.arcs.get, self.borders, self.lengths, len(text)
-        path: list[int] = []
-        steps: list[int] = []
-        dead: set[int] = set()
-        at, below = 0, size + 1
-        while at < size:
-            for n in lengths[text[at : at + 3]]:
-                if n >= below or at + n > size or at + n in dead:
-                    continue
+    def weight(self, last: int, piece: int) -> float:
+        """Of the arc that reads the piece after the last one; negative numbers are signs without a piece."""
+        if not self.model.bpe:
+            return self.cost[piece] if piece >= 0 else self.fallback_cost
+        if last < 0 or piece < 0:
+            return 0.0  # nothing merges over the border of such a sign
+        key = last << 32 | piece
+        found = self.borders.get(key)
+        if found is None:
+            if len(self.borders) >= CACHE_BORDERS:
+                self.borders.clear()
+            found = self.borders[key] = 0.0 if self.holds(last, piece) else INFINITE
+        return found
+
+    def _out(self, text: str, at: int) -> Iterator[tuple[int, int]]:
+        """Arcs of the piece and fallback machines that read the text from a position: signs read, and what is written;
+        longest first."""
+        arcs, left = self.arcs.get, len(text) - at
+        for n in self.lengths[text[at : at + 3]]:
+            if n <= left:
                 piece = arcs(text[at : at + n])
-                if piece is None:
-                    continue
-                if path:
-                    key = path[-1] << 32 | piece
-                    ok = borders.get(key)
-                    if ok is None:
-                        if len(borders) >= CACHE_BORDERS:
-                            borders.clear()
-                        ok = borders[key] = self.holds(path[-1], piece)
-                    if not ok:
-                        continue
-                path.append(piece)
-                steps.append(n)
-                at += n
-                below = size + 1
-                break
+                if piece is not None:
+                    yield n, piece
+        if text[at] not in self.signs:
+            yield 1, -2 - ord(text[at])
+
+    def shortest(self, text: str) -> list[int]:
+        """What the path of least weight through the lattice writes: ids; -2 minus the code point for a sign without a
+        piece. Of equal weights the path stays that was found first."""
+        return self._first_of_weight_zero(text) if self.model.bpe else self._least_of_all(text)
+
+    def _least_of_all(self, text: str) -> list[int]:
+        """By position: the least weight, and the arc that it comes by."""
+        best: list[tuple[float, int, int]] = [(0.0, 0, START)] + [(INFINITE, 0, START)] * len(text)
+        for at in range(len(text)):
+            for n, piece in self._out(text, at):
+                total = best[at][0] + self.weight(START, piece)
+                if total < best[at + n][0]:
+                    best[at + n] = (total, at, piece)
+        path, at = [], len(text)
+        while at:
+            path.append(best[at][2])
+            at = best[at][1]
+        return path[::-1]
+
+    def _first_of_weight_zero(self, text: str) -> list[int]:
+        """Weights are zero or infinite, so the first whole path of weight zero is a shortest one: best-first search, which
+        here takes the furthest state first and makes its arcs as they are asked for. The part of a text before a position
+        has one such path as well, so a position from which the search came back once needs no second visit."""
+        size, weight, out = len(text), self.weight, self._out
+        path, ways, places, dead, at = [START], [out(text, 0)] if size else [], [0], set(), 0
+        while at < size:
+            last = path[-1]
+            for n, piece in ways[-1]:
+                if at + n not in dead and weight(last, piece) == 0.0:
+                    path.append(piece)
+                    at += n
+                    places.append(at)
+                    if at < size:
+                        ways.append(out(text, at))
+                    break
             else:
                 dead.add(at)
                 path.pop()
-                below = steps.pop()
-                at -= below
-        return path
-
-    def _cheapest_path(self, text: str) -> list[int]:
-        """Tropical shortest path of a unigram model; of equal weights the path that comes first by start is taken."""
-        best: list[float] = [0.0] + [float("inf")] * len(text)
-        back = [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = self.ids.get(text[start:end])
-                if i is not None and best[start] + self.cost[i] < best[end]:
-                    best[end], back[end] = best[start] + self.cost[i], start
-        path, end = [], len(text)
-        while end:
-            path.append(self.ids[text[back[end] : end]])
-            end = back[end]
-        return path[::-1]
+                ways.pop()
+                places.pop()
+                at = places[-1]
+        return path[1:]
 
     def compose(self, chunk: str) -> list[int]:
-        """Ids of one chunk: runs of signs that pieces have go through the lattice, other signs through their bytes."""
-        text, out, run = chunk.replace(" ", SPACE), [], 0
-        shortest = self._merge_path if self.model.bpe else self._cheapest_path
-        for at, sign in enumerate(text):
-            if sign not in self.signs:
-                out += shortest(text[run:at])
-                out += [self.bytes[b] for b in sign.encode("utf-8")] if self.bytes else [self.unknown]
-                run = at + 1
-        return out + shortest(text[run:])
-
-    def chunk_ids(self, chunk: str) -> bytes:
-        found = self.known.get(chunk)
-        if found is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            found = self.known[chunk] = array("i", self.compose(chunk)).tobytes()
-        return found
+        """Ids that the cascade writes for one chunk."""
+        out: list[int] = []
+        for piece in self.shortest(chunk.translate(self.normaliser)):
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(-2 - piece).encode("utf-8")]
+            else:
+                out.append(self.unknown)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunk_ids, chunks(text))), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks(text))), np.int32)
 
     def output_bytes(self) -> list[bytes]:
         """What each id writes in the inverse machine; control and unknown pieces write what the library writes."""
@@ -198,28 +239,38 @@ class PieceTransducer:
             for p, k in zip(self.model.pieces, self.model.kinds, strict=True)
         ]
 
+    def decode_rows(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts that rows of ids write; row k is flat[ends[k]:ends[k + 1]]."""
+        if not hasattr(self, "written"):
+            self.written = pa.array(self.output_bytes(), pa.large_binary())
+            self.sizes = np.array([len(b) for b in self.output_bytes()], np.int64)
+        data = self.written.take(pa.array(flat)).buffers()[2]
+        all_bytes = data.to_pybytes() if data is not None else b""
+        at = np.concatenate([[0], np.cumsum(self.sizes[flat])])[ends].tolist()
+        texts = [all_bytes[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
     def decode(self, ids) -> str:
-        written = b"".join(map(self.output_bytes_.__getitem__, ids)).decode("utf-8", "replace")
-        return written[1:] if written.startswith(" ") else written
+        return self.decode_rows(np.array(ids, np.int32), np.array([0, len(ids)]))[0]
+
 
-    @property
-    def output_bytes_(self) -> list[bytes]:
-        if not hasattr(self, "_written"):
-            self._written = self.output_bytes()
-        return self._written
+@lru_cache(1)
+def machine_of(model_path: str) -> PieceTransducer:
+    """Compiled once a Python worker; its tasks share what has been composed."""
+    return PieceTransducer(read_model(model_path))
 
 
 def encode_texts(df: DataFrame, model_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """Kept columns, ids (array of int) and the text decoded from the ids again."""
 
     def make():
-        machine = PieceTransducer(read_model(model_path))
+        machine = machine_of(model_path)
 
         def work(texts: list[str]) -> list[pa.Array]:
             rows = [machine.encode(t) for t in texts]
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([machine.decode(r.tolist()) for r in rows], pa.string())]
+            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(machine.decode_rows(flat, ends), pa.string())]
 
         return work
 

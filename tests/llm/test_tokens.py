@@ -64,7 +64,7 @@ def test_cheapest_path_of_a_unigram_model():
 
     for _ in range(200):
         s = "▁" + "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
-        ids = machine._cheapest_path(s)
+        ids = machine.shortest(s)
         assert "".join(model.pieces[i] for i in ids) == s
         assert sum(-model.scores[i] for i in ids) == pytest.approx(cheapest(s))
 

@@ -9,13 +9,15 @@ Of records with equal payloads of at least min_bytes bytes the one with the smal
 revisit it. Smaller ones are all responses.
 
 Writing: least ids and payloads are aggregated by digest, with partial aggregation, so a payload that a third of all
-pages share sends one row a task. Reading verifies every stored payload against its address, its length and its
-SHA-1 once, and pages join those few numbers; a hot digest's rows are left to Spark's splitting of skewed joins.
+pages share sends one row a task. Reading verifies every stored payload against its address and joins headers to payloads
+to the records' exact bytes, from which lengths, digests and links are then read; a hot digest's headers are left to
+Spark's splitting of skewed joins, and its payload is sent once a split.
 
 Defined results: null pages have empty payloads; a null or unparsable URL leaves the target header out (line breaks in
 URLs are percent-encoded); rows that repeat an id with an equal payload are all responses, stored once; of records with
 a null id one is the response only if all of its group have null ids (then all are); an empty table gives empty archives
-and results; other columns are not read.
+and results; very long pages are treated like any other; signs in text ids that would end a header field are
+percent-encoded; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,21 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), DIGITS, BASE32)
 
 
+#: Signs that an id must not bring into a header line, and what stands for them; the sign of the escape comes first.
+ESCAPES = (("%", "%25"), (">", "%3E"), ("\r", "%0D"), ("\n", "%0A"))
+
+
 def _id_uri(column: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("none")), F.lit(">"))
+    name = column.cast("string")
+    for sign, code in ESCAPES:
+        name = F.replace(name, F.lit(sign), F.lit(code))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(name, F.lit("none")), F.lit(">"))
+
+
+def _id_of(uri: Column, kind: str) -> Column:
+    for sign, code in reversed(ESCAPES):
+        uri = F.replace(uri, F.lit(code), F.lit(sign))
+    return uri.cast(kind)
 
 
 def _header(date: str) -> Column:
@@ -97,40 +112,45 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record (the WARC record's exact bytes), payload (of the page, also for revisits)."""
     headers = spark.read.parquet(f"{path}/headers")
     joined = headers.join(verified_payloads(spark, path), "address")
-    response = _field("Type") == "response"
+    response = _field("WARC-Type") == "response"
     block = F.when(response, F.col("payload")).otherwise(F.lit(b""))
     return joined.select("page_id", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
 
 
-def _field(name: str) -> Column:
-    return F.regexp_extract("header", rf"\r\nWARC-{name}: ([^\r]*)\r\n", 1)
-
-
-def read_index(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """Per page: page_id, url, payload_bytes and payload_digest (of the stored payload, checked against the header),
-    record_type and refers_to (both read from the header)."""
-    headers = spark.read.parquet(f"{path}/headers").select(
+def _field(name: str, head: str = "header") -> Column:
+    return F.regexp_extract(head, rf"\r\n{name}: ([^\r]*)(?:\r\n|\z)", 1)
+
+
+def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """Per page, from the bytes of its rebuilt record: page_id, url, payload_bytes, payload_digest, record_type and
+    refers_to. A response's payload is cut out of the record by the lengths it states; a revisit's is the payload its
+    digest points to. A payload that is not what its header says raises an error."""
+    blank = F.lit(LINE + LINE)
+    parts = read_records(spark, path).select("page_id", "record", "payload", F.substring_index(F.col("record").cast("string"), blank, 1).alias("head"))
+    block = F.substring(F.col("record"), F.octet_length("head") + 5, _field("Content-Length", "head").cast("int"))
+    blocked = parts.select("page_id", "head", "payload", _field("WARC-Type", "head").alias("record_type"), block.alias("block"))
+    http = F.octet_length(F.substring_index(F.col("block").cast("string"), blank, 1))
+    own = F.when(F.col("record_type") == "response", F.substring(F.col("block"), http + 5, F.octet_length("block"))).otherwise(F.col("payload"))
+    found = blocked.select("page_id", "head", "record_type", own.alias("payload")).withColumn("digest", base32_sha1(F.col("payload")))
+    said = _field("WARC-Payload-Digest", "head")
+    url = _field("WARC-Target-URI", "head")
+    refers = F.regexp_extract("head", "\r\nWARC-Refers-To: <urn:page:([^>]*)>", 1)
+    return found.select(
         "page_id",
-        "address",
-        _field("Type").alias("record_type"),
-        _field("Payload-Digest").alias("said"),
-        F.when(_field("Target-URI") != "", _field("Target-URI")).alias("url"),
-        F.when(_field("Type") == "revisit", F.regexp_extract("header", "\r\nWARC-Refers-To: <urn:page:([^>]*)>", 1)).cast(id_type).alias("refers_to"),
-    )
-    store = verified_payloads(spark, path).select("address", "payload_bytes", "payload_digest")
-    joined = headers.join(store, "address", "left")
-    digest = F.when(F.col("said") == F.concat(F.lit("sha1:"), F.col("payload_digest")), F.col("payload_digest")).otherwise(
-        F.raise_error(F.concat(F.lit("no payload as the header says: "), F.col("said"))).cast("string")
+        F.when(url != "", url).alias("url"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.when(said == F.concat(F.lit("sha1:"), F.col("digest")), F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("no payload as the header says: "), said)).cast("string")).alias("payload_digest"),
+        "record_type",
+        F.when(F.col("record_type") == "revisit", _id_of(refers, id_type)).alias("refers_to"),
     )
-    return joined.select("page_id", "url", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive_roundtrip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages to an archive in the shared folder and read its index back."""
+    """Write pages to an archive in the shared folder, rebuild the records and read them."""
     spark = pages.sparkSession
     path = scratch_path(spark, "archive")
     write_archive(pages, path, min_bytes=min_bytes)
-    return read_index(spark, path, pages.schema["page_id"].dataType.simpleString())
+    return read_pages(spark, path, pages.schema["page_id"].dataType.simpleString())
 
 
 #: Digest arithmetic as in base32_sha1: per group of 10 hexadecimal digits eight base-32 digits.

@@ -74,3 +74,9 @@ def test_sql(spark):
     want = con.execute(warc.ROUNDTRIP_SQL).fetchall()
     got = warc.archive_roundtrip(spark.createDataFrame(rows, SCHEMA)).drop("url").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_text_ids_with_signs_of_the_header(spark):
+    rows = [("b>%3E\r\n", None, "same"), ("a%>", "http://x", "same"), ("c", "http://x", "own")]
+    got = warc.archive_roundtrip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [("a%>", "response", None), ("b>%3E\r\n", "revisit", "a%>"), ("c", "response", None)]

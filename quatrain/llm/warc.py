@@ -125,7 +125,7 @@ def read_pages(spark: SparkSession, path: str, id_type: str = "bigint") -> DataF
     """Per page, from the bytes of its rebuilt record: page_id, url, payload_bytes, payload_digest, record_type and
     refers_to. A response's payload is cut out of the record by the lengths it states; a revisit's is the payload its
     digest points to. A payload that is not what its header says raises an error."""
-    blank = F.lit(LINE + LINE)
+    blank = LINE + LINE
     parts = read_records(spark, path).select("page_id", "record", "payload", F.substring_index(F.col("record").cast("string"), blank, 1).alias("head"))
     block = F.substring(F.col("record"), F.octet_length("head") + 5, _field("Content-Length", "head").cast("int"))
     blocked = parts.select("page_id", "head", "payload", _field("WARC-Type", "head").alias("record_type"), block.alias("block"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -35,7 +34,12 @@ def sessionize(lines: DataFrame, doc: str, starts, markers: Sequence[tuple[str,
 def number_entries(entries: DataFrame, order: Sequence[str], prefix: str) -> DataFrame:
     """Ids with a running number over all entries, three digits or more."""
     n = F.row_number().over(Window.orderBy(*order))
-    return entries.withColumn("id", F.concat(F.lit(f"{prefix}-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
+    return entries.withColumn("id", F.concat(F.lit(f"{prefix}-"), _three_digits(n)))
+
+
+def _three_digits(n):
+    text = n.cast("string")
+    return F.when(n < 1000, F.lpad(text, 3, "0")).otherwise(text)
 
 
 def incomplete_pairs(df: DataFrame, id_col: str, originals: Sequence[str], translation: str) -> DataFrame:
@@ -48,160 +52,152 @@ def incomplete_pairs(df: DataFrame, id_col: str, originals: Sequence[str], trans
 
 
 #: Fixed values of the two paragraph grammars.
+KO_OLDEST, KO_VARIANT, KO_MODERN = "乡歌", "辞说时调", "现代诗"
 KO_SECTIONS = {"乡歌": "hyangga", "时调": "sijo", "辞说时调": "sijo-variant", "现代诗": "modern"}
-KO_HEADERS = ("乡歌：", "时调：", "辞说时调：")
 KO_PROSE = ("形式：", "四句体：", "十句体：", "吏读：", "平时调：", "两种变体：")
-KO_TITLE = r"^(.*?)([가-힣][가-힣\s]*)?（(四句体|八句体|十句体)）$"
+KO_TITLE = r"^(.*?)([가-힣][가-힣\s]*)?（(四句体|八句体|十句体)）\z"
 KO_AUTHOR = r"[（(]([^（）()]{1,12})\s*作[）)]"
 KO_FIELDS = (("hyangchal", "“吏读”版本："), ("text_ko", "现代韩文版："), ("text_zh", "中文翻译："))
 SENTENCE_ENDS = ("：", "。", "！", "？", "；", "，", "…")
 RU_TITLES = ("给娜塔利亚", "我记得那美妙的一瞬", "致大海")
+RU_AUTHOR = "普希金"
+RU_MARKS = (("text_ru", "俄语原文："), ("text_zh", "中译文："))
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮"
 
-
-class KoreanEntries:
-    """Reads paragraphs one by one; finished entries are dicts."""
-
-    def __init__(self, source: str):
-        self.source, self.done, self.section, self.entry, self.field = source, [], None, None, None
-
-    def close(self) -> None:
-        e = self.entry
-        if e is not None:
-            for k in ("text_ko", "text_zh", "hyangchal"):
-                if k in e:
-                    e[k] = "\n".join(e[k]).strip()
-            if any(e.get(k) for k in ("text_ko", "text_zh", "hyangchal")):
-                self.done.append(e)
-        self.entry = self.field = None
-
-    def open(self, **more) -> None:
-        self.close()
-        self.entry = {"section": self.section, "lang": "ko", "source": self.source, **more}
-
-    def begin(self, field: str, line: str) -> None:
-        self.field = field
-        rest = line.partition("：")[2]
-        self.entry[field] = [rest] if rest else []
-
-    def goes_on(self, line: str) -> bool:
-        fields = ("hyangchal", "text_ko", "text_zh") if self.section == "乡歌" else ("text_ko", "text_zh")
-        if self.entry is None or self.field not in fields:
-            return False
-        self.entry[self.field].append(line)
-        return True
-
-    def read(self, line: str, before: str) -> None:
-        if line in KO_HEADERS:
-            self.close()
-            self.section = line[:-1]
-            return
-        if line.startswith(KO_PROSE):
-            return
-        old = self.section == "乡歌"
-        title = re.match(KO_TITLE, line) if old else None
-        if title:
-            self.open(form=title[3], title_zh=title[1].strip() or None, title_ko=(title[2] or "").strip() or None)
-            return
-        if old and self.entry is not None:
-            for field, mark in KO_FIELDS:
-                if line.startswith(mark):
-                    self.begin(field, line)
-                    return
-            if not line.startswith(("原文", "译文")) and self.goes_on(line):
-                return
-        if line.startswith("原文："):
-            heading = before if before and not before.startswith(("译文", "原文", *KO_PROSE)) and not before.endswith(SENTENCE_ENDS) else None
-            if heading and self.section == "辞说时调":
-                self.section = "现代诗"
-            self.open(title=heading)
-            self.begin("text_ko", line)
-        elif line.startswith("译文："):
-            if self.entry is None:
-                self.open(title=None)
-            self.begin("text_zh", line)
-        else:
-            self.goes_on(line)
-
-    def finish(self) -> list[dict]:
-        self.close()
-        for n, e in enumerate(self.done, 1):
-            ko = e.get("text_ko")
-            if ko is not None:
-                # one line with slashes is several; the author is looked for in it as it was
-                lines = "\n".join(re.split(r"\s*/\s*", ko)) if " / " in ko and "\n" not in ko else ko
-                author = re.search(KO_AUTHOR, ko)
-                if author:
-                    e["author"], lines = author[1].strip(), re.sub(KO_AUTHOR, "", lines).strip()
-                e["text_ko"] = lines
-            e["section"] = KO_SECTIONS.get(e["section"], "misc")
-            e["id"] = f"ko-{e['section']}-{n:03d}"
-        return self.done
-
-
-def looks_russian(text: str) -> bool:
-    n = len(re.findall(X.CYRILLIC, text))
-    return n >= 3 or n > 0 and n / max(1, len(text.replace(" ", ""))) > 0.3
-
-
-def russian_entries(lines: Sequence[str], source: str, author: str = "普希金", titles: Sequence[str] = RU_TITLES) -> list[dict]:
-    heading = re.compile(f"^({'|'.join(map(re.escape, titles))})[\\s{CIRCLED}]*$")
-    done: list[dict] = []
-    mode = None
-    for line in lines:
-        if heading.match(line):
-            done.append({"author": author, "title_zh": (line[1:] if line[0] in CIRCLED else line).strip(), "lang": "ru", "source": source})
-            mode = "text_zh"
-            continue
-        if not done:
-            continue
-        e, russian = done[-1], looks_russian(line)
-        if line in ("俄语原文：", "中译文："):
-            mode = "text_ru" if line[0] == "俄" else "text_zh"
-            e.setdefault(mode, [])
-            continue
-        if mode == "text_zh" and line[0] not in CIRCLED:
-            if re.fullmatch(r"\d{4}", line):
-                e["year"] = line
-                continue
-            if line.endswith("译"):
-                e["translator"] = line[:-1].strip()
-                continue
-            mode = "text_ru" if russian else mode
-        elif mode == "text_zh":
-            mode = "notes"
-        else:
-            mode = "text_ru" if russian else "notes"
-        e.setdefault(mode, []).append(line)
-    for n, e in enumerate(done, 1):
-        for k in ("text_ru", "text_zh", "notes"):
-            if k in e:
-                e[k] = "\n".join(e[k]).strip()
-        e["id"] = f"ru-pushkin-{n:03d}"
-    return done
-
-
 KO_SCHEMA = "id string, section string, form string, title_zh string, title_ko string, title string, author string, lang string, source string, hyangchal string, text_ko string, text_zh string"
 RU_SCHEMA = "id string, author string, title_zh string, year string, translator string, lang string, source string, text_ru string, text_zh string, notes string"
 
 
+def _upto(doc: str, *more: str):
+    """Rows of a document (and group) up to the current one."""
+    return Window.partitionBy(doc, *more).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _joined(condition, text):
+    """The texts of a group's rows that meet the condition, in order, one a line; null if there are none."""
+    rows = F.sort_array(F.collect_list(F.when(condition, F.struct("pos", text.alias("t")))))
+    return F.when(F.size(rows) > 0, X.strip(F.array_join(F.transform(rows, lambda r: r["t"]), "\n")))
+
+
+def korean_entries(lines: DataFrame, doc: str = "doc", source: str = "") -> DataFrame:
+    """Entries of (doc, pos, line) by section headers, titles and field marks. Lines are classified alone; sections, entries
+    and fields are then running values over the document, so one shuffle by document does.
+
+    In the oldest section an entry begins with a title and has three marked fields; elsewhere it begins with its original
+    or, where none is open, with its translation. A line ahead of an original is its heading unless it is marked itself or
+    ends like a sentence, and the first heading among sijo variants turns that section to modern poems. Lines without a
+    mark go on with the field before them; a field that is marked again in an entry starts anew."""
+    everything = Window.partitionBy(doc).orderBy("pos")
+    line = F.col("line")
+    begins = lambda marks: line.rlike(f"^(?:{'|'.join(marks)})")
+    header = line.isin([f"{s}：" for s in KO_SECTIONS if s != KO_MODERN])
+    ahead = F.lag("line").over(everything)
+    no_heading = ahead.rlike(f"^(?:译文|原文|{'|'.join(KO_PROSE)})") | ahead.rlike(f"[{''.join(SENTENCE_ENDS)}]\\z")
+    known = lines.select(doc, "pos", "line").select(
+        "*",
+        F.when(header, F.expr("substring(line, 1, length(line) - 1)")).alias("named"),
+        (~header & begins(KO_PROSE)).alias("prose"),
+        F.when(~no_heading, ahead).alias("heading"),
+    )
+    known = known.withColumn("chapter", F.last("named", ignorenulls=True).over(_upto(doc))).withColumn("old", F.coalesce(F.col("chapter") == KO_OLDEST, F.lit(False)))
+    known = known.where(~F.col("prose"))
+    title = F.col("old") & F.col("named").isNull() & line.rlike(KO_TITLE)
+    original = F.col("named").isNull() & ~title & line.startswith("原文：")
+    # a boundary closes what is open; a translation opens an entry only where none is
+    marked = known.withColumn("boundary", F.when(F.col("named").isNotNull(), "header").when(title, "title").when(original, "original"))
+    marked = marked.withColumn("part", F.count("boundary").over(_upto(doc))).withColumn("within", F.first("boundary").over(_upto(doc, "part")))
+    unopened = F.coalesce(F.col("within") == "header", F.lit(True))
+    late = F.when(unopened & line.startswith("译文："), F.lit(1))
+    marked = marked.withColumn("opened", F.count(late).over(_upto(doc, "part")))
+    in_entry = ~unopened | (F.col("opened") > 0)
+    field = F.when(original, "text_ko").when(
+        F.col("old") & in_entry & F.col("boundary").isNull(), F.coalesce(*[F.when(line.startswith(m), f) for f, m in KO_FIELDS])
+    )
+    field = F.coalesce(field, F.when(F.col("boundary").isNull() & line.startswith("译文："), F.lit("text_zh")))
+    turned = F.max(F.col("heading").isNotNull() & (F.col("boundary") == "original")).over(_upto(doc, "chapter_no"))
+    marked = marked.where(in_entry | F.col("named").isNotNull()).withColumn("chapter_no", F.count("named").over(_upto(doc)))
+    fielded = marked.select(
+        "*",
+        field.alias("own"),
+        F.when((F.col("chapter") == KO_VARIANT) & F.coalesce(turned, F.lit(False)), KO_MODERN).otherwise(F.col("chapter")).alias("section"),
+    ).where("named is null")
+    fielded = fielded.withColumn("run", F.count("own").over(_upto(doc, "part"))).withColumn("field", F.last("own", ignorenulls=True).over(_upto(doc, "part")))
+    # of a field that is marked more than once in an entry the last run counts
+    fielded = fielded.withColumn("last_run", F.max("run").over(Window.partitionBy(doc, "part", "field")))
+    stray = F.col("old") & line.rlike("^(?:译文|原文)") & F.col("own").isNull()
+    rest = F.when(F.col("own").isNotNull(), F.expr("substring(line, instr(line, '：') + 1)")).otherwise(line)
+    held = (F.col("run") == F.col("last_run")) & ~stray & ~(F.col("own").isNotNull() & (rest == "")) & (F.coalesce(F.col("boundary"), F.lit("")) != "title")
+    first = lambda c: F.min_by(c, "pos")
+    group = lambda k: F.regexp_extract("title_line", KO_TITLE, k)
+    entries = fielded.groupBy(doc, "part").agg(
+        F.min("pos").alias("pos"),
+        first("section").alias("section"),
+        first("boundary").alias("boundary"),
+        first("line").alias("title_line"),
+        first("heading").alias("heading"),
+        *[_joined(held & (F.col("field") == f), rest).alias(f) for f, _ in KO_FIELDS],
+    )
+    entries = entries.where(" or ".join(f"coalesce({f}, '') <> ''" for f, _ in KO_FIELDS))
+    titled = F.col("boundary") == "title"
+    filled = lambda c: F.when(titled & (X.strip(c) != ""), X.strip(c))
+    # one line with slashes is several; the author is looked for in it as it was
+    one_line = F.col("text_ko").contains(" / ") & ~F.col("text_ko").contains("\n")
+    author = F.regexp_extract("text_ko", KO_AUTHOR, 1)
+    shown = F.when(one_line, F.regexp_replace("text_ko", r"(?U)\s*/\s*", "\n")).otherwise(F.col("text_ko"))
+    section = F.coalesce(*[F.when(F.col("section") == s, F.lit(code)) for s, code in KO_SECTIONS.items()], F.lit("misc"))
+    number = F.row_number().over(Window.partitionBy(doc).orderBy("pos"))
+    out = entries.select(
+        F.concat(F.lit("ko-"), section, F.lit("-"), _three_digits(number)).alias("id"), section.alias("section"),
+        F.when(titled, group(3)).alias("form"), filled(group(1)).alias("title_zh"), filled(group(2)).alias("title_ko"),
+        F.when(F.col("boundary") == "original", F.col("heading")).alias("title"),
+        F.when(author != "", X.strip(author)).alias("author"), F.lit("ko").alias("lang"), F.lit(source).alias("source"),
+        "hyangchal", F.when(author != "", X.strip(F.regexp_replace(shown, KO_AUTHOR, ""))).otherwise(shown).alias("text_ko"), "text_zh",
+    )
+    return out.select(*[f.split()[0] for f in KO_SCHEMA.split(", ")])
+
+
+def russian_entries(lines: DataFrame, doc: str = "doc", source: str = "", author: str = RU_AUTHOR, titles: Sequence[str] = RU_TITLES) -> DataFrame:
+    """Entries of (doc, pos, line) that begin with one of the titles.
+
+    Titles and marks cut a document into runs. A run that begins with a title or the mark of the translation is Chinese,
+    with years and translators on lines of their own, until a line in Cyrillic or one that begins with a circled number;
+    from there, and in all other runs, Cyrillic lines are the original and all others are notes."""
+    line = F.col("line")
+    title = line.rlike(f"^(?:{'|'.join(titles)})[\\s{CIRCLED}]*\\z")
+    mark = F.coalesce(*[F.when(line == m, F.lit(f)) for f, m in RU_MARKS])
+    kinds = lines.select(doc, "pos", "line", title.alias("title"), mark.alias("mark"), X.is_russian(line).alias("russian"), line.rlike(f"^[{CIRCLED}]").alias("circled"))
+    kinds = kinds.withColumn("entry", F.sum(F.col("title").cast("int")).over(_upto(doc))).where("entry > 0")
+    runs = kinds.withColumn("run", F.count(F.when(F.col("title") | F.col("mark").isNotNull(), 1)).over(_upto(doc)))
+    runs = runs.withColumn("chinese", F.first(F.col("title") | (F.col("mark") == "text_zh")).over(_upto(doc, "run")))
+    year, translator = line.rlike(r"^\d{4}\z"), line.endswith("译")
+    leaves = F.col("circled") | F.col("russian") & ~year & ~translator
+    before = _upto(doc, "run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("leaves", leaves & ~F.col("title") & F.col("mark").isNull())
+    runs = runs.withColumn("in_chinese", F.col("chinese") & ~F.coalesce(F.max("leaves").over(before), F.lit(False)))
+    field = (
+        F.when(F.col("title") | F.col("mark").isNotNull(), None)
+        .when(F.col("in_chinese") & F.col("circled"), "notes")
+        .when(F.col("in_chinese") & year, "year")
+        .when(F.col("in_chinese") & translator, "translator")
+        .when(F.col("russian"), "text_ru")
+        .when(F.col("in_chinese"), "text_zh")
+        .otherwise("notes")
+    )
+    fielded = runs.withColumn("field", field)
+    last = lambda f: F.max_by(F.when(F.col("field") == f, line), F.when(F.col("field") == f, F.col("pos")))
+    marked = lambda f: F.when(F.max(F.col("mark") == f), F.lit(""))
+    entries = fielded.groupBy(doc, "entry").agg(
+        F.min_by("line", "pos").alias("head"), last("year").alias("year"), last("translator").alias("named"),
+        *[F.coalesce(_joined(F.col("field") == f, line), marked(f)).alias(f) for f in ("text_ru", "text_zh")],
+        _joined(F.col("field") == "notes", line).alias("notes"),
+    )
+    out = entries.select(
+        F.concat(F.lit("ru-pushkin-"), _three_digits(F.col("entry"))).alias("id"), F.lit(author).alias("author"), X.strip(F.col("head")).alias("title_zh"), "year",
+        X.strip(F.expr("substring(named, 1, length(named) - 1)")).alias("translator"), F.lit("ru").alias("lang"), F.lit(source).alias("source"), "text_ru", "text_zh", "notes",
+    )
+    return out.select(*[f.split()[0] for f in RU_SCHEMA.split(", ")])
+
+
 def parse_documents(paragraphs: DataFrame, grammar: str, doc: str = "doc", source: str = "") -> DataFrame:
-    """(doc, pos, line) to entries by grammar ko or ru. The state after a line depends on all lines before it, so each
-    document is read whole, in its own task; documents are independent."""
-    import pandas as pd
-
-    schema = KO_SCHEMA if grammar == "ko" else RU_SCHEMA
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def read(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = pdf.sort_values("pos")["line"].tolist()
-        if grammar == "ko":
-            state = KoreanEntries(source)
-            for before, line in zip(["", *lines], lines):
-                state.read(line, before)
-            found = state.finish()
-        else:
-            found = russian_entries(lines, source)
-        return pd.DataFrame(found, columns=names).astype(object).where(lambda d: d.notna(), None)
-
-    return paragraphs.select(doc, "pos", "line").groupBy(doc).applyInPandas(read, schema)
+    """(doc, pos, line) to entries by grammar ko or ru; entries are numbered within their document."""
+    return korean_entries(paragraphs, doc, source) if grammar == "ko" else russian_entries(paragraphs, doc, source)

@@ -210,9 +210,23 @@ def test_korean_entries(spark):
     first = by_id["ko-hyangga-001"]
     assert (first["form"], first["title_zh"], first["title_ko"], first["hyangchal"]) == ("四句体", "薯童谣", "서동요", "善化\n公主主隐") and first["text_zh"] == "善化公主 / 一"
     assert first["text_ko"] == "선화\n공주" and by_id["ko-sijo-002"]["author"] == "郑梦周" and by_id["ko-sijo-002"]["text_ko"] == "이 몸이\n죽어"
+    assert first["title"] is None and by_id["ko-sijo-variant-003"]["title"] is None and by_id["ko-modern-004"]["text_ko"] == "산에는\n꽃 피네"
     assert by_id["ko-sijo-002"]["text_zh"] == "此身\n死了。" and by_id["ko-modern-004"]["title"] == "山有花"
 
 
+def test_korean_oddities(spark):
+    lines = ["译文：开头", "乡歌：", "译文：先有译文", "接着", "译文没有冒号", "处容歌（八句体）", "“吏读”版本：一", "现代韩文版：처음", "现代韩文版：다시", "原文 不算", "时调：", "孤句", "原文：끝"]
+    docs = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)] + [("e", 0, "原文：다른 글")], "doc string, pos int, line string")
+    rows = [(r["id"], r["title_zh"], r["title"], r["hyangchal"], r["text_ko"], r["text_zh"]) for r in segment.parse_documents(docs, "ko").orderBy("id", "text_ko").collect()]
+    assert rows == [
+        ("ko-hyangga-002", None, None, None, None, "先有译文\n接着"),
+        ("ko-hyangga-003", "处容歌", None, "一", "다시", None),
+        ("ko-misc-001", None, None, None, None, "开头"),
+        ("ko-misc-001", None, None, None, "다른 글", None),
+        ("ko-sijo-004", None, "孤句", None, "끝", None),
+    ]
+
+
 def test_russian_entries(spark):
     lines = ["前言", "致大海①", "再见吧", "1824", "戈宝权译", "①注", "Прощай, свободная стихия", "注二", "我记得那美妙的一瞬", "俄语原文：", "Я помню", "中译文：", "我记得"]
     docs = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc string, pos int, line string")

@@ -12,6 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\x{1c}-\x{1f}]"
+#: The same signs, for trimming: every white space of Unicode, and U+001C to U+001F.
+BLANK_SIGNS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Fixed value: where lines end.
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 #: The signs at which verse is cut, and the signs that a cleaned line lacks.
 VERSE_BREAK = "[，。！？；：,.!?;:\n\r]+"
@@ -19,6 +22,7 @@ LINE_SIGNS = "，。！？；：、,.!?;:\"'“”‘’（）()[]{}《》<>…
 #: Ranges that count as Han.
 HAN_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FA1F), (0x30000, 0x3134F))
 HAN = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in HAN_RANGES) + "]"
+#: Letters that count as Cyrillic, and syllables that count as Hangul.
 CYRILLIC, HANGUL = "[А-Яа-яЁё]", "[가-힣]"
 
 
@@ -35,7 +39,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(c, F.lit(BLANK_SIGNS))
 
 
 def remove_blanks(c: Column) -> Column:

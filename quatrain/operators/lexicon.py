@@ -1,8 +1,9 @@
 """Lexicon matches with longest-span suppression, and the weak labels that follow from them.
 
-A lexicon is a DataFrame (category, cat_pos, term). Matching is an equi-join, not a theta join: for each term length the
-text's grams of that length are exploded with their places and joined to the terms, so Spark shuffles or broadcasts by
-its own size check, whatever the lexicon's size.
+A lexicon is a DataFrame (category, cat_pos, term). A small one is looked for in one scan of each text, by a pattern of all
+its terms; a large one by an equi-join, not a theta join: for each term length the text's grams of that length are exploded
+with their places and joined to the terms, so Spark shuffles or broadcasts by its own size check. Both follow the lexicon:
+no term length is left out.
 """
 
 from __future__ import annotations
@@ -13,28 +14,55 @@ from pyspark.sql import functions as F
 from quatrain.functions import text as X
 
 
-#: Lexicons of at most so many terms are also tested inside the array functions, before grams become rows.
+#: Lexicons of at most so many distinct terms are scanned for by one pattern.
 INLINE_TERMS = 2_000
 
 
-def find_matches(docs: DataFrame, lexicon: DataFrame, lengths: tuple[int, ...], id_col: str = "id", text_col: str = "text") -> DataFrame:
+def find_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", inline_terms: int = INLINE_TERMS) -> DataFrame:
     """(id, category, cat_pos, term, start, end) of every occurrence, overlaps included, that no longer match covers.
-    Line breaks are removed first, so terms may run over line ends. Equal spans of two categories both stay."""
+    Line breaks are removed first, so terms may run over line ends. Equal spans of two categories both stay. Rows that
+    repeat an id are matched each for itself."""
     terms = lexicon.where("term <> ''").select("category", "cat_pos", "term").distinct()
-    few = [r["term"] for r in terms.select("term").distinct().limit(INLINE_TERMS + 1).collect()]
-    flat = docs.select(F.col(id_col).alias("__id"), F.replace(text_col, F.lit("\n"), F.lit("")).alias("__t"))
+    few = [r["term"] for r in terms.select("term").distinct().limit(inline_terms + 1).collect()]
+    flat = docs.select(F.col(id_col).alias("__id"), F.replace(text_col, F.lit("\n"), F.lit("")).alias("__t")).withColumn("__row", F.monotonically_increasing_id())
+    if len(few) > inline_terms:
+        lengths = sorted(r["n"] for r in terms.select(F.length("term").alias("n")).distinct().collect())
+        found = _by_grams(flat, terms, lengths)
+    else:
+        found = _by_scan(flat, few)
+    found = suppress_covered(found, "__row")
+    return found.join(terms, "term").select(F.col("__id").alias(id_col), "category", "cat_pos", "term", "start", "end")
+
+
+def _by_scan(flat: DataFrame, terms: list[str]) -> DataFrame:
+    """__id, __row, term, start and end of the longest term at each place: shorter ones there are covered by it. A text is
+    cut ahead of every place where a term begins, and places are running sums of the parts' lengths."""
+    if not terms:
+        return flat.select("__id", "__row", F.col("__t").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
+    heads = "".join(sorted({f"\\x{{{ord(t[0]):x}}}" for t in terms}))
+    quoted = ["".join(f"\\x{{{ord(c):x}}}" for c in t) for t in sorted(terms, key=lambda t: (-len(t), t))]
+    ahead = f"(?=[{heads}])(?=({'|'.join(quoted)}))"
+    cut = flat.select("__id", "__row", F.regexp_extract_all("__t", F.lit(ahead), F.lit(1)).alias("terms"), F.split("__t", ahead).alias("parts")).where(F.size("terms") > 0)
+    # a text that begins with a term has no part ahead of it
+    each = cut.select("__id", "__row", F.posexplode(F.arrays_zip("terms", F.slice("parts", F.size("parts") - F.size("terms") + 1, F.size("terms")).alias("p"))).alias("i", "x"), F.when(F.size("parts") > F.size("terms"), F.length(F.get("parts", F.lit(0)))).otherwise(0).alias("base"))
+    upto = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.col("base") + F.coalesce(F.sum(F.length("x.p")).over(upto), F.lit(0))).cast("int")
+    return each.select("__id", "__row", F.col("x.terms").alias("term"), start.alias("start")).withColumn("end", F.col("start") + F.length("term"))
+
+
+def _by_grams(flat: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same by a join, all terms at each place."""
     none = F.array().cast("array<struct<start:int,term:string>>")
 
     def grams(chars, n: int):
-        every = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.struct(i.alias("start"), F.concat(*[F.get(chars, i + k) for k in range(n)]).alias("term")))
-        asked = F.filter(every, lambda g: g["term"].isin(few)) if len(few) <= INLINE_TERMS else every
-        return F.when(F.size(chars) >= n, asked).otherwise(none)
+        every = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(chars, i + 1, n), "").alias("term")))
+        return F.when(F.size(chars) >= n, every).otherwise(none)
 
     # signs are taken from an array: cutting a long UTF-8 string by place would read it from its start every time
     signs = F.filter(F.split("__t", ""), lambda c: c != "")
-    found = flat.select("__id", F.explode(X.let(signs, lambda c: F.flatten(F.array(*[grams(c, n) for n in lengths])))).alias("g"))
-    hits = found.select("__id", "g.start", "g.term").join(terms, "term").withColumn("end", F.col("start") + F.length("term"))
-    return suppress_covered(hits.select(F.col("__id").alias(id_col), "category", "cat_pos", "term", "start", "end"), id_col)
+    found = flat.select("__id", "__row", F.explode(X.let(signs, lambda c: F.flatten(F.array(*[grams(c, n) for n in lengths])))).alias("g"))
+    hits = found.select("__id", "__row", "g.start", "g.term").join(terms.select("term").distinct(), "term", "left_semi")
+    return hits.withColumn("end", F.col("start") + F.length("term"))
 
 
 def suppress_covered(matches: DataFrame, id_col: str = "id") -> DataFrame:
@@ -47,12 +75,22 @@ def suppress_covered(matches: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def category_terms(matches: DataFrame, id_col: str = "id") -> DataFrame:
-    """(id, category, cat_pos, terms): distinct terms in order of their first occurrence."""
+    """(id, category, cat_pos, terms): distinct terms in order of their first occurrence, where there are any."""
     first = matches.groupBy(id_col, "category", "cat_pos", "term").agg(F.min(F.struct("start", (-F.length("term")).alias("n"))).alias("at"))
     listed = first.groupBy(id_col, "category", "cat_pos").agg(F.sort_array(F.collect_list(F.struct("at", "term"))).alias("x"))
     return listed.select(id_col, "category", "cat_pos", F.transform("x", lambda s: s["term"]).alias("terms"))
 
 
+def all_categories(docs: DataFrame, terms: DataFrame, lexicon: DataFrame, id_col: str = "id") -> DataFrame:
+    """category_terms with every category for every document, without hits an empty list. The lexicon's few categories are
+    listed on each document, so nothing is crossed."""
+    names = lexicon.select(F.struct("cat_pos", "category").alias("c")).distinct().agg(F.sort_array(F.collect_list("c")).alias("every")).first()["every"]
+    every = F.array(*[F.struct(F.lit(c["cat_pos"]).alias("cat_pos"), F.lit(c["category"]).alias("category")) for c in names])
+    listed = docs.select(id_col, F.explode(every).alias("c")).select(id_col, "c.category", "c.cat_pos")
+    joined = listed.join(terms, [id_col, "category", "cat_pos"], "left")
+    return joined.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
 def top_categories(terms: DataFrame, id_col: str = "id", most: int = 4) -> DataFrame:
     """The categories with most distinct terms; ties by the lexicon's order. Adds rank."""
     w = Window.partitionBy(id_col).orderBy(F.size("terms").desc(), "cat_pos")
@@ -89,18 +127,25 @@ def density_confidence(score: Column, low: float, high: float) -> Column:
     return 0.50 + 0.35 * F.least(F.greatest(far, F.lit(0.0)), F.lit(1.0))
 
 
-def density_prelabel(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", low: float = 0.75, high: float = 1.5) -> DataFrame:
-    """id and density: value, confidence and evidence (distinct terms of all categories, lines, terms a line)."""
+#: Fixed value: what the density label says of itself.
+DENSITY_SCOPE = "weak proxy: all lexicon imagery-cue concentration only"
+
+
+def density_prelabel(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text", low: float = 0.75, high: float = 1.5, most: int = 4) -> DataFrame:
+    """id and density: value, confidence and evidence (distinct terms of all categories, lines, terms a line, and the
+    imagery labels that were chosen)."""
     if not 0 <= low < high:
         raise ValueError("thresholds must satisfy 0 <= low < high")
     counts = terms.select(id_col, F.explode("terms").alias("term")).groupBy(id_col).agg(F.count_distinct("term").alias("__n"))
-    joined = docs.select(id_col, F.size(X.raw_lines(F.col(text_col))).alias("__lines")).join(counts, id_col, "left")
+    chosen = top_categories(terms, id_col, most).groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "category"))), lambda s: s["category"]).alias("__chosen"))
+    joined = docs.select(id_col, F.size(X.raw_lines(F.col(text_col))).alias("__lines")).join(counts, id_col, "left").join(chosen, id_col, "left")
     n = F.coalesce("__n", F.lit(0)).cast("int")
     score = n / F.greatest("__lines", F.lit(1))
     value = F.when(score < low, "sparse").when(score < high, "medium").otherwise("dense")
     evidence = F.struct(
         n.alias("unique_imagery_terms"), F.col("__lines").alias("line_count"), F.bround(score, 3).alias("unique_imagery_terms_per_line"),
         F.struct(F.lit(low).alias("sparse_to_medium"), F.lit(high).alias("medium_to_dense")).alias("thresholds"),
+        F.coalesce("__chosen", F.array().cast("array<string>")).alias("selected_imagery_labels"), F.lit(DENSITY_SCOPE).alias("scope_note"),
     )
     return joined.select(
         id_col,

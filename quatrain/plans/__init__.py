@@ -23,10 +23,9 @@ SIGNS = "".join("\\" + s if s in "\\[]^-&" else "''" if s == "'" else s for s in
 CLEAN = f"[{SIGNS}{B[1:-1]}]+"
 CLEANED = f"list_transform({RAW}, lambda x: regexp_replace(x, '{CLEAN}', '', 'g'))"
 
-VERSES = (forms.Form("quatrain", 4, r"^.{1,4000}\z"), forms.Form("octave", 8, r"^.{1,4000}\z"))
+VERSES = (forms.Form("quatrain", 4, r"^.+\z"), forms.Form("octave", 8, r"^.+\z"))
 FORM_SQL = "CASE len(lines) WHEN 4 THEN 'quatrain' WHEN 8 THEN 'octave' END"
 WORDS = {"water": ("thea", "ea", "sea"), "light": ("st", "hent", "est"), "time": ("then", "hent", "erst", "en"), "place": ("thin", "in", "ing")}
-LENGTHS = (2, 3, 4)
 
 
 def query(sql: str | None = None):
@@ -54,7 +53,7 @@ cand AS (
     SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM (
       SELECT doc_id, text, lang, source, lines, {FORM_SQL} AS form
       FROM (SELECT doc_id, text, lang, source, {RAW} AS lines FROM documents)
-    ) WHERE form IS NOT NULL AND len(list_filter(lines, lambda x: length(x) > 4000)) = 0
+    ) WHERE form IS NOT NULL
   ) WHERE rn = 1
 )"""
 
@@ -97,16 +96,16 @@ def sampling_capacity(spark, sf_dir):
     return sampling.capacity(table(spark, sf_dir, "documents"), "lang", "source", 2)
 
 
-SAMPLE = {"en": 15, "fr": 10, "de": 10}
+SAMPLE = {"en": 15, "fr": 10, "de": 10, "es": 8}
 
 
 @query("""
 WITH a AS (
   SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY md5('7|' || doc_id), doc_id) AS r
-  FROM documents WHERE lang IN ('en', 'fr', 'de')
+  FROM documents
 ), b AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY r, md5('7|' || source), source) AS t FROM a WHERE r <= 2
-), c AS (SELECT * FROM b WHERE t <= CASE lang WHEN 'en' THEN 15 ELSE 10 END)
+), c AS (SELECT * FROM b WHERE t <= CASE lang WHEN 'en' THEN 15 WHEN 'es' THEN 8 ELSE 10 END)
 SELECT doc_id, lang, source, CAST(row_number() OVER (ORDER BY md5('1004|' || doc_id), doc_id) AS INTEGER) AS annotation_pos FROM c
 """)
 def balanced_sample(spark, sf_dir):
@@ -129,12 +128,12 @@ PAIR_SQL = """CASE WHEN {a} IS NULL OR {b} IS NULL OR {a} = '' OR {b} = '' OR le
   ELSE len(list_filter(list_zip(string_split({a}, ''), string_split({b}, '')), lambda p: p[1] <> p[2])) / length({a})::DOUBLE END"""
 
 
-@query(f"SELECT doc_id, s >= 0.6 AS ok, round_even(s, 6) AS score FROM (SELECT doc_id, {PAIR_SQL.format(a='l[1]', b='substr(l[2], 1, length(l[1]))')} AS s FROM (SELECT doc_id, {CLEANED} AS l FROM documents))")
+@query(f"SELECT doc_id, s >= 0.6 AS ok, round_even(s, 6) AS score FROM (SELECT doc_id, {PAIR_SQL.format(a='l[1]', b='l[2]')} AS s FROM (SELECT doc_id, {CLEANED} AS l FROM documents))")
 def line_pair_diff(spark, sf_dir):
-    """First line against as much of the second."""
+    """The first line against the second; lines of unequal length are no pair."""
     lines = table(spark, sf_dir, "documents").select("doc_id", X.clean_lines(F.col("text")).alias("l"))
     first, second = F.get("l", F.lit(0)), F.get("l", F.lit(1))
-    return lines.select("doc_id", scoring.check_pair(first, F.substring(second, F.lit(1), F.length(first))).alias("s")).select("doc_id", "s.ok", F.bround("s.score", 6).alias("score"))
+    return lines.select("doc_id", scoring.check_pair(first, second).alias("s")).select("doc_id", "s.ok", F.bround("s.score", 6).alias("score"))
 
 
 @query(f"""
@@ -173,7 +172,7 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.find_matches(table(spark, sf_dir, "documents"), _lexicon(spark), LENGTHS, "doc_id")
+    return lexicon.find_matches(table(spark, sf_dir, "documents"), _lexicon(spark), "doc_id")
 
 
 LEXICON_SQL = "lex(category, cat_pos, term) AS (VALUES " + ", ".join(f"('{c}', {i}, '{t}')" for i, (c, ts) in enumerate(WORDS.items()) for t in ts) + ")"

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import io
 import json
 import zipfile
@@ -104,7 +105,7 @@ LEXICON = [("celestial", 0, "銀河"), ("celestial", 0, "月"), ("landscape", 1,
 def labels(spark, texts):
     docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
     lex = spark.createDataFrame(LEXICON, "category string, cat_pos int, term string")
-    terms = lexicon.category_terms(lexicon.find_matches(docs, lex, (1, 2)))
+    terms = lexicon.category_terms(lexicon.find_matches(docs, lex))
     return docs, terms, lexicon.imagery_prelabel(docs, terms).join(lexicon.density_prelabel(docs, terms), "id")
 
 
@@ -117,9 +118,39 @@ def test_longest_match_and_labels(spark):
     assert top["value"] == ["celestial", "landscape", "travel", "frontier"] and top["confidence"] == pytest.approx(0.86) and top["evidence"]["travel"] == ["關"]
     dense = by_id["3"]["density"]
     assert dense["value"] == "dense" and dense["evidence"]["unique_imagery_terms"] == 5 and dense["confidence"] == 0.85
+    assert dense["evidence"]["selected_imagery_labels"] == top["value"] and dense["evidence"]["scope_note"] == lexicon.DENSITY_SCOPE
     assert by_id["2"]["density"]["evidence"]["line_count"] == 0
 
 
+def test_scan_and_join_find_the_same(spark):
+    rnd = random.Random(6)
+    terms = sorted({"".join(rnd.choice("abc月") for _ in range(rnd.randint(1, 9))) for _ in range(60)} | {"a.c", "\\Q", "𠀀a"})
+    lex = spark.createDataFrame([(f"c{i % 5}", i % 5, t) for i, t in enumerate(terms)] + [("more", 9, terms[0])], "category string, cat_pos int, term string")
+    texts = ["".join(rnd.choice("abc月\n.Q\\𠀀") for _ in range(rnd.randint(0, 60))) for _ in range(80)] + [None, "", terms[0], terms[0]]
+    docs = spark.createDataFrame([(i % 70, t) for i, t in enumerate(texts)], "id int, text string")
+    cat = {}
+    for i, t in enumerate(terms):
+        cat.setdefault(t, []).append(f"c{i % 5}")
+    cat[terms[0]].append("more")
+    want = []
+    for i, text in enumerate(texts):
+        flat = (text or "").replace("\n", "")
+        hits = {(s, s + len(t), t) for t in terms for s in range(len(flat)) if flat.startswith(t, s)}
+        kept = [h for h in hits if not any(o[0] <= h[0] and h[1] <= o[1] and o[1] - o[0] > h[1] - h[0] for o in hits)]
+        want += [(i % 70, c, t, s, e) for s, e, t in kept for c in cat[t]]
+    for most in (2_000, 3):
+        got = [tuple(r) for r in lexicon.find_matches(docs, lex, inline_terms=most).drop("cat_pos").collect()]
+        assert sorted(got) == sorted(want)
+    assert lexicon.find_matches(docs, lex.limit(0)).count() == 0
+
+
+def test_every_category(spark):
+    docs, terms, _ = labels(spark, ["銀河", "無"])
+    lex = spark.createDataFrame(LEXICON, "category string, cat_pos int, term string")
+    rows = lexicon.all_categories(docs, terms, lex).collect()
+    assert len(rows) == 12 and {(r["id"], r["category"]): r["terms"] for r in rows if r["terms"]} == {("0", "celestial"): ["銀河"]}
+
+
 def test_covered_matches_by_definition(spark):
     import random
 

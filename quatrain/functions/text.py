@@ -30,7 +30,7 @@ def _class_of(signs: str) -> str:
     return "".join("\\" + s if s in "\\[]^-&" else s for s in signs)
 
 
-CLEAN = f"(?U)[{_class_of(LINE_SIGNS)}\\s\\x{{1c}}-\\x{{1f}}]+"
+CLEAN = f"[{_class_of(LINE_SIGNS + BLANK_SIGNS)}]+"
 
 
 def let(value: Column, body) -> Column:

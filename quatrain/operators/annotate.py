@@ -69,7 +69,7 @@ def validate_answer(answer: Column, text: Column, taxonomy: Mapping[str, Sequenc
     """A model's answer (variant) against the taxonomy: struct of the dimensions, and error (null if it holds).
 
     Per dimension: an object; emotion a list of one or two distinct allowed labels, the others one; confidence a number
-    from 0 to 1 and not a boolean; evidence up to three non-blank strings that stand in the text without its line ends.
+    from 0 to 1 and not a boolean; evidence (none if it is left out) up to three non-blank strings that stand in the text without its line ends.
     """
     flat = F.replace(text, F.lit("\n"), F.lit(""))
     parts, errors = [], [F.when(answer.isNull(), "no object")]
@@ -86,8 +86,9 @@ def validate_answer(answer: Column, text: Column, taxonomy: Mapping[str, Sequenc
             good = (kind("$.value") == "STRING") & F.array_contains(allowed, value)
         sure = F.try_variant_get(part, "$.confidence", "double")
         number = F.coalesce(kind("$.confidence").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & sure.between(0.0, 1.0), F.lit(False))
-        proof = F.transform(F.try_variant_get(part, "$.evidence", "array<string>"), X.strip)
-        strings = F.coalesce(kind("$.evidence").isin("ARRAY<STRING>", "ARRAY<VOID>", "ARRAY<NULL>"), F.lit(False))
+        absent = kind("$.evidence").isNull()
+        proof = F.when(absent, F.array().cast("array<string>")).otherwise(F.transform(F.try_variant_get(part, "$.evidence", "array<string>"), X.strip))
+        strings = absent | F.coalesce(kind("$.evidence").isin("ARRAY<STRING>", "ARRAY<VOID>", "ARRAY<NULL>"), F.lit(False))
         shaped = strings & (F.size(proof) <= MOST_EVIDENCE) & F.forall(proof, lambda p: p != "")
         found = F.forall(proof, lambda p: F.contains(flat, p))
         errors.append(
@@ -134,6 +135,14 @@ def ask_model(df: DataFrame, prompt_col: str, client: Callable[[str], str], answ
     return df.mapInPandas(run, schema)
 
 
+def run_counts(df: DataFrame, success: Column, failure: Column, most: int | None = None) -> DataFrame:
+    """One row: rows attempted by a run, how many succeeded and how many failed, whether the run stopped at its limit of
+    attempts, and the rows that are left."""
+    tried = success | failure
+    out = df.agg(F.count_if(tried).alias("attempted"), F.count_if(success).alias("succeeded"), F.count_if(failure & ~success).alias("failed"), F.count_if(~tried).alias("left"))
+    return out.withColumn("stopped", F.lit(False) if most is None else (F.col("attempted") >= most) & (F.col("left") > 0))
+
+
 def form_report(df: DataFrame, form: str = "form", entity: str = "author") -> DataFrame:
     """One row per form and one for all (form null): rows and distinct entities. One aggregate over grouping sets."""
     return df.rollup(form).agg(F.count("*").alias("n_rows"), F.count_distinct(entity).alias("n_entities"))

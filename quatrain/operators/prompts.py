@@ -54,6 +54,12 @@ def language_name(code: Column) -> Column:
     return lookup(LANGUAGES, code, DEFAULT_LANGUAGE)
 
 
+def offered_styles(language: Column) -> Column:
+    """Style codes that a language offers, in order; those of the first language for a code that is unknown."""
+    listed = F.create_map(*[x for lang, codes in STYLES_OF.items() for x in (F.lit(lang), F.array(*map(F.lit, codes)))])
+    return F.coalesce(F.try_element_at(listed, language), F.array(*map(F.lit, STYLES_OF["ZH"])))
+
+
 def form_name(language: Column, style: Column) -> Column:
     modern = lookup(MODERN, language, "free Chinese verse")
     classical = lookup(CLASSICAL, language, FORMS["lvshi"])

@@ -43,36 +43,68 @@ def balanced_sample(df: DataFrame, stratum: str, entity: str, row_id: str, targe
     return chosen.withColumn("annotation_pos", pos).drop("__row", "__round", "__turn")
 
 
-def exact_sample(df: DataFrame, stratum: str, entity: str, row_id: str, target: int, seed: int, most: int = 1) -> DataFrame:
-    """One stratum by Python's own random stream, for runs that must draw exactly as a sequential program does: entities
-    and their rows (in row_id order) are shuffled, then entities anew in every round. One task holds one stratum's ids."""
+def exact_sample(
+    df: DataFrame, stratum: str, entity: str, row_id: str, targets: Mapping[str, int], seed: int, most: int = 1, offsets: Mapping[str, int] | None = None, order: str | None = None, shuffle_offset: int = 997
+) -> DataFrame:
+    """The rows that a sequential program draws with Python's own random stream, and annotation_pos, their shuffled order.
+
+    Each stratum has a stream seeded with seed and its offset. Fixed order of draws: the sorted entities are shuffled; then
+    each entity's rows, in the given order (row_id by default), entity by entity; then, every round anew, a copy of the
+    once-shuffled entities, and each gives its next row until the target is reached. The rows drawn, in order of strata,
+    are shuffled with a stream of their own. Raises ValueError for a target beyond the capacity and for repeated ids. One
+    task holds one stratum's ids: for a balanced sample of any size see balanced_sample."""
+    wanted = [k for k, n in targets.items() if n]
+    if not wanted:
+        return df.where("false").withColumn("annotation_pos", F.lit(0))
+    kind = df.schema[row_id].dataType.simpleString()
+    keys = df.where(F.col(stratum).isin(*wanted)).select(F.col(stratum).alias("s"), F.col(entity).alias("e"), F.col(row_id).alias("r"), F.col(order or row_id).alias("o"))
+    drawn = keys.groupBy("s").applyInPandas(_draw(dict(targets), seed, dict(offsets or {}), most), f"s string, r {kind}, n int")
+    # what is drawn is as large as the targets say
+    placed = drawn.groupBy(F.lit(1).alias("all")).applyInPandas(_shuffled(wanted, seed + shuffle_offset), f"r {kind}, annotation_pos int")
+    return df.where(F.col(stratum).isin(*wanted)).join(placed.withColumnRenamed("r", row_id), row_id)
+
+
+def _draw(targets: dict, seed: int, offsets: dict, most: int):
     import random
 
     import pandas as pd
 
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = random.Random(seed)
-        groups: dict = {}
-        for e, r in rows.sort_values("r")[["e", "r"]].itertuples(index=False):
-            groups.setdefault(e, []).append(r)
-        names = sorted(groups)
-        rng.shuffle(names)
-        for e in names:
-            rng.shuffle(groups[e])
-        picked: list = []
-        for turn in range(most):
-            rng.shuffle(names)
-            for e in names:
-                if turn < len(groups[e]) and len(picked) < target:
-                    picked.append(groups[e][turn])
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        name = rows["s"].iloc[0]
+        stream, target = random.Random(seed + offsets.get(name, 0)), targets[name]
+        by_entity = {e: g["r"].tolist() for e, g in rows.sort_values("o", kind="stable").groupby("e", sort=True)}
+        entities = list(by_entity)
+        stream.shuffle(entities)
+        for e in entities:
+            stream.shuffle(by_entity[e])
+        rounds = (_copy_shuffled(stream, entities) for _ in range(most))
+        picked = [by_entity[e][k] for k, turn in enumerate(rounds) for e in turn if k < len(by_entity[e])][:target]
         if len(picked) < target:
-            raise ValueError(f"target {target} is beyond the capacity {len(picked)}")
-        return pd.DataFrame({"r": picked, "pos": range(1, len(picked) + 1)})
+            raise ValueError(f"target {target} of {name} is beyond the capacity {len(picked)}")
+        return pd.DataFrame({"s": name, "r": picked, "n": range(len(picked))})
 
-    keys = df.select(F.col(stratum).alias("s"), F.col(entity).alias("e"), F.col(row_id).alias("r"))
-    kind = df.schema[row_id].dataType.simpleString()
-    drawn = keys.groupBy("s").applyInPandas(draw, f"r {kind}, pos int")
-    return df.join(drawn.withColumnRenamed("r", row_id).withColumnRenamed("pos", "annotation_pos"), row_id)
+    return run
+
+
+def _copy_shuffled(stream, values: list) -> list:
+    out = list(values)
+    stream.shuffle(out)
+    return out
+
+
+def _shuffled(order: list, seed: int):
+    import random
+
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = [r for name in order for r in rows[rows["s"] == name].sort_values("n")["r"].tolist()]
+        if len(set(ids)) < len(ids):
+            raise ValueError("the sample repeats an id")
+        random.Random(seed).shuffle(ids)
+        return pd.DataFrame({"r": ids, "annotation_pos": range(1, len(ids) + 1)})
+
+    return run
 
 
 def tag_sample(records: DataFrame, seed: int, targets: Mapping[str, int], most: int, version: str = "v1") -> DataFrame:

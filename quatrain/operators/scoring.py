@@ -12,42 +12,52 @@ from pyspark.sql import functions as F
 
 from quatrain.functions import text as X
 
-#: Finals and their rhyme groups in the fourteen-group scheme.
+#: Each final's rhyme group in the fourteen-group scheme.
 RHYME_GROUPS = {
-    "1麻": ("a", "ia", "ua"),
-    "2波": ("o", "e", "uo"),
-    "3皆": ("ie", "üe", "ve"),
-    "4开": ("ai", "uai"),
-    "5微": ("ei", "ui", "uei"),
-    "6豪": ("ao", "iao"),
-    "7尤": ("ou", "iu", "iou"),
-    "8寒": ("an", "ian", "uan", "üan", "van"),
-    "9文": ("en", "in", "un", "ün", "vn"),
-    "10唐": ("ang", "iang", "uang"),
-    "11庚": ("eng", "ing", "ong", "iong", "ueng"),
-    "12齐": ("i", "er", "ü", "v"),
-    "14姑": ("u",),
-}
+    "a": "1麻", "ia": "1麻", "ua": "1麻",
+    "o": "2波", "e": "2波", "uo": "2波",
+    "ie": "3皆", "üe": "3皆", "ve": "3皆",
+    "ai": "4开", "uai": "4开",
+    "ei": "5微", "ui": "5微", "uei": "5微",
+    "ao": "6豪", "iao": "6豪",
+    "ou": "7尤", "iu": "7尤", "iou": "7尤",
+    "an": "8寒", "ian": "8寒", "uan": "8寒", "üan": "8寒", "van": "8寒",
+    "en": "9文", "in": "9文", "un": "9文", "ün": "9文", "vn": "9文",
+    "ang": "10唐", "iang": "10唐", "uang": "10唐",
+    "eng": "11庚", "ing": "11庚", "ong": "11庚", "iong": "11庚", "ueng": "11庚",
+    "i": "12齐", "er": "12齐", "ü": "12齐", "v": "12齐",
+    "u": "14姑",
+}
 LOOSE = {"uang": "ang", "iang": "ang"}
 #: Fixed value: syllables whose final i is a group of its own.
 BUZZING = "^(zh|ch|sh|r|z|c|s).\\z"
 
 
+def _with_lines(text: Column, body) -> Column:
+    """body(raw lines, clean lines), each computed once; no lines for null."""
+    none = F.array().cast("array<string>")
+    return X.let(F.coalesce(X.raw_lines(text), none), lambda raw: X.let(F.transform(raw, X.clean_line), lambda lines: body(raw, lines)))
+
+
 def check_form(text: Column, n_lines: int, n_chars: int) -> Column:
     """ok, score, lines_raw, lines_clean, details; a score only where the number of lines is right."""
-    raw, clean = X.raw_lines(text), X.clean_lines(text)
+    return _with_lines(text, lambda raw, lines: _form(text, raw, lines, n_lines, n_chars))
+
+
+def _form(text: Column, raw: Column, lines: Column, n_lines: int, n_chars: int) -> Column:
     sizes = lambda c: F.transform(c, F.length)
 
-    def judged(lines: Column) -> Column:
-        share = F.aggregate(sizes(lines), F.lit(0.0), lambda a, n: a + F.greatest(F.lit(0.0), 1.0 - F.abs(n - n_chars) / F.lit(float(n_chars)))) / n_lines
-        wrong = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) != n_chars, F.concat(F.lit("("), i + 1, F.lit(","), F.length(x), F.lit(")")))), lambda x: x.isNotNull())
-        blank = ~F.coalesce(text.rlike(f"(?U)[^\\s\\x{{1c}}-\\x{{1f}}]"), F.lit(False))
-        right = F.size(lines) == n_lines
+    share = F.aggregate(sizes(lines), F.lit(0.0), lambda a, n: a + F.greatest(F.lit(0.0), 1.0 - F.abs(n - n_chars) / F.lit(float(n_chars)))) / n_lines
+    wrong = F.filter(F.transform(lines, lambda x, i: F.when(F.length(x) != n_chars, F.concat(F.lit("("), i + 1, F.lit(","), F.length(x), F.lit(")")))), lambda x: x.isNotNull())
+    blank = ~F.coalesce(X.strip(text) != "", F.lit(False))
+    right = F.size(lines) == n_lines
+
+    def judged(wrong: Column) -> Column:
         good = right & (F.size(wrong) == 0)
         return F.struct(
             (~blank & good).alias("ok"),
             F.when(blank | ~right, 0.0).when(good, 1.0).otherwise(share).alias("score"),
-            F.coalesce(raw, F.array().cast("array<string>")).alias("lines_raw"),
+            raw.alias("lines_raw"),
             lines.alias("lines_clean"),
             F.when(blank, "Empty text")
             .when(~right, F.concat(F.lit(f"Expected {n_lines} lines, got "), F.size(lines)))
@@ -56,7 +66,7 @@ def check_form(text: Column, n_lines: int, n_chars: int) -> Column:
             .alias("details"),
         )
 
-    return X.let(F.coalesce(clean, F.array().cast("array<string>")), judged)
+    return X.let(wrong, judged)
 
 
 def _lookup(table: Mapping[str, object], key: Column, kind: str) -> Column:
@@ -71,7 +81,7 @@ def normal_final(final: Column, mode: str, syllable: Column | None = None) -> Co
     if mode == "loose":
         return F.coalesce(_lookup(LOOSE, low, "string"), low)
     if mode == "xinyun":
-        group = F.coalesce(_lookup({f: g for g, fs in RHYME_GROUPS.items() for f in fs}, low, "string"), low)
+        group = F.coalesce(_lookup(RHYME_GROUPS, low, "string"), low)
         return group if syllable is None else F.when((low == "i") & F.coalesce(syllable.rlike(BUZZING), F.lit(False)), "13支").otherwise(group)
     return low
 
@@ -107,7 +117,10 @@ class LastSign:
 
 def check_two_rhymes(text: Column, sounds, mode: str = "strict") -> Column:
     """Lines 2 and 4 rhyme; more lines are fine. Finals are grouped without their syllable here."""
+    return X.let(X.clean_lines(text), lambda lines: _two_rhymes(lines, sounds, mode))
+
 
+def _two_rhymes(lines: Column, sounds, mode: str) -> Column:
     def judged(lines: Column) -> Column:
         last2, last4 = X.last_char(F.get(lines, F.lit(1))), X.last_char(F.get(lines, F.lit(3)))
         f2, f4 = sounds.final(last2), sounds.final(last4)
@@ -132,12 +145,16 @@ def check_two_rhymes(text: Column, sounds, mode: str = "strict") -> Column:
             .alias("details"),
         )
 
-    return X.let(X.clean_lines(text), judged)
+    return judged(lines)
 
 
 def check_rhymes(text: Column, sounds, positions: Sequence[int] = (2, 4, 6, 8), mode: str = "strict", require_level: bool = False) -> Column:
     """Lines at 1-based positions rhyme with the first of them: ok, score, finals, tones, ping_ok, details. The score is
     the share that matches, the anchor included; level tones bear on ok only if they are required."""
+    return X.let(X.clean_lines(text), lambda lines: _rhymes(lines, sounds, positions, mode, require_level))
+
+
+def _rhymes(lines: Column, sounds, positions: Sequence[int], mode: str, require_level: bool) -> Column:
     n = len(positions)
 
     def judged(lines: Column) -> Column:
@@ -174,7 +191,7 @@ def check_rhymes(text: Column, sounds, positions: Sequence[int] = (2, 4, 6, 8),
             .alias("details"),
         )
 
-    return X.let(X.clean_lines(text), judged)
+    return judged(lines)
 
 
 def check_pair(a: Column, b: Column, threshold: float = 0.6, tags: Column | None = None) -> Column:
@@ -200,38 +217,77 @@ def check_pair(a: Column, b: Column, threshold: float = 0.6, tags: Column | None
     return X.let(F.struct(X.clean_line(X.strip(a)).alias("x"), X.clean_line(X.strip(b)).alias("y")), judged)
 
 
-def check_parallel(text: Column, pairs: Sequence[tuple[int, int]] = ((3, 4), (5, 6)), names: Sequence[str] = ("颔联", "颈联"), threshold: float = 0.6) -> Column:
-    """Pairs of lines are parallel: ok (all), score (mean), pairs by name; none if a line is missing."""
+def _agreement(tags: Mapping[str, str], a: Column, b: Column) -> Column:
+    """The share of words of two lines that have the same part of speech (first letter of the tag), by a table of words:
+    each line is cut from its start into the table's longest words, and a sign that begins none is a word of part x. Null
+    if the lines do not have equally many words, or none."""
+    words = sorted(tags, key=lambda w: (-len(w), w))
+    pattern = "|".join([*("".join(f"\\x{{{ord(c):x}}}" for c in w) for w in words), "(?s)."])
+    cut = lambda c: F.regexp_extract_all(X.clean_line(X.strip(c)), F.lit(f"({pattern})"), F.lit(1))
+    part = lambda w: F.left(F.coalesce(_lookup(tags, w, "string"), F.lit("x")), F.lit(1))
+
+    def share(s: Column) -> Column:
+        same = F.size(F.filter(F.zip_with(s["x"], s["y"], lambda p, q: part(p) == part(q)), lambda d: d))
+        return F.when((F.size(s["x"]) == F.size(s["y"])) & (F.size(s["x"]) > 0), same / F.size(s["x"]))
+
+    return X.let(F.struct(cut(a).alias("x"), cut(b).alias("y")), share)
+
+
+def check_parallel(
+    text: Column, pairs: Sequence[tuple[int, int]] = ((3, 4), (5, 6)), names: Sequence[str] = ("颔联", "颈联"), threshold: float = 0.6, tags: Mapping[str, str] | None = None
+) -> Column:
+    """Pairs of lines are parallel: ok (all), score (mean), pairs by name; none if a line is missing. tags: parts of speech
+    of words; with it the share of equal parts is averaged in."""
+    return X.let(X.raw_lines(text), lambda lines: _parallel(lines, pairs, names, threshold, tags))
+
+
+def _parallel(lines: Column, pairs: Sequence[tuple[int, int]], names: Sequence[str], threshold: float, tags: Mapping[str, str] | None) -> Column:
     last = max(p for pair in pairs for p in pair)
+    few = F.size(lines) < last
+    line = lambda k: F.get(lines, F.lit(k - 1))
+    found = F.array(*[check_pair(line(a), line(b), threshold, _agreement(tags, line(a), line(b)) if tags else None) for a, b in pairs])
 
-    def judged(lines: Column) -> Column:
-        few = F.size(lines) < last
-        found = [check_pair(F.get(lines, F.lit(a - 1)), F.get(lines, F.lit(b - 1)), threshold) for a, b in pairs]
-        ok = found[0]["ok"]
-        for f in found[1:]:
-            ok = ok & f["ok"]
-        total = sum((f["score"] for f in found[1:]), found[0]["score"]) / len(found)
-        held = F.create_map(*[x for n, f in zip(names, found, strict=True) for x in (F.lit(n), f)])
-        return F.struct((~few & ok).alias("ok"), F.when(few, 0.0).otherwise(total).alias("score"), F.when(few, F.map_from_arrays(F.array().cast("array<string>"), F.transform(F.array().cast("array<int>"), lambda _: found[0]))).otherwise(held).alias("pairs"))
+    def judged(each: Column) -> Column:
+        total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x["score"]) / len(pairs)
+        held = F.map_from_arrays(F.when(few, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, names))), F.when(few, F.slice(each, 1, 0)).otherwise(each))
+        return F.struct((~few & F.forall(each, lambda x: x["ok"])).alias("ok"), F.when(few, 0.0).otherwise(total).alias("score"), held.alias("pairs"))
+
+    return X.let(found, judged)
+
+
+def _totals(parts: Column, names: Sequence[str], weights: Sequence[float]) -> Column:
+    """ok (of all) and weighted total of parts, with each part's score."""
 
-    return X.let(X.raw_lines(text), judged)
+    def summed(p: Column) -> Column:
+        ok, total = p[names[0]]["ok"], weights[0] * p[names[0]]["score"]
+        for n, w in zip(names[1:], weights[1:], strict=True):
+            ok, total = ok & p[n]["ok"], total + w * p[n]["score"]
+        scores = [(p[n]["score"] if n in names else F.lit(None).cast("double")).alias(f"{n}_score") for n in ("meter", "rhyme", "parallel")]
+        return F.struct(ok.alias("ok"), total.alias("total"), *scores)
+
+    return X.let(parts, summed)
 
 
 def score_quatrain(text: Column, sounds, mode: str = "strict", n_chars: int = 7, weights: tuple[float, float] = (0.7, 0.3)) -> Column:
-    meter, rhyme = check_form(text, 4, n_chars), check_two_rhymes(text, sounds, mode)
-    return F.struct(
-        (meter["ok"] & rhyme["ok"]).alias("ok"), (weights[0] * meter["score"] + weights[1] * rhyme["score"]).alias("total"),
-        meter["score"].alias("meter_score"), rhyme["score"].alias("rhyme_score"), F.lit(None).cast("double").alias("parallel_score"),
-    )
-
-
-def score_regulated(text: Column, sounds, mode: str = "strict", require_level: bool = False, n_chars: int = 7, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> Column:
-    meter, rhyme, parallel = check_form(text, 8, n_chars), check_rhymes(text, sounds, mode=mode, require_level=require_level), check_parallel(text)
-    return F.struct(
-        (meter["ok"] & rhyme["ok"] & parallel["ok"]).alias("ok"),
-        (weights[0] * meter["score"] + weights[1] * rhyme["score"] + weights[2] * parallel["score"]).alias("total"),
-        meter["score"].alias("meter_score"), rhyme["score"].alias("rhyme_score"), parallel["score"].alias("parallel_score"),
-    )
+    def scored(raw: Column, lines: Column) -> Column:
+        parts = F.struct(_form(text, raw, lines, 4, n_chars).alias("meter"), _two_rhymes(lines, sounds, mode).alias("rhyme"))
+        return _totals(parts, ("meter", "rhyme"), weights)
+
+    return _with_lines(text, scored)
+
+
+def score_regulated(
+    text: Column, sounds, mode: str = "strict", require_level: bool = False, n_chars: int = 7, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), tags: Mapping[str, str] | None = None
+) -> Column:
+    def scored(raw: Column, lines: Column) -> Column:
+        parts = F.struct(
+            _form(text, raw, lines, 8, n_chars).alias("meter"),
+            _rhymes(lines, sounds, (2, 4, 6, 8), mode, require_level).alias("rhyme"),
+            _parallel(raw, ((3, 4), (5, 6)), ("颔联", "颈联"), 0.6, tags).alias("parallel"),
+        )
+        return _totals(parts, ("meter", "rhyme", "parallel"), weights)
+
+    return _with_lines(text, scored)
 
 
 def score_poem(text: Column, form: Column, sounds, **options) -> Column:

@@ -273,15 +273,6 @@ def json_objects(spark, sf_dir):
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(X.json_object_in(F.col("props")).isNotNull()).alias("n_objects"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN l.quality IS NULL THEN 'unlabelled' WHEN l.quality NOT IN (0, 1) THEN 'quality' WHEN l.toxic NOT IN (0, 1) THEN 'toxic' ELSE 'ok' END AS verdict
-FROM documents d LEFT JOIN labels l USING (doc_id)
-""")
-def label_validation(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    verdict = F.when(F.col("quality").isNull(), "unlabelled").when(~F.col("quality").isin(0, 1), "quality").when(~F.col("toxic").isin(0, 1), "toxic").otherwise("ok")
-    return joined.select("doc_id", verdict.alias("verdict"))
-
 
 @query("""
 SELECT doc_id, CASE WHEN l.quality = 1 THEN 'joy' END AS emotion, CASE WHEN l.quality = 1 THEN 'plain' END AS diction, coalesce(l.quality = 1, false) AS complete
@@ -364,14 +355,6 @@ def incomplete_pairs(spark, sf_dir):
     return segment.incomplete_pairs(joined.withColumn("ko", F.when(F.col("lang") == "en", "en")), "doc_id", ["ko"], "zh")
 
 
-@query("""
-SELECT doc_id, length(regexp_replace(text, '[^А-Яа-яЁё]', '', 'g')) >= 3 AS russian, regexp_matches(text, '[가-힣]') AS hangul,
-       regexp_matches(text, '^[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]{7}$') AS seven_han FROM documents
-""")
-def script_predicates(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", X.is_russian(text).alias("russian"), X.has_hangul(text).alias("hangul"), X.is_exact_han(text).alias("seven_han"))
-
 
 @query(f"SELECT doc_id, len(l) AS n_pieces, md5(array_to_string(l, '|')) AS pieces_md5 FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[，。！？；：,.!?;:\n\r]+'), lambda x: regexp_replace(x, '{B}+', '', 'g')), lambda x: x <> '') AS l FROM documents)")
 def verse_split(spark, sf_dir):
@@ -379,14 +362,6 @@ def verse_split(spark, sf_dir):
     return lines.select("doc_id", F.size("l").cast("long").alias("n_pieces"), F.md5(F.array_join("l", "|")).alias("pieces_md5"))
 
 
-@query("""
-SELECT source, count(*) AS n_docs, count(l.doc_id) AS n_labelled, CAST(coalesce(sum(l.quality), 0) AS BIGINT) AS n_good, CAST(sum(d.n_chars) AS BIGINT) AS n_chars
-FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
-""")
-def source_quality(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return joined.groupBy("source").agg(F.count("*").alias("n_docs"), F.count("quality").alias("n_labelled"), F.coalesce(F.sum("quality"), F.lit(0)).cast("long").alias("n_good"), F.sum("n_chars").cast("long").alias("n_chars"))
-
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
@@ -407,17 +382,4 @@ def duplicate_texts(spark, sf_dir):
     return sampling.duplicate_ids(table(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5")), "text_md5")
 
 
-@query("""
-SELECT d.doc_id, CASE WHEN n IS NULL THEN 'no item' ELSE 'item' END AS kind, coalesce(n, 0) AS n_turns
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN (SELECT conv_id AS doc_id, count(*) AS n FROM conversations GROUP BY conv_id) USING (doc_id)
-""")
-def lookup_with_default(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.count("*").alias("n"))
-    joined = table(spark, sf_dir, "documents").select("doc_id").distinct().join(turns, "doc_id", "left")
-    return joined.select("doc_id", F.when(F.col("n").isNull(), "no item").otherwise("item").alias("kind"), F.coalesce("n", F.lit(0)).alias("n_turns"))
-
-
-@query("SELECT user_id, event_id, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events) WHERE rank <= 4")
-def top_events(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("user_id", "event_id", "rank")
+from quatrain.plans import literals  # noqa: E402, F401  (registers further queries)

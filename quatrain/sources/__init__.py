@@ -21,12 +21,19 @@ from quatrain.functions import text as X
 def read_json_shards(spark: SparkSession, path: str, glob: str = "poet.tang.*.json", max_files: int | None = None) -> DataFrame:
     """(source_file, shard_no, item_pos, source_id, title, author, paragraphs) of JSON-array files. Files that hold no
     array, items that are no objects and items without a non-empty list of paragraphs are left out one by one; a typed
-    parse would lose the whole file for one of them. No file at all is an error (raised by the reader)."""
+    parse would lose the whole file for one of them. If no file matches, FileNotFoundError is raised."""
     files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path)
-    named = files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value").withColumn("shard_no", X.shard_number(F.col("source_file")))
+    if files.limit(1).isEmpty():
+        raise FileNotFoundError(f"{path}: no file matches {glob}")
+    return parse_shards(files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value"), max_files)
+
+
+def parse_shards(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """The same of (source_file, value), files' names and whole contents."""
+    named = files.select("source_file", "value").withColumn("shard_no", X.shard_number(F.col("source_file")))
     if max_files is not None:
         first = named.select("shard_no", "source_file").distinct().orderBy("shard_no", "source_file").limit(max_files)
-        named = named.join(F.broadcast(first), ["shard_no", "source_file"], "left_semi")
+        named = named.join(first, ["shard_no", "source_file"], "left_semi")
     parsed = named.withColumn("v", F.try_parse_json("value"))
     array = parsed.where(F.schema_of_variant("v").startswith("ARRAY"))
     items = array.select("source_file", "shard_no", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("item_pos", "item"))
@@ -42,16 +49,22 @@ def read_json_shards(spark: SparkSession, path: str, glob: str = "poet.tang.*.js
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON lines, strictly: a line that is no JSON object raises ValueError with the line."""
+    """JSON lines, strictly: a line that is no JSON object raises ValueError with its file, number and text."""
     typed = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*\z"))
     objects = lines.withColumn("k", F.schema_of_variant(F.try_parse_json("value")))
     wrong = objects.where(~F.coalesce(F.col("k").startswith("OBJECT"), F.lit(False))).select(F.input_file_name().alias("f"), "value").limit(1).collect()
     if wrong:
-        raise ValueError(f"{wrong[0]['f']}: not a JSON object: {wrong[0]['value'][:200]}")
+        raise ValueError(f"{wrong[0]['f']}:{_line_number(spark, wrong[0]['f'], wrong[0]['value'])}: not a JSON object: {wrong[0]['value'][:200]}")
     return spark.read.schema(typed).json(path)
 
 
+def _line_number(spark: SparkSession, file: str, line: str) -> int:
+    """1-based number of the first such line, counted in one pass over the one file."""
+    ahead = spark.read.option("wholetext", True).text(file).select(F.substring_index(F.concat(F.lit("\n"), "value"), "\n" + line, 1).alias("a"))
+    return ahead.select((F.size(F.split("a", "\n"))).alias("n")).first()["n"]
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines that keep null fields."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -65,6 +78,30 @@ def read_config(path: str) -> dict:
     return found
 
 
+def taxonomy_of(config: dict, dimensions: tuple[str, ...], section: str = "style") -> dict[str, list[str]]:
+    """Allowed values of each dimension of {section: {name: {values: ...}}}; values may be a list or an object of names.
+    A dimension that is not there, or that allows nothing, raises ValueError."""
+    out = {}
+    for d in dimensions:
+        block = (config.get(section) or {}).get(d)
+        values = list(block.get("values") or ()) if isinstance(block, dict) else []
+        if not values:
+            raise ValueError(f"the schema has no values for dimension {d}")
+        out[d] = [str(v) for v in values]
+    return out
+
+
+def asked_names(raw: str, allowed: tuple[str, ...]) -> list[str]:
+    """Names of a comma-separated list, once each in order; none, or one that is not allowed, raises ValueError."""
+    names = list(dict.fromkeys(x.strip() for x in raw.split(",") if x.strip()))
+    unknown = [n for n in names if n not in allowed]
+    if unknown:
+        raise ValueError(f"unknown: {', '.join(unknown)}; allowed: {', '.join(allowed)}")
+    if not names:
+        raise ValueError("at least one name is needed")
+    return names
+
+
 def lexicon_table(spark: SparkSession, config: dict) -> DataFrame:
     """(category, cat_pos, term) of {categories: {name: [term]}}."""
     categories = config.get("categories")

@@ -61,6 +61,18 @@ def test_jsonl(spark, tmp_path):
     assert spark.table("rows").count() == 2
 
 
+def test_names_and_taxonomies():
+    assert sources.asked_names(" qilv7, qijue7,qilv7", ("qijue7", "qilv7")) == ["qilv7", "qijue7"]
+    for bad in ("", " , ", "cifu"):
+        with pytest.raises(ValueError):
+            sources.asked_names(bad, ("qijue7",))
+    config = {"style": {"emotion": {"values": {"joy": "喜"}}, "energy": {"values": []}}}
+    assert sources.taxonomy_of(config, ("emotion",)) == {"emotion": ["joy"]}
+    for d in ("energy", "none"):
+        with pytest.raises(ValueError, match=d):
+            sources.taxonomy_of(config, (d,))
+
+
 def test_docx_and_fingerprint(spark, tmp_path):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in ("乡歌：", "  ", "原文：가나", "译文：一"))
@@ -92,8 +104,9 @@ def test_sampling(spark):
     for _, i in got:
         per[i[:-2]] = per.get(i[:-2], 0) + 1
     assert max(per.values()) == 2 and sum(n for k, n in per.items() if k.startswith("qijue7")) == 6
-    exact = sampling.exact_sample(df.where("form = 'qilv7'"), "form", "author", "id", 5, 3, 2).collect()
-    assert len({r["id"] for r in exact}) == 5
+    with pytest.raises(Exception, match="capacity"):
+        sampling.exact_sample(df, "form", "author", "id", {"qilv7": 50}, 3, 2).collect()
+    assert sampling.exact_sample(df, "form", "author", "id", {"qilv7": 0}, 3, 2).count() == 0
     row = annotate.diversity(df).first()
     assert tuple(row) == (6, 2, 6)
     assert annotate.diversity(df.limit(0)).first()["most_rows"] == 0

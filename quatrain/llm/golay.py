@@ -39,7 +39,7 @@ SHINGLE, SEED, ERRORS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b110001110101
 HOT_BUCKET = 20_000
-SMALL_BUCKET = 48
+SMALL_BUCKET = 8
 
 
 def fingerprint(text: str) -> bytes:
@@ -124,20 +124,26 @@ def _apart(words: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _spanning(values: np.ndarray, words: np.ndarray, errors: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that span a bucket: each reached fingerprint is compared with those not reached yet."""
+    """A bucket's components as stars around their least values, which are much the same in all buckets that they share:
+    each reached fingerprint is compared with those not reached yet."""
     left, right = [], []
     rest = np.arange(len(values))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
+        found = [np.array(queue)]
         while queue and len(rest):
             x = queue.pop()
             close = _apart(words[rest], words[x]) <= errors
             if close.any():
                 reached = rest[close]
-                left.append(np.full(len(reached), values[x]))
-                right.append(values[reached])
+                found.append(reached)
                 queue += list(reached)
                 rest = rest[~close]
+        if len(found) > 1:
+            members = values[np.concatenate(found)]
+            least = members.min()
+            left.append(members[members != least])
+            right.append(np.full(len(left[-1]), least))
     return left, right
 
 

@@ -92,6 +92,11 @@ def test_repeated_rows_do_not_grow(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in pfp.remove_repeats(df).collect()), key=str)
     assert got == sorted(((r[0], *w) for r, w in zip(rows, brute([t.encode() for _, t in rows]))), key=str)
+    # entries of distinct texts: one a trigger, so about 2 / OFFSETS a byte of texts that do not repeat themselves
+    bodies = [t.encode() for t in {t for _, t in rows if len(t.encode()) >= pfp.LENGTH and len(set(t)) > 3}]
+    batch = pfp.pa.RecordBatch.from_arrays([pfp.pa.array(range(len(bodies)), pfp.pa.int64()), pfp.pa.array([0] * len(bodies), pfp.pa.int32()), pfp.pa.array(bodies, pfp.pa.binary())], names=["rid", "rid2", "body"])
+    entries = sum(b.num_rows for b in pfp._parse([batch]))
+    assert entries <= len(bodies) + 4 * sum(map(len, bodies)) / pfp.OFFSETS
 
 
 def test_one_batch_stays_small():

@@ -66,3 +66,46 @@ def test_long_parts_are_linked_whole():
     assert linked(f"client_id: abc {url} {token}") == []
     assert linked(f"{token} login: {name} password=hunter2 {url}") == [("weak", token), ("ident", f"login: {name}"), ("weak", "password=hunter2"), ("endpoint", url)]
     assert linked(f"login: bob token={'x' * 900}") == [("ident", "login: bob")]
+
+
+def planted(rnd):
+    """A text of parts at known places, and (kind, start, end) of each; fillers match nothing."""
+    make = {
+        "ident": lambda: ("user_id=", f"acct{rnd.randrange(10**5)}" + "x" * rnd.choice([0, 80])),
+        "weak": lambda: ("password: ", "s3cr" + "et" * rnd.randint(1, 3)),
+        "random": lambda: ("", "".join(rnd.sample("ABCDEFGHJKLM", 8) + rnd.sample("abcdefghjkm", 8) + rnd.sample("23456789", 6)) * rnd.choice([1, 15])),
+        "assign": lambda: ("token=", "t" * rnd.choice([12, 40])),
+        "access": lambda: ("", "AKIA" + "".join(rnd.choice("ABCDEFGH234567") for _ in range(16))),
+        "endpoint": lambda: ("", "https://h.example.com/" + "p" * rnd.choice([3, 600])),
+    }
+    text, parts = "", []
+    for _ in range(rnd.randint(0, 9)):
+        text += " ".join(["so", "it", "went", "on"] * rnd.choice([1, 3, 12, 30])) + " \n"
+        kind = rnd.choice(list(make))
+        head, value = make[kind]()
+        parts.append((kind, len(text), len(text) + len(head + value)))
+        text += head + value + " "
+    return text, parts
+
+
+def test_linking_by_definition():
+    """Every pair of parts is looked at: weak ones stay where an identifier and a secret are in one scope."""
+    import random
+
+    rnd, linked = random.Random(9), 0
+    for _ in range(400):
+        text, parts = planted(rnd)
+        near = lambda a, p: p[1] <= a[2] + C.SCOPE and p[2] >= a[1] - C.SCOPE and p != a
+        want = {(s, {"assign": 0, "access": 1}[k], e) for k, s, e in parts if k in ("assign", "access")}
+        for a in parts:
+            if a[0] in ("ident", "access"):
+                secrets = [p for p in parts if p[0] in ("weak", "random", "assign") and near(a, p)]
+                if secrets:
+                    want |= {(a[1], 3, a[2])} if a[0] == "ident" else set()
+                    want |= {(s, 4, e) for k, s, e in secrets if k != "assign"}
+                    want |= {(p[1], 5, p[2]) for p in parts if p[0] == "endpoint" and near(a, p)}
+        base, short = C.base_spans(text)
+        got = set(base) | set(C.linked_spans(text, base, short))
+        assert {g for g in got if g[1] != 2} == want, text
+        linked += any(k > 2 for _, k, _ in want)
+    assert linked > 80

@@ -16,6 +16,7 @@ BLANK = r"[\s\x{1c}-\x{1f}]"
 BLANK_SIGNS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: where lines end.
 LINE_BREAK = r"\r\n|[\n\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+RARE_BREAK = r"[\r\x0b\f\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 #: The signs at which verse is cut, and the signs that a cleaned line lacks.
 VERSE_BREAK = "[，。！？；：,.!?;:\n\r]+"
 LINE_SIGNS = "，。！？；：、,.!?;:\"'“”‘’（）()[]{}《》<>…—-"
@@ -30,7 +31,9 @@ def _class_of(signs: str) -> str:
     return "".join("\\" + s if s in "\\[]^-&" else s for s in signs)
 
 
-CLEAN = f"[{_class_of(LINE_SIGNS + BLANK_SIGNS)}]+"
+_LATIN, _OTHERS = ("".join(c for c in LINE_SIGNS + BLANK_SIGNS if (ord(c) < 256) == latin) for latin in (True, False))
+#: A Latin sign fails the first class by one look and the second by its range, so the long class is for others only.
+CLEAN = f"(?:[{_class_of(_LATIN)}]|(?![\\x00-\\xff])[{_class_of(_OTHERS)}])+"
 
 
 def let(value: Column, body) -> Column:
@@ -48,7 +51,9 @@ def remove_blanks(c: Column) -> Column:
 
 def raw_lines(text: Column) -> Column:
     """Stripped lines that are not blank."""
-    return F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda x: x != "")
+    # most texts have line feeds only, and cutting at one sign needs no pattern
+    cut = F.when(text.rlike(RARE_BREAK), F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
+    return F.filter(F.transform(cut, strip), lambda x: x != "")
 
 
 def clean_line(line: Column) -> Column:

@@ -12,7 +12,7 @@ long, that overlaps it. Weak parts are reported only where complementary ones me
 are there. Base spans stay whatever the linking finds.
 
 Defined results: a null or empty text has no spans (counts 0, SHA-256 of the empty string, spans ""); repeated rows are
-scanned each; an empty table gives an empty table; texts are scanned whole; other columns are not read.
+scanned each; an empty table gives an empty table; texts, very long ones too, are scanned whole; other columns are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ HOT_BUCKET fingerprints is not gathered; its fingerprints take another exact way
 two bits and those that share a word are linked to the least of them (they are within four by construction).
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows get equal rows; a
-null id is never the smallest unless all of a component are null; an empty table gives an empty table.
+null id is never the smallest unless all of a component are null; very long texts are fingerprinted whole; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ texts pool with the small groups of their language, then of all languages. Estim
 most BROADCAST_GROUPS of them, and joined otherwise.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages or sources count as empty
-strings; repeated rows count each and get equal rows; an empty table gives an empty table. Windows are compared by
+strings; repeated rows count each and get equal rows; very long texts are counted whole; groups too small for an estimate
+of their own are judged by their pool, and kept if no text of it passes the base rules; an empty table gives an empty table. Windows are compared by
 64-bit hashes within a text.
 """
 

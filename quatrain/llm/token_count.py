@@ -7,8 +7,8 @@ the other chunks go to the library's merge procedure, once per distinct chunk wh
 Segmentation decomposes at chunk borders because no piece reaches over one (PieceModel.splits_at_chunks proves it from
 the model file, and read_model refuses other models), so the sums are the library's own counts.
 
-Defined results: a null or empty text has no tokens; repeated rows are counted each; an empty table gives an empty
-table; only the id columns and the text are read, so further columns of any name do not matter.
+Defined results: a null or empty text has no tokens; repeated rows are counted each; very long texts are counted whole; an
+empty table gives an empty table; only the id columns and the text are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations

@@ -79,3 +79,14 @@ def test_operators(spark):
     encoded = sorted((tuple(r) for r in spm_fst.encode_texts(df, model_path()).collect()), key=str)
     assert encoded == sorted(((d, lib.encode(t or ""), (t or "").replace("▁", " ")) for d, t, *_ in rows), key=str)
     assert token_count.count_tokens(df.limit(0), model_path()).count() == 0 == spm_fst.encode_texts(df.limit(0), model_path()).count()
+
+
+def test_very_long_texts(spark):
+    lib, rnd = library(), random.Random(11)
+    words = ["".join(rnd.choice("aeiouthnsr日𠀀é,.") for _ in range(rnd.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(120_000)), "q" * 200_000, "\n " * 50_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = {r["doc_id"]: (r["ids"], r["decoded"]) for r in spm_fst.encode_texts(df, model_path()).collect()}
+    assert encoded == {i: (lib.encode(t), t) for i, t in enumerate(texts)}
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(df, model_path()).collect()}
+    assert counts == {i: len(lib.encode(t)) for i, t in enumerate(texts)}

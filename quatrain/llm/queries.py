@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quatrain.llm.line_dedup import SPREAD_SQL
+from quatrain.llm.resample import RESAMPLE_SQL
 from quatrain.llm.warc import ROUNDTRIP_SQL
 
 MODEL = "piece_bpe_32k.model"
@@ -88,6 +89,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.resample import importance_resample
+
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_archive": op2_warc_archive,
@@ -99,9 +112,12 @@ QUERIES: dict[str, Query] = {
     "op8_line_spread": op8_line_spread,
     "op9_html_suffix_array": op9_html_suffix_array,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_tsqr_whitening": op12_tsqr_whitening,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_archive": ROUNDTRIP_SQL,
     "op8_line_spread": SPREAD_SQL,
+    "op13_importance_resampling": RESAMPLE_SQL,
 }

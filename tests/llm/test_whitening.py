@@ -1,0 +1,91 @@
+from __future__ import annotations
+
+import os
+
+import numpy as np
+import pytest
+
+from quatrain.llm import whitening
+
+DATA = "/root/testdata/sf0.001"
+
+
+def brute(rows, most=16):
+    """{id: (deviation, whitened)}, explained, identity error and n by a dense eigendecomposition."""
+    whole = [(i, [int(np.floor(64 * np.float64(c))) + 1_000_000 for c in v]) for i, v in rows if v is not None and len(v) and all(c is not None and np.isfinite(c) for c in v)]
+    fit = np.array(sorted({tuple(x) for _, x in whole}), np.int64)
+    n, sums = len(fit), fit.sum(0)
+    far = (n * fit - sums) / n
+    e, u = np.linalg.eigh(far.T @ far / n)
+    order = np.argsort(-e)
+    e, u = e[order], u[:, order]
+    deviation = [sum(int(y) ** 2 for y in n * np.array(x, object) - sums) for _, x in whole]
+    return [i for i, _ in whole], deviation, (n * np.array([x for _, x in whole]) - sums) / n @ u / np.sqrt(np.maximum(e, 1e-300)), e / e.sum(), n
+
+
+def compare(df, rows, most=16, k=None):
+    got = whitening.whiten(df, most=most).orderBy("vec_id", "component").toPandas()
+    ids, deviation, white, explained, n = brute(rows)
+    k = k or min(most, len(explained))
+    assert len(got) == k * len(ids) and set(got["n"]) == {n}
+    assert got["identity_error"].max() < 1e-9 and got["identity_error"].nunique() == 1
+    assert np.allclose(got["explained"].to_numpy().reshape(-1, k), explained[:k], rtol=1e-9)
+    order = np.argsort(ids, kind="stable")
+    assert got["deviation"].tolist() == [d for i in order for d in [deviation[i]] * k]
+    w = got["whitened"].to_numpy().reshape(-1, k)
+    for c in range(k):
+        sign = np.sign(w[:, c] @ white[order, c])
+        assert np.allclose(w[:, c] * sign, white[order, c], atol=1e-7)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_query_against_eigenvectors(spark):
+    from quatrain.llm.queries import op12_tsqr_whitening
+
+    df = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    compare(df, [(r["vec_id"], r["embedding"]) for r in df.collect()])
+    assert op12_tsqr_whitening(spark, DATA).columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+
+
+def test_bad_entries_copies_and_clashing_names(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    rows = [(i, (rnd.normal(size=6) * [9, 5, 3, 2, 1, 0.4]).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(400 + i, rows[0][1]) for i in range(120)]
+    rows += [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [float("nan")] * 6), (903, [float("inf")] + [0.0] * 5), (904, [])]
+    schema = "vec_id long, embedding array<float>, n string, component int, x int"
+    df = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], schema)
+    compare(df, rows)
+    compare(df, rows, most=2)
+    assert whitening.whiten(spark.createDataFrame([(*r, "", 1, 2) for r in [*rows, (905, [1.0, 2.0])]], schema)).where("vec_id = 905").count() == 0
+    # a tree of several levels
+    monkeypatch.setattr(whitening, "FAN", 2)
+    compare(df.repartition(7), rows)
+
+
+def test_flat_directions_and_small_tables(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(a), float(b), float(a), 0.0, 1.0]) for i, (a, b) in enumerate(rnd.integers(-40, 40, (60, 2)))]
+    kind = "vec_id long, embedding array<double>"
+    compare(spark.createDataFrame(rows, kind), rows, k=2)
+    assert {r["component"] for r in whitening.whiten(spark.createDataFrame(rows[:2], kind)).collect()} == {1}
+    assert whitening.whiten(spark.createDataFrame(rows[:1] * 3, kind)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([], kind)).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, None)], kind)).count() == 0
+
+
+@pytest.mark.parametrize("d", [1, 2, 7, 64])
+def test_rotations(d):
+    a = np.random.default_rng(d).normal(size=(d, d)) * np.logspace(0, -9, d)
+    lengths, v = whitening.jacobi(a)
+    assert np.allclose(lengths, np.linalg.svd(a, compute_uv=False), rtol=1e-6, atol=1e-16)
+    assert np.abs(v.T @ v - np.eye(d)).max() < 1e-13
+    product = a @ v
+    cosine = product.T @ product / np.outer(lengths, lengths)
+    assert np.abs(cosine - np.eye(d)).max() < 1e-12
+    zero, w = whitening.jacobi(np.zeros((d, d)))
+    assert not zero.any() and np.abs(w.T @ w - np.eye(d)).max() < 1e-13
+
+
+def test_integers_beyond_the_range_are_refused():
+    with pytest.raises(OverflowError):
+        whitening.centred(np.array([[1 << 40]]), 1 << 30, np.array([0]))

@@ -89,6 +89,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op11_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quatrain.llm.language import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"), model_path())
+
+
 def op12_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quatrain.llm.whitening import whiten
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_spread": op8_line_spread,
     "op9_html_suffix_array": op9_html_suffix_array,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_language_unigrams": op11_language_unigrams,
     "op12_tsqr_whitening": op12_tsqr_whitening,
     "op13_importance_resampling": op13_importance_resampling,
 }

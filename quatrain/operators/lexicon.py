@@ -1,75 +1,75 @@
 """Lexicon matches with longest-span suppression, and the weak labels that follow from them.
 
-A lexicon is a DataFrame (category, cat_pos, term). A small one is looked for in one scan of each text, by a pattern of all
-its terms; a large one by an equi-join, not a theta join: for each term length the text's grams of that length are exploded
-with their places and joined to the terms, so Spark shuffles or broadcasts by its own size check. Both follow the lexicon:
-no term length is left out.
+A lexicon is a DataFrame (category, cat_pos, term) of any size. Its terms become automata of BLOCK_SIGNS signs at most, which
+are built once and broadcast: the bound holds whatever the lexicon's size, as a larger lexicon makes more of them. Texts
+are read once an automaton, in time that grows with their length alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quatrain.functions import text as X
+from quatrain.functions.automaton import Automaton
 
-
-#: Lexicons of at most so many distinct terms are scanned for by one pattern.
-INLINE_TERMS = 2_000
+#: Signs of the terms that share an automaton; one of so many states takes some 200 MB in a worker.
+BLOCK_SIGNS = 1_000_000
 
 
-def find_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", inline_terms: int = INLINE_TERMS) -> DataFrame:
+def find_matches(docs: DataFrame, lexicon: DataFrame, id_col: str = "id", text_col: str = "text", block_signs: int = BLOCK_SIGNS) -> DataFrame:
     """(id, category, cat_pos, term, start, end) of every occurrence, overlaps included, that no longer match covers.
     Line breaks are removed first, so terms may run over line ends. Equal spans of two categories both stay. Rows that
     repeat an id are matched each for itself."""
     terms = lexicon.where("term <> ''").select("category", "cat_pos", "term").distinct()
-    few = [r["term"] for r in terms.select("term").distinct().limit(inline_terms + 1).collect()]
-    flat = docs.select(F.col(id_col).alias("__id"), F.replace(text_col, F.lit("\n"), F.lit("")).alias("__t")).withColumn("__row", F.monotonically_increasing_id())
-    if len(few) > inline_terms:
-        lengths = sorted(r["n"] for r in terms.select(F.length("term").alias("n")).distinct().collect())
-        found = _by_grams(flat, terms, lengths)
-    else:
-        found = _by_scan(flat, few)
-    found = suppress_covered(found, "__row")
+    each = terms.select("term").distinct()
+    signs = each.agg(F.sum(F.length("term"))).first()[0] or 0
+    n_blocks = max(1, -(-signs // block_signs))
+    flat = docs.select(F.col(id_col).alias("__id"), F.replace(text_col, F.lit("\n"), F.lit("")).alias("__t"))
+    found = None
+    for block in range(n_blocks):
+        own = each if n_blocks == 1 else each.where(F.pmod(F.xxhash64("term"), F.lit(n_blocks)) == block)
+        # a block's terms are as many as BLOCK_SIGNS allows
+        part = _scanned(flat, Automaton(r["term"] for r in own.collect()))
+        found = part if found is None else found.union(part)
+    if n_blocks > 1:
+        # rows that repeat an id and a text have the same matches, which cover each other in no case
+        found = suppress_covered(found, ["__id", "__hash"])
     return found.join(terms, "term").select(F.col("__id").alias(id_col), "category", "cat_pos", "term", "start", "end")
 
 
-def _by_scan(flat: DataFrame, terms: list[str]) -> DataFrame:
-    """__id, __row, term, start and end of the longest term at each place: shorter ones there are covered by it. A text is
-    cut ahead of every place where a term begins, and places are running sums of the parts' lengths."""
-    if not terms:
-        return flat.select("__id", "__row", F.col("__t").alias("term"), F.lit(0).alias("start"), F.lit(0).alias("end")).where("false")
-    heads = "".join(sorted({f"\\x{{{ord(t[0]):x}}}" for t in terms}))
-    quoted = ["".join(f"\\x{{{ord(c):x}}}" for c in t) for t in sorted(terms, key=lambda t: (-len(t), t))]
-    ahead = f"(?=[{heads}])(?=({'|'.join(quoted)}))"
-    cut = flat.select("__id", "__row", F.regexp_extract_all("__t", F.lit(ahead), F.lit(1)).alias("terms"), F.split("__t", ahead).alias("parts")).where(F.size("terms") > 0)
-    # a text that begins with a term has no part ahead of it
-    each = cut.select("__id", "__row", F.posexplode(F.arrays_zip("terms", F.slice("parts", F.size("parts") - F.size("terms") + 1, F.size("terms")).alias("p"))).alias("i", "x"), F.when(F.size("parts") > F.size("terms"), F.length(F.get("parts", F.lit(0)))).otherwise(0).alias("base"))
-    upto = Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.col("base") + F.coalesce(F.sum(F.length("x.p")).over(upto), F.lit(0))).cast("int")
-    return each.select("__id", "__row", F.col("x.terms").alias("term"), start.alias("start")).withColumn("end", F.col("start") + F.length("term"))
-
-
-def _by_grams(flat: DataFrame, terms: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same by a join, all terms at each place."""
-    none = F.array().cast("array<struct<start:int,term:string>>")
+def _scanned(flat: DataFrame, automaton: Automaton) -> DataFrame:
+    """__id, __hash, term, start and end of the automaton's uncovered matches."""
+    source = flat.where("__t is not null").select("__id", F.xxhash64("__t").alias("__hash"), "__t")
+    shipped = flat.sparkSession.sparkContext.broadcast(automaton)
 
-    def grams(chars, n: int):
-        every = F.transform(F.sequence(F.lit(0), F.size(chars) - n), lambda i: F.struct(i.alias("start"), F.array_join(F.slice(chars, i + 1, n), "").alias("term")))
-        return F.when(F.size(chars) >= n, every).otherwise(none)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = shipped.value.uncovered
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows, spans, terms = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    own = find(text)
+                    rows += [i] * len(own)
+                    spans += own
+                    terms += [text[a:b] for a, b in own]
+                held = [part.column(k).take(pa.array(rows, pa.int64())) for k in (0, 1)]
+                places = [pa.array([s[k] for s in spans], pa.int32()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*held, pa.array(terms, pa.string()), *places], names=["__id", "__hash", "term", "start", "end"])
 
-    # signs are taken from an array: cutting a long UTF-8 string by place would read it from its start every time
-    signs = F.filter(F.split("__t", ""), lambda c: c != "")
-    found = flat.select("__id", "__row", F.explode(X.let(signs, lambda c: F.flatten(F.array(*[grams(c, n) for n in lengths])))).alias("g"))
-    hits = found.select("__id", "__row", "g.start", "g.term").join(terms.select("term").distinct(), "term", "left_semi")
-    return hits.withColumn("end", F.col("start") + F.length("term"))
+    return source.mapInArrow(run, f"__id {source.schema['__id'].dataType.simpleString()}, __hash long, term string, start int, end int")
 
 
-def suppress_covered(matches: DataFrame, id_col: str = "id") -> DataFrame:
+def suppress_covered(matches: DataFrame, id_col: str | list[str] = "id") -> DataFrame:
     """Drop a match if a strictly longer one covers it, by two running maxima instead of a range self-join: of matches
     that begin earlier none may end as late, and of those that begin with it none may end later."""
-    earlier = Window.partitionBy(id_col).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy(id_col, "start")
+    ids = [id_col] if isinstance(id_col, str) else id_col
+    earlier = Window.partitionBy(*ids).orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*ids, "start")
     marked = matches.withColumn("__before", F.max("end").over(earlier)).withColumn("__with", F.max("end").over(same))
     return marked.where((F.coalesce("__before", F.lit(-1)) < F.col("end")) & (F.col("__with") == F.col("end"))).drop("__before", "__with")
 

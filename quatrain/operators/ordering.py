@@ -31,3 +31,12 @@ def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "n", p
     begins = counts.select("__range", F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__begin"))
     numbered = placed.join(F.broadcast(begins), "__range")
     return numbered.select(*df.columns, (F.col("__begin") + F.col("__at") + 1).alias(name))
+
+
+def number_within(df: DataFrame, groups: Sequence[str], order: Sequence[str | Column], name: str = "n") -> DataFrame:
+    """df with positions 1, 2, ... within each group of equal values (nulls are a group), in the given order. A group of any
+    size is numbered by all tasks that its rows are dealt to: its positions in the whole less where the group begins."""
+    placed, _ = materialize(number_rows(df, [*groups, *order], "__n"), "placed")
+    begins = placed.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg((F.min("__n") - 1).alias("__begin"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+    return placed.join(begins, same).select(*df.columns, (F.col("__n") - F.col("__begin")).alias(name))

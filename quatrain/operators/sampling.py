@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quatrain.operators.ordering import number_within
+
 
 def chance(seed: int, *columns: str) -> Column:
     """A reproducible random key: the same in any engine that has MD5."""
@@ -51,17 +53,39 @@ def exact_sample(
     Each stratum has a stream seeded with seed and its offset. Fixed order of draws: the sorted entities are shuffled; then
     each entity's rows, in the given order (row_id by default), entity by entity; then, every round anew, a copy of the
     once-shuffled entities, and each gives its next row until the target is reached. The rows drawn, in order of strata,
-    are shuffled with a stream of their own. Raises ValueError for a target beyond the capacity and for repeated ids. One
-    task holds one stratum's ids: for a balanced sample of any size see balanced_sample."""
+    are shuffled with a stream of their own.
+
+    How a stream runs hangs on the entities and on how many rows each has, not on the rows: it is run over those counts, and
+    gives the places, within their entity, of the rows drawn. Rows are numbered within their entities across tasks and
+    joined to the places, so no task holds a stratum's ids; the shuffled order is one of as many numbers as the targets ask
+    for. Raises ValueError for a target beyond the capacity; repeated ids fail when the sample is read. For samples
+    without a sequential stream see balanced_sample."""
     wanted = [k for k, n in targets.items() if n]
     if not wanted:
         return df.where("false").withColumn("annotation_pos", F.lit(0))
-    kind = df.schema[row_id].dataType.simpleString()
-    keys = df.where(F.col(stratum).isin(*wanted)).select(F.col(stratum).alias("s"), F.col(entity).alias("e"), F.col(row_id).alias("r"), F.col(order or row_id).alias("o"))
-    drawn = keys.groupBy("s").applyInPandas(_draw(dict(targets), seed, dict(offsets or {}), most), f"s string, r {kind}, n int")
-    # what is drawn is as large as the targets say
-    placed = drawn.groupBy(F.lit(1).alias("all")).applyInPandas(_shuffled(wanted, seed + shuffle_offset), f"r {kind}, annotation_pos int")
-    return df.where(F.col(stratum).isin(*wanted)).join(placed.withColumnRenamed("r", row_id), row_id)
+    own = df.where(F.col(stratum).isin(*wanted))
+    counts = own.groupBy(F.col(stratum).alias("s"), F.col(entity).alias("e")).agg(F.count("*").alias("n"))
+    begins, begin = {}, 0
+    for k in wanted:
+        begins[k], begin = begin, begin + targets[k]
+    drawn = counts.groupBy("s").applyInPandas(_draw(dict(targets), seed, dict(offsets or {}), most), f"s string, e {df.schema[entity].dataType.simpleString()}, place long, n int")
+    order_of = list(range(begin))
+    _shuffle(order_of, seed + shuffle_offset)
+    positions = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(order_of, 1)], "x int, annotation_pos int")
+    first = F.coalesce(*[F.when(F.col("s") == k, F.lit(n)) for k, n in begins.items()])
+    placed = drawn.withColumn("x", first + F.col("n")).join(positions, "x").select("s", "e", "place", "annotation_pos")
+    ranked = number_within(own, [stratum, entity], [order or row_id] + ([row_id] if order else []), "__place")
+    chosen = ranked.join(placed, (F.col(stratum) == F.col("s")) & F.col(entity).eqNullSafe(F.col("e")) & (F.col("__place") == F.col("place")))
+    # the sample is as large as the targets say
+    again = F.count("*").over(Window.partitionBy(row_id)) > 1
+    checked = F.when(again, F.raise_error(F.concat(F.lit("the sample repeats the id "), F.coalesce(F.col(row_id).cast("string"), F.lit("null")))).cast("int")).otherwise(F.col("annotation_pos"))
+    return chosen.withColumn("annotation_pos", checked).select(*df.columns, "annotation_pos")
+
+
+def _shuffle(values: list, seed: int) -> None:
+    import random
+
+    random.Random(seed).shuffle(values)
 
 
 def _draw(targets: dict, seed: int, offsets: dict, most: int):
@@ -69,40 +93,26 @@ def _draw(targets: dict, seed: int, offsets: dict, most: int):
 
     import pandas as pd
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        name = rows["s"].iloc[0]
+    def run(counts: pd.DataFrame) -> pd.DataFrame:
+        name = counts["s"].iloc[0]
         stream, target = random.Random(seed + offsets.get(name, 0)), targets[name]
-        by_entity = {e: g["r"].tolist() for e, g in rows.sort_values("o", kind="stable").groupby("e", sort=True)}
-        entities = list(by_entity)
+        sizes = dict(sorted(zip(counts["e"], counts["n"], strict=True), key=lambda x: (x[0] is not None, x[0])))
+        entities = list(sizes)
         stream.shuffle(entities)
+        first = {}
         for e in entities:
-            stream.shuffle(by_entity[e])
-        rounds = (_copy_shuffled(stream, entities) for _ in range(most))
-        picked = [by_entity[e][k] for k, turn in enumerate(rounds) for e in turn if k < len(by_entity[e])][:target]
+            places = list(range(1, sizes[e] + 1))
+            stream.shuffle(places)
+            first[e] = places[:most]
+        picked = []
+        for k in range(most):
+            turn = list(entities)
+            stream.shuffle(turn)
+            picked += [(e, first[e][k]) for e in turn if k < len(first[e])]
+        picked = picked[:target]
         if len(picked) < target:
             raise ValueError(f"target {target} of {name} is beyond the capacity {len(picked)}")
-        return pd.DataFrame({"s": name, "r": picked, "n": range(len(picked))})
-
-    return run
-
-
-def _copy_shuffled(stream, values: list) -> list:
-    out = list(values)
-    stream.shuffle(out)
-    return out
-
-
-def _shuffled(order: list, seed: int):
-    import random
-
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = [r for name in order for r in rows[rows["s"] == name].sort_values("n")["r"].tolist()]
-        if len(set(ids)) < len(ids):
-            raise ValueError("the sample repeats an id")
-        random.Random(seed).shuffle(ids)
-        return pd.DataFrame({"r": ids, "annotation_pos": range(1, len(ids) + 1)})
+        return pd.DataFrame({"s": name, "e": [e for e, _ in picked], "place": [p for _, p in picked], "n": range(len(picked))})
 
     return run
 

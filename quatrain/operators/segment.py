@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quatrain.functions import text as X
+from quatrain.operators.ordering import number_rows
 
 
 def number_paragraphs(docs: DataFrame, doc: str, text_col: str) -> DataFrame:
@@ -32,9 +33,10 @@ def sessionize(lines: DataFrame, doc: str, starts, markers: Sequence[tuple[str,
 
 
 def number_entries(entries: DataFrame, order: Sequence[str], prefix: str) -> DataFrame:
-    """Ids with a running number over all entries, three digits or more."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return entries.withColumn("id", F.concat(F.lit(f"{prefix}-"), _three_digits(n)))
+    """Ids with a running number over all entries, three digits or more. Entries are numbered in ranges of the order, none
+    of them in one task; entries that tie in the order come in any."""
+    numbered = number_rows(entries, order, "__number")
+    return numbered.withColumn("id", F.concat(F.lit(f"{prefix}-"), _three_digits(F.col("__number")))).drop("__number")
 
 
 def _three_digits(n):
@@ -124,7 +126,8 @@ def korean_entries(lines: DataFrame, doc: str = "doc", source: str = "") -> Data
     fielded = fielded.withColumn("run", F.count("own").over(_upto(doc, "part"))).withColumn("field", F.last("own", ignorenulls=True).over(_upto(doc, "part")))
     # of a field that is marked more than once in an entry the last run counts
     fielded = fielded.withColumn("last_run", F.max("run").over(Window.partitionBy(doc, "part", "field")))
-    stray = F.col("old") & line.rlike("^(?:译文|原文)") & F.col("own").isNull()
+    # a mark without its colon goes on with a translation, but not with the first field
+    stray = F.col("old") & (F.col("field") == "hyangchal") & line.rlike("^(?:译文|原文)") & F.col("own").isNull()
     rest = F.when(F.col("own").isNotNull(), F.expr("substring(line, instr(line, '：') + 1)")).otherwise(line)
     held = (F.col("run") == F.col("last_run")) & ~stray & ~(F.col("own").isNotNull() & (rest == "")) & (F.coalesce(F.col("boundary"), F.lit("")) != "title")
     first = lambda c: F.min_by(c, "pos")

@@ -135,7 +135,7 @@ def test_longest_match_and_labels(spark):
     assert by_id["2"]["density"]["evidence"]["line_count"] == 0
 
 
-def test_scan_and_join_find_the_same(spark):
+def test_matches_by_definition(spark):
     rnd = random.Random(6)
     terms = sorted({"".join(rnd.choice("abc月") for _ in range(rnd.randint(1, 9))) for _ in range(60)} | {"a.c", "\\Q", "𠀀a"})
     lex = spark.createDataFrame([(f"c{i % 5}", i % 5, t) for i, t in enumerate(terms)] + [("more", 9, terms[0])], "category string, cat_pos int, term string")
@@ -151,8 +151,8 @@ def test_scan_and_join_find_the_same(spark):
         hits = {(s, s + len(t), t) for t in terms for s in range(len(flat)) if flat.startswith(t, s)}
         kept = [h for h in hits if not any(o[0] <= h[0] and h[1] <= o[1] and o[1] - o[0] > h[1] - h[0] for o in hits)]
         want += [(i % 70, c, t, s, e) for s, e, t in kept for c in cat[t]]
-    for most in (2_000, 3):
-        got = [tuple(r) for r in lexicon.find_matches(docs, lex, inline_terms=most).drop("cat_pos").collect()]
+    for signs in (1_000_000, 60):
+        got = [tuple(r) for r in lexicon.find_matches(docs, lex, block_signs=signs).drop("cat_pos").collect()]
         assert sorted(got) == sorted(want)
     assert lexicon.find_matches(docs, lex.limit(0)).count() == 0
 
@@ -263,14 +263,24 @@ def test_korean_oddities(spark):
     docs = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)] + [("e", 0, "原文：다른 글")], "doc string, pos int, line string")
     rows = [(r["id"], r["title_zh"], r["title"], r["hyangchal"], r["text_ko"], r["text_zh"]) for r in segment.parse_documents(docs, "ko").orderBy("id", "text_ko").collect()]
     assert rows == [
-        ("ko-hyangga-002", None, None, None, None, "先有译文\n接着"),
-        ("ko-hyangga-003", "处容歌", None, "一", "다시", None),
+        ("ko-hyangga-002", None, None, None, None, "先有译文\n接着\n译文没有冒号"),
+        ("ko-hyangga-003", "处容歌", None, "一", "다시\n原文 不算", None),
         ("ko-misc-001", None, None, None, None, "开头"),
         ("ko-misc-001", None, None, None, "다른 글", None),
         ("ko-sijo-004", None, "孤句", None, "끝", None),
     ]
 
 
+@pytest.mark.parametrize("mark, field", [("“吏读”版本：", "hyangchal"), ("现代韩文版：", "text_ko"), ("中文翻译：", "text_zh")])
+@pytest.mark.parametrize("line", ["译文没有冒号", "原文没有冒号", "没有标记"])
+def test_lines_that_go_on_with_a_field(spark, mark, field, line):
+    """Only the first field of the oldest section loses a line that begins like a mark."""
+    rows = [("d", i, x) for i, x in enumerate(["乡歌：", "处容歌（八句体）", mark + "一", line, "二"])]
+    got = segment.parse_documents(spark.createDataFrame(rows, "doc string, pos int, line string"), "ko").first()
+    lost = field == "hyangchal" and line != "没有标记"
+    assert got[field] == ("一\n二" if lost else f"一\n{line}\n二")
+
+
 def test_russian_entries(spark):
     lines = ["前言", "致大海①", "再见吧", "1824", "戈宝权译", "①注", "Прощай, свободная стихия", "注二", "我记得那美妙的一瞬", "俄语原文：", "Я помню", "中译文：", "我记得"]
     docs = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "doc string, pos int, line string")

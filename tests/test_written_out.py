@@ -1,34 +1,42 @@
-"""Registered queries over inputs that are written out: verses, answers, paragraphs and shards that the shared tables lack.
-
-The SQL of such a query states the rows that are right, worked out by hand from the rules.
-"""
+"""Operators over inputs that are written out (verses, answers, paragraphs, shards), against rows that the rules give."""
 
 from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quatrain.functions import text as X
 from quatrain.operators import annotate, forms, lexicon, prompts, sampling, scoring, segment
-from quatrain.plans import query
 from quatrain.sources import parse_shards
 
+CASES = {}
+
+
+def expect(columns: str, rows: list[tuple]):
+    def add(f):
+        CASES[f.__name__] = f, columns.split(", "), rows
+        return f
+
+    return add
 
-def expected(columns: str, rows: list[tuple]) -> str:
-    """SQL that says the rows; columns as name or name::type."""
 
-    def shown(v) -> str:
-        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+def shown(rows):
+    return sorted(tuple(repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
-    names = [c.split("::")[0] for c in columns.split(", ")]
-    casts = ", ".join(f"CAST({n} AS {c.split('::')[1]}) AS {n}" if "::" in c else n for n, c in zip(names, columns.split(", "), strict=True))
-    return f"SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(shown, r)) + ')' for r in rows)}) AS t({', '.join(names)})"
+
+@pytest.mark.parametrize("name", ["regulated_scores", "quatrain_scores", "tagged_pairs", "rhyme_groups", "tone_numbers", "script_predicates", "shard_records", "first_shards", "answer_validation", "run_counters", "two_form_sample", "sample_metadata", "korean_entries", "russian_entries", "numbered_entries", "longest_terms", "encoded_urls", "record_checks", "style_tables"])
+def test_rows(spark, name):
+    make, columns, rows = CASES[name]
+    df = make(spark)
+    assert sorted(df.columns) == sorted(columns)
+    assert shown(df.select(*columns).collect()) == shown(rows)
 
 
 #: Public-domain poems of the Tang.
-CRANE = "昔人已乘黄鹤去，此地空余黄鹤楼。\n黄鹤一去不复返，白云千载空悠悠。\n晴川历历汉阳树，芳草萋萋鹦鹉洲。\n日暮乡关何处是？烟波江上使人愁。".replace("，", "，\n").replace("？", "？\n")
+CRANE = "昔人已乘黄鹤去\n此地空余黄鹤楼\n黄鹤一去不复返\n白云千载空悠悠\n晴川历历汉阳树\n芳草萋萋鹦鹉洲\n日暮乡关何处是\n烟波江上使人愁"
 HEIGHT = "风急天高猿啸哀\n渚清沙白鸟飞回\n无边落木萧萧下\n不尽长江滚滚来\n万里悲秋常作客\n百年多病独登台\n艰难苦恨繁霜鬓\n潦倒新停浊酒杯"
 DAWN = "朝辭白帝彩雲間\n千里江陵一日還\n兩岸猿聲啼不住\n輕舟已過萬重山"
 #: Final, tone and syllable of the signs that lines of these poems end with.
@@ -47,9 +55,8 @@ def _verses(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 REGULATED = [("crane", CRANE), ("height", HEIGHT), ("six", "\n".join(HEIGHT.split("\n")[:6])), ("twin", HEIGHT.replace("不尽长江滚滚来", "无边落木萧萧下")), ("none", None)]
 
 
-@query(
-    expected(
-        "name, ok, total::DOUBLE, meter_score::DOUBLE, rhyme_score::DOUBLE, level, parallel_score::DOUBLE, details",
+@expect(
+        "name, ok, total, meter_score, rhyme_score, level, parallel_score, details",
         [
             ("crane", True, 1.0, 1.0, 1.0, True, 1.0, "OK"),
             ("height", False, 0.85, 1.0, 0.5, True, 1.0, "OK"),
@@ -58,9 +65,8 @@ REGULATED = [("crane", CRANE), ("height", HEIGHT), ("six", "\n".join(HEIGHT.spli
             ("twin", False, 0.6, 1.0, 0.0, False, 0.5, "OK"),
             ("none", False, 0.0, 0.0, 0.0, False, 0.0, "Empty text"),
         ],
-    )
 )
-def regulated_scores(spark, sf_dir):
+def regulated_scores(spark):
     sounds = scoring.Pronunciation(SOUNDS)
     text = F.col("text")
     scored = _verses(spark, REGULATED).select(
@@ -69,16 +75,14 @@ def regulated_scores(spark, sf_dir):
     return scored.select("name", "s.ok", F.bround("s.total", 6).alias("total"), "s.meter_score", "s.rhyme_score", F.coalesce("r.ping_ok", F.lit(False)).alias("level"), "s.parallel_score", "f.details")
 
 
-@query(
-    expected(
-        "name, mode, meter::DOUBLE, rhyme_ok, total::DOUBLE",
+@expect(
+        "name, mode, meter, rhyme_ok, total",
         [("dawn", "strict", 1.0, False, 0.7), ("dawn", "loose", 1.0, False, 0.7), ("dawn", "xinyun", 1.0, True, 1.0)]
         + [("short", m, 0.964286, False, 0.675) for m in ("strict", "loose", "xinyun")]
         + [("three", m, 0.0, False, 0.0) for m in ("strict", "loose", "xinyun")]
         + [("blank", m, 0.0, False, 0.0) for m in ("strict", "loose", "xinyun")],
-    )
 )
-def quatrain_scores(spark, sf_dir):
+def quatrain_scores(spark):
     """Lines 2 and 4 end in 還 and 山: equal in the fourteen groups only; the short poem's second line ends in 日."""
     sounds, text = scoring.Pronunciation(SOUNDS), F.col("text")
     docs = _verses(spark, [("dawn", DAWN), ("short", SHORT), ("three", "\n".join(DAWN.split("\n")[:3])), ("blank", " \n　")])
@@ -87,13 +91,11 @@ def quatrain_scores(spark, sf_dir):
     return rows.select("name", "x.mode", F.bround("x.s.meter_score", 6).alias("meter"), (F.coalesce("x.s.rhyme_score", F.lit(0.0)) == 1).alias("rhyme_ok"), F.bround("x.s.total", 6).alias("total"))
 
 
-@query(
-    expected(
-        "name, ok, score::DOUBLE, diff_score::DOUBLE, pos_score::DOUBLE",
+@expect(
+        "name, ok, score, diff_score, pos_score",
         [("same parts", True, 1.0, 1.0, 1.0), ("other parts", True, 0.666667, 1.0, 0.333333), ("unequal words", True, 1.0, 1.0, None), ("same line", False, 0.5, 0.0, 1.0), ("lengths", False, 0.0, 0.0, None)],
-    )
 )
-def tagged_pairs(spark, sf_dir):
+def tagged_pairs(spark):
     tags = {"白云": "ns", "黄鹤": "n", "千载": "t", "一去": "v", "悠悠": "z", "不返": "v"}
     rows = [("same parts", "白云白云黄鹤", "黄鹤黄鹤白云"), ("other parts", "白云千载悠悠", "黄鹤一去不返"), ("unequal words", "白云千载", "山水黄鹤"), ("same line", "白云，千载", "白云千载。"), ("lengths", "白云", "黄鹤一")]
     df = spark.createDataFrame(rows, "name string, a string, b string")
@@ -101,24 +103,22 @@ def tagged_pairs(spark, sf_dir):
     return df.select("name", pair.alias("p")).select("name", "p.ok", F.bround("p.score", 6).alias("score"), F.bround("p.diff_score", 6).alias("diff_score"), F.bround("p.pos_score", 6).alias("pos_score"))
 
 
-@query(
-    expected(
+@expect(
         "final, syllable, strict, loose, xinyun",
         [
             ("iang", "liang", "iang", "ang", "10唐"), ("UE", None, "ue", "ue", "ue"), ("i", "shi", "i", "i", "13支"), ("i", "li", "i", "i", "12齐"), ("ü", "qu", "ü", "ü", "12齐"),
             ("uei", "hui", "uei", "uei", "5微"), ("ong", "dong", "ong", "ong", "11庚"), ("u", "wu", "u", "u", "14姑"), (" ao ", "hao", "ao", "ao", "6豪"), (None, None, None, None, None),
         ],
-    )
 )
-def rhyme_groups(spark, sf_dir):
+def rhyme_groups(spark):
     rows = [("iang", "liang"), ("UE", None), ("i", "shi"), ("i", "li"), ("ü", "qu"), ("uei", "hui"), ("ong", "dong"), ("u", "wu"), (" ao ", "hao"), (None, None)]
     df = spark.createDataFrame(rows, "final string, syllable string")
     own = lambda mode: scoring.normal_final(F.col("final"), mode, F.coalesce("syllable", F.lit(""))).alias(mode)
     return df.select("final", "syllable", own("strict"), own("loose"), own("xinyun"))
 
 
-@query(expected("syllable, tone::INTEGER, level", [("lou2", 2, True), ("qu4", 4, False), ("you1", 1, True), ("de", 0, False), ("ma3n", 3, False), ("", 0, False)]))
-def tone_numbers(spark, sf_dir):
+@expect("syllable, tone, level", [("lou2", 2, True), ("qu4", 4, False), ("you1", 1, True), ("de", 0, False), ("ma3n", 3, False), ("", 0, False)])
+def tone_numbers(spark):
     df = spark.createDataFrame([(s,) for s in ("lou2", "qu4", "you1", "de", "ma3n", "")], "syllable string")
     return df.select("syllable", X.tone_number(F.col("syllable")).alias("tone")).withColumn("level", X.is_level_tone(F.col("tone")))
 
@@ -127,8 +127,8 @@ SCRIPTS = [("朝辭白帝彩雲間", True, False, False), ("朝辭白帝彩雲
 SCRIPTS += [("a long line with я", False, False, False), ("이 몸이", False, False, True), ("七個漢字아니다", False, False, True), ("", False, False, False)]
 
 
-@query(expected("line, han, russian, hangul", SCRIPTS))
-def script_predicates(spark, sf_dir):
+@expect("line, han, russian, hangul", SCRIPTS)
+def script_predicates(spark):
     line = F.col("line")
     return spark.createDataFrame([(s[0],) for s in SCRIPTS], "line string").select("line", X.is_exact_han(line).alias("han"), X.is_russian(line).alias("russian"), X.has_hangul(line).alias("hangul"))
 
@@ -148,13 +148,11 @@ def _shards(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(n, json.dumps(v, ensure_ascii=False)) for n, v in files], "source_file string, value string")
 
 
-@query(
-    expected(
-        "id, form, n_lines, title, author, source_file, style_is_blank, adaptation::INTEGER, review_status",
+@expect(
+        "id, form, n_lines, title, author, source_file, style_is_blank, adaptation, review_status",
         [("tang-a1", "qijue7", 4, "早發", "李白", "poet.tang.0.json", True, None, "unreviewed"), ("tang-h", "qilv7", 8, "登高", "杜甫", "poet.tang.20.json", True, None, "unreviewed")],
-    ).replace("n_lines,", "CAST(n_lines AS BIGINT) AS n_lines,", 1)
 )
-def shard_records(spark, sf_dir):
+def shard_records(spark):
     """Shards to annotation records: malformed items left out, forms found, the first of equal texts kept by shard order."""
     items = parse_shards(_shards(spark)).withColumn("lines", X.verse_lines(F.col("paragraphs")))
     found = forms.with_form(items).withColumn("text", F.array_join("lines", "\n"))
@@ -167,8 +165,8 @@ def shard_records(spark, sf_dir):
     )
 
 
-@query(expected("source_file, shard_no::BIGINT, n::BIGINT", [("poet.tang.0.json", 0, 3), ("poet.tang.20.json", 20, 1)]))
-def first_shards(spark, sf_dir):
+@expect("source_file, shard_no, n", [("poet.tang.0.json", 0, 3), ("poet.tang.20.json", 20, 1)])
+def first_shards(spark):
     """The first three shards by number; one of them is no array."""
     return parse_shards(_shards(spark), 3).groupBy("source_file", "shard_no").agg(F.count("*").alias("n"))
 
@@ -194,8 +192,8 @@ ANSWERS = [
 ]
 
 
-@query(expected("name, error, complete, energy, confidence::DOUBLE", [(n, e, c, "gentle" if c else None, 0.7 if c else None) for n, _, e, c in ANSWERS]))
-def answer_validation(spark, sf_dir):
+@expect("name, error, complete, energy, confidence", [(n, e, c, "gentle" if c else None, 0.7 if c else None) for n, _, e, c in ANSWERS])
+def answer_validation(spark):
     """A model's answers against the taxonomy, taken into pending labels where they hold."""
     rows = spark.createDataFrame([(n, a) for n, a, _, _ in ANSWERS], "name string, answer string").withColumn("text", F.lit(POEM))
     pending = rows.withColumn("prelabel", F.struct(*[annotate.pending(d).alias(d) for d in annotate.MODEL_DIMS]))
@@ -203,9 +201,9 @@ def answer_validation(spark, sf_dir):
     return merged.select("name", F.get("errors.message", F.lit(0)).alias("error"), annotate.is_complete(F.col("prelabel")).alias("complete"), F.col("prelabel.energy.value").alias("energy"), F.col("prelabel.energy.confidence").alias("confidence"))
 
 
-@query(expected("attempted::BIGINT, succeeded::BIGINT, failed::BIGINT, left::BIGINT, stopped", [(15, 4, 11, 0, False)]).replace("left", '"left"'))
-def run_counters(spark, sf_dir):
-    rows = answer_validation(spark, sf_dir)
+@expect("attempted, succeeded, failed, left, stopped", [(15, 4, 11, 0, False)])
+def run_counters(spark):
+    rows = answer_validation(spark)
     return annotate.run_counts(rows, F.col("error").isNull(), F.col("error").isNotNull(), 15)
 
 
@@ -218,18 +216,17 @@ DRAWN = ["qilv7-E-3", "qilv7-A-2", "qijue7-D-1", "qijue7-C-1", "qijue7-C-3", "qi
 TARGETS, SEED = {"qijue7": 6, "qilv7": 5}, 20260823
 
 
-@query(expected("annotation_pos::INTEGER, id", [(i, x) for i, x in enumerate(DRAWN, 1)]))
-def two_form_sample(spark, sf_dir):
+@expect("annotation_pos, id", [(i, x) for i, x in enumerate(DRAWN, 1)])
+def two_form_sample(spark):
     """What a sequential program draws, with a stream for each form."""
     drawn = sampling.exact_sample(_sample_rows(spark), "form", "author", "id", TARGETS, SEED, 2, {"qijue7": 101, "qilv7": 211})
     return drawn.select("annotation_pos", "id")
 
 
-@query(
-    expected("form, n::BIGINT, target::INTEGER, seed::BIGINT, most::INTEGER, review_status, annotation_method, sample_version", [(f, n, n, SEED, 2, "pending_annotation", "unlabeled", "v1") for f, n in TARGETS.items()])
+@expect("form, n, target, seed, most, review_status, annotation_method, sample_version", [(f, n, n, SEED, 2, "pending_annotation", "unlabeled", "v1") for f, n in TARGETS.items()],
 )
-def sample_metadata(spark, sf_dir):
-    records = two_form_sample(spark, sf_dir).join(_sample_rows(spark), "id")
+def sample_metadata(spark):
+    records = two_form_sample(spark).join(_sample_rows(spark), "id")
     records = records.withColumn("metadata", F.struct("author", F.lit("style_unlabeled").alias("annotation_method"), F.lit("unreviewed").alias("review_status")))
     m = sampling.tag_sample(records, SEED, TARGETS, 2).select("form", "metadata.*").select("form", "annotation_method", "review_status", "sampling.*")
     group = ("form", F.col("form_target").alias("target"), "seed", F.col("max_per_author_per_form").alias("most"), "review_status", "annotation_method", "sample_version")
@@ -242,20 +239,18 @@ KOREAN = [
 ]
 
 
-@query(
-    expected(
+@expect(
         "id, form, title_zh, title_ko, title, author, hyangchal, text_ko, text_zh",
         [
             ("ko-misc-001", None, None, None, None, None, None, None, "开头"),
-            ("ko-hyangga-002", None, None, None, None, None, None, None, "先有译文\n接着"),
+            ("ko-hyangga-002", None, None, None, None, None, None, None, "先有译文\n接着\n译文没有冒号"),
             ("ko-hyangga-003", "四句体", "薯童谣", "서동요", None, None, "善化\n公主主隐", "선화\n공주", "善化公主 / 一"),
             ("ko-sijo-004", None, None, None, None, "郑梦周", None, "이 몸이\n죽어", "此身\n死了。"),
             ("ko-sijo-variant-005", None, None, None, None, None, None, "창 내고자", "开窗。\n山有花"),
             ("ko-modern-006", None, None, None, "山有花", None, None, "산에는\n꽃 피네", "山有花\n没有标点的题"),
         ],
-    )
 )
-def korean_entries(spark, sf_dir):
+def korean_entries(spark):
     lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(KOREAN)], "doc string, pos int, line string")
     return segment.parse_documents(lines, "ko", source="s").drop("section", "lang", "source")
 
@@ -263,33 +258,29 @@ def korean_entries(spark, sf_dir):
 RUSSIAN = ["前言", "致大海①", "再见吧", "1824", "戈宝权译", "①注", "Прощай, свободная стихия", "注二", "我记得那美妙的一瞬", "俄语原文：", "Я помню", "1825", "中译文：", "我记得"]
 
 
-@query(
-    expected(
+@expect(
         "id, title_zh, year, translator, text_ru, text_zh, notes",
         [("ru-pushkin-001", "致大海①", "1824", "戈宝权", "Прощай, свободная стихия", "再见吧", "①注\n注二"), ("ru-pushkin-002", "我记得那美妙的一瞬", None, None, "Я помню", "我记得", "1825")],
-    )
 )
-def russian_entries(spark, sf_dir):
+def russian_entries(spark):
     lines = spark.createDataFrame([("d", i, x) for i, x in enumerate(RUSSIAN)], "doc string, pos int, line string")
     return segment.parse_documents(lines, "ru", source="s").drop("author", "lang", "source")
 
 
-@query(expected("id, entry", [("ko-misc-001", "b"), ("ko-misc-002", "a"), ("ko-misc-003", "c")]))
-def numbered_entries(spark, sf_dir):
+@expect("id, entry", [("ko-misc-001", "b"), ("ko-misc-002", "a"), ("ko-misc-003", "c")])
+def numbered_entries(spark):
     return segment.number_entries(spark.createDataFrame([("a", 2), ("b", 1), ("c", 3)], "entry string, pos int"), ["pos"], "ko-misc").select("id", "entry")
 
 
 IMAGERY = [("celestial", 0, "銀河"), ("celestial", 0, "月"), ("landscape", 1, "河"), ("landscape", 1, "山"), ("travel", 2, "關"), ("frontier", 3, "關"), ("flora", 4, "花"), ("fauna", 5, "鳥")]
 
 
-@query(
-    expected(
-        "id::INTEGER, category, terms",
+@expect(
+        "id, category, terms",
         [(1, "celestial", "銀河"), (2, "celestial", "月,銀河"), (2, "travel", "關"), (2, "frontier", "關"), (2, "landscape", "山")]
         + [(i, c, "") for i, cs in ((1, ("landscape", "travel", "frontier", "flora", "fauna")), (2, ("flora", "fauna")), (3, ("celestial", "landscape", "travel", "frontier", "flora", "fauna"))) for c in cs],
-    )
 )
-def longest_terms(spark, sf_dir):
+def longest_terms(spark):
     """Terms by first occurrence, over line ends; 河 stands inside 銀河; categories without hits have no terms."""
     docs = spark.createDataFrame([(1, "銀\n河落九天"), (2, "關山月銀河月"), (3, None)], "id int, text string")
     words = spark.createDataFrame(IMAGERY, "category string, cat_pos int, term string")
@@ -297,19 +288,17 @@ def longest_terms(spark, sf_dir):
     return lexicon.all_categories(docs, terms, words).select("id", "category", F.array_join("terms", ",").alias("terms"))
 
 
-@query(
-    expected(
+@expect(
         "url, ascii",
         [("http://h/a b/é.json", "http://h/a%20b/%C3%A9.json"), ("http://h/全唐诗?ref=主", "http://h/%E5%85%A8%E5%94%90%E8%AF%97?ref=%E4%B8%BB"), ("http://h/%E5%85%A8", "http://h/%E5%85%A8")],
-    )
 )
-def encoded_urls(spark, sf_dir):
+def encoded_urls(spark):
     df = spark.createDataFrame([("http://h/a b/é.json",), ("http://h/全唐诗?ref=主",), ("http://h/%E5%85%A8",)], "url string")
     return df.select("url", X.ascii_url(F.col("url")).alias("ascii"))
 
 
-@query(expected("id, reason", [("b", "missing style"), ("c", "unknown form cifu"), ("d", "missing text,form")]))
-def record_checks(spark, sf_dir):
+@expect("id, reason", [("b", "missing style"), ("c", "unknown form cifu"), ("d", "missing text,form")])
+def record_checks(spark):
     rows = [("a", "t", "qijue7", "s"), ("b", "t", "qijue7", None), ("c", "t", "cifu", "s"), ("d", None, None, "s")]
     df = spark.createDataFrame(rows, "id string, text string, form string, style string")
     return forms.record_violations(df, ["qijue7", "qilv7"], "id", ("id", "text", "form", "style"))
@@ -318,14 +307,10 @@ def record_checks(spark, sf_dir):
 STYLE_ROWS = [(c, lang) for c in [*prompts.STYLES, "none"] for lang in ("ZH", "KO", "RU")]
 
 
-@query(
-    "SELECT code, lang, "
-    + "CASE code "
-    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in prompts.STYLES.items())
-    + f" ELSE '{prompts.DEFAULT_STYLE}' END AS style, CASE lang WHEN 'KO' THEN 'sijo,gasa,modern' WHEN 'RU' THEN 'sonnet,ode,lyric,modern' ELSE 'jueju,lvshi,ci,qu,modern' END AS offered FROM (VALUES "
-    + ", ".join(f"('{c}', '{lang}')" for c, lang in STYLE_ROWS)
-    + ") AS t(code, lang)"
-)
-def style_tables(spark, sf_dir):
+OFFERED = {"KO": "sijo,gasa,modern", "RU": "sonnet,ode,lyric,modern", "ZH": "jueju,lvshi,ci,qu,modern"}
+
+
+@expect("code, lang, style, offered", [(c, lang, prompts.STYLES.get(c, prompts.DEFAULT_STYLE), OFFERED[lang]) for c, lang in STYLE_ROWS])
+def style_tables(spark):
     df = spark.createDataFrame(STYLE_ROWS, "code string, lang string")
     return df.select("code", "lang", prompts.style_name(F.col("code")).alias("style"), F.array_join(prompts.offered_styles(F.col("lang")), ",").alias("offered"))

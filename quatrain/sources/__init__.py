@@ -11,21 +11,39 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quatrain.functions import text as X
+from quatrain.sources.docx import WORD_XML, WordParagraphs, read_docx
+from quatrain.sources.shards import NUMBER, JsonShards, store_of
+from quatrain.sources.shards import SCHEMA as SHARD_SCHEMA
 
 
 def read_json_shards(spark: SparkSession, path: str, glob: str = "poet.tang.*.json", max_files: int | None = None) -> DataFrame:
-    """(source_file, shard_no, item_pos, source_id, title, author, paragraphs) of JSON-array files. Files that hold no
-    array, items that are no objects and items without a non-empty list of paragraphs are left out one by one; a typed
-    parse would lose the whole file for one of them. If no file matches, FileNotFoundError is raised."""
-    files = spark.read.option("pathGlobFilter", glob).option("wholetext", True).text(path)
-    if files.limit(1).isEmpty():
-        raise FileNotFoundError(f"{path}: no file matches {glob}")
-    return parse_shards(files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value"), max_files)
+    """(source_file, shard_no, item_pos, source_id, title, author, paragraphs) of JSON-array files in a folder, of the first
+    max_files by number. One partition a shard, parsed as it is read, so a shard of any size takes the memory of its largest
+    item. Files that hold no array, items that are no objects and items without a non-empty list of paragraphs are left
+    out one by one; what is no JSON raises ValueError with the file's name. If no file matches, FileNotFoundError is raised.
+
+    In a store that only Spark can read, the files are listed by Spark, and those wanted are read whole."""
+    try:
+        store_of(path)
+    except (OSError, pa.ArrowException):
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+        numbered = listed.withColumn("n", X.shard_number(F.col("path"), NUMBER.pattern.replace("\\Z", "\\z"))).orderBy("n", "path")
+        wanted = [r["path"] for r in (numbered if max_files is None else numbered.limit(max_files)).collect()]
+        if not wanted and listed.isEmpty():
+            raise FileNotFoundError(f"{path}: no file matches {glob}") from None
+        if not wanted:
+            return spark.createDataFrame([], SHARD_SCHEMA)
+        files = spark.read.option("wholetext", True).text(wanted)
+        return parse_shards(files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), "value"))
+    spark.dataSource.register(JsonShards)
+    reader = spark.read.format("json_shards").option("path", path).option("glob", glob)
+    return (reader if max_files is None else reader.option("max_files", str(max_files))).load()
 
 
 def parse_shards(files: DataFrame, max_files: int | None = None) -> DataFrame:
@@ -133,30 +151,6 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, pos, line): stripped, non-blank paragraphs of Word files, read from the XML in the archive."""
-    import pandas as pd
-
-    def paragraphs(batches):
-        import io
-        import zipfile
-        from xml.etree import ElementTree
-
-        for pdf in batches:
-            rows = []
-            for name, content in zip(pdf["path"], pdf["content"]):
-                body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-                texts = ("".join(t.text or "" if t.tag == WORD_XML + "t" else "\t" if t.tag == WORD_XML + "tab" else "\n" for t in p.iter() if t.tag in (WORD_XML + "t", WORD_XML + "tab", WORD_XML + "br")) for p in body.iter(WORD_XML + "p"))
-                kept = [t.strip() for t in texts if t.strip()]
-                rows += [(name, i, t) for i, t in enumerate(kept)]
-            yield pd.DataFrame(rows, columns=["doc", "pos", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(paragraphs, "doc string, pos int, line string")
-
-
 def http_get(url: str, tries: int = 3, timeout: int = 30, opener: Callable = urllib.request.urlopen, wait: Callable = time.sleep) -> bytes:
     """GET with linear back-off; RuntimeError after the last try."""
     for n in range(1, tries + 1):

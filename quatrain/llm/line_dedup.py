@@ -5,10 +5,11 @@ HyperLogLog sketches per line hash, which tasks build over their own rows and me
 threshold to trust are settled by exact distinct counts of those lines alone. A boilerplate line is removed from every
 document but those with the smallest id that holds it, so what copies share survives once.
 
-Copies of a document share all their lines, and cutting them would leave shreds that document deduplication no longer
-knows as copies. A document is proven to be a copy of another if the spread lines that this one keeps make up more than a
-COPY_SHARE-th of both texts; proven copies are left whole. Every other document loses its spread lines, whatever share of
-its text they are.
+Copies of a document share their lines, and cutting them would leave shreds that document deduplication no longer knows as
+copies. A document is proven to be a copy of another, and left whole, by likeness: the sets of their five-word shingles
+(words between ASCII blanks, A-Z lower-cased; a shorter text is one shingle) have a Jaccard similarity of OVER / UNDER or
+more. Only documents whose spread lines from one keeper make up more than a COPY_SHARE-th of both texts are compared with it.
+Every other document loses its spread lines, whatever share of its text they are.
 
 Lines are the parts between line breaks; only lines with a word count, and they are compared whole (by 128 bits of their
 SHA-256). Line breaks between the lines that stay are kept.
@@ -31,6 +32,7 @@ from quatrain.llm.common import materialize
 
 MIN_SITES = 8
 COPY_SHARE = 3
+SHINGLE, OVER, UNDER = 5, 4, 5
 #: Binary logarithm of the number of sketch registers, and the relative standard error it gives.
 REGISTERS = 12
 ERROR = 1.04 / 2 ** (REGISTERS / 2)
@@ -70,13 +72,25 @@ def _spread(lines: DataFrame, min_sites: int) -> DataFrame:
     return sure.unionByName(exact.where(F.col("sites") >= min_sites)).join(often, "line").select("line", "sites", "keeper")
 
 
+def _shingles(text: Column) -> Column:
+    words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return _let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))))
+
+
 def _proven_copies(per: DataFrame, df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """__id and __version of copies. per: document, keeper and the lines x that the document shares with it."""
+    """__id and __version of copies. per: document, keeper and the lines x that the document shares with it. Only texts of
+    pairs that share enough lines move, and pairs are compared one by one."""
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + s["chars"])
     once = F.array_distinct(F.transform("x", lambda s: F.struct(s["line"], s["chars"])))
     near = per.where(COPY_SHARE * total(F.col("x")) > F.col("size")).select("id", "version", "keeper", total(once).alias("shared"))
-    sizes = df.select(F.col(id_col).alias("keeper"), F.length(F.col(text_col).cast("string")).alias("of")).groupBy("keeper").agg(F.max("of").alias("of"))
-    return near.join(sizes, "keeper").where(COPY_SHARE * F.col("shared") > F.col("of")).select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()
+    texts = df.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_version"), F.col(text_col).cast("string").alias("t"))
+    kept = texts.join(near.select("keeper").distinct(), F.col("t_id") == F.col("keeper"), "left_semi").select(F.col("t_id").alias("keeper"), F.col("t").alias("of")).distinct()
+    asked = near.join(kept, "keeper").where(COPY_SHARE * F.col("shared") > F.length("of"))
+    own = texts.join(asked.select("id", "version").distinct(), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_version") == F.col("version")), "left_semi").distinct()
+    pairs = asked.join(own, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_version") == F.col("version")))
+    both = pairs.select("id", "version", _shingles(F.col("t")).alias("a"), _shingles(F.col("of")).alias("b")).withColumn("n", F.size(F.array_intersect("a", "b")))
+    alike = F.col("n") * UNDER >= OVER * (F.size("a") + F.size("b") - F.col("n"))
+    return both.where(alike).select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()
 
 
 def remove_spread_lines(
@@ -111,6 +125,11 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _shingles_sql(text: str) -> str:
+    words = f"list_filter(string_split_regex(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    return f"list_transform([{words}], lambda w: list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))))[1]"
+
+
 SPREAD_SQL = f"""
 WITH l AS (
   SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) AS place, unnest(string_split(text, chr(10))) AS body FROM documents
@@ -122,9 +141,12 @@ WITH l AS (
   SELECT w.doc_id, b.keeper, w.body, list(w.place) AS places FROM w JOIN b USING (body) WHERE w.doc_id <> b.keeper GROUP BY ALL
 ), s AS (
   SELECT doc_id, keeper, sum(length(body) * length(places)) AS own, sum(length(body)) AS shared FROM c GROUP BY ALL
-), k AS (
-  SELECT DISTINCT s.doc_id FROM s JOIN documents d ON d.doc_id = s.doc_id JOIN documents o ON o.doc_id = s.keeper
+), x AS (
+  SELECT s.doc_id, {_shingles_sql('d.text')} AS a, {_shingles_sql('o.text')} AS b
+  FROM s JOIN documents d ON d.doc_id = s.doc_id JOIN documents o ON o.doc_id = s.keeper
   WHERE {COPY_SHARE} * own > length(d.text) AND {COPY_SHARE} * shared > length(o.text)
+), k AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id, len(a) + len(b) AS sizes, len(list_intersect(a, b)) AS n FROM x) WHERE {UNDER} * n >= {OVER} * (sizes - n)
 ), p AS (
   SELECT doc_id, flatten(list(places)) AS cut FROM c WHERE doc_id NOT IN (SELECT doc_id FROM k) GROUP BY doc_id
 ), t AS (

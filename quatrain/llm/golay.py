@@ -148,20 +148,10 @@ def _spanning(values: np.ndarray, words: np.ndarray, errors: int) -> tuple[list[
     return left, right
 
 
-def _heads(columns: list[np.ndarray], errors: int) -> list[np.ndarray]:
-    """One row of each group of fingerprints near to it."""
-    words = np.stack([c.view(np.uint64) for c in columns[2:]], axis=1)
-    rest, kept = np.arange(len(words)), []
-    while len(rest):
-        kept.append(rest[0])
-        rest = rest[_apart(words[rest], words[rest[0]]) > errors]
-    return [c[kept] for c in columns]
-
-
-def link_buckets(batches: Iterator[pa.RecordBatch], hot_bucket: int, errors: int = ERRORS, in_chunks: bool = False) -> Iterator[pa.RecordBatch]:
-    """From (key, fp, words) in key order: rows (a, b) of links. Fingerprints of hot buckets come as (fp, fp), or are
-    linked in chunks, each together with one fingerprint of every group before it."""
-    hot_key, limit = None, hot_bucket
+def link_buckets(batches: Iterator[pa.RecordBatch], hot_bucket: int, errors: int = ERRORS) -> Iterator[pa.RecordBatch]:
+    """From (key, fp, words) in key order: rows (a, b) of links. Fingerprints of hot buckets come as (fp, fp): they are not
+    compared here, and need another way."""
+    hot_key = None
 
     def found(columns: list[np.ndarray]) -> pa.RecordBatch | None:
         keys, values = columns[:2]
@@ -211,14 +201,8 @@ def link_buckets(batches: Iterator[pa.RecordBatch], hot_bucket: int, errors: int
         made = found([c[:cut] for c in held])
         if made is not None:
             yield made
-        held, limit = [c[cut:] for c in held], hot_bucket if cut else limit
-        if len(held[0]) > limit and in_chunks:
-            made = found(held)
-            if made is not None:
-                yield made
-            held = _heads(held, errors)
-            limit = max(hot_bucket, 2 * len(held[0]))
-        elif len(held[0]) > limit:
+        held = [c[cut:] for c in held]
+        if len(held[0]) > hot_bucket:
             yield hot(held[1])
             hot_key, held = last, None
     made = found(held) if held is not None else None

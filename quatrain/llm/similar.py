@@ -14,11 +14,17 @@ candidate groups, which span buckets without all pairs of them.
 
 Verifying: shingle sets of a candidate group meet in blocks of about BLOCK, and similarities within a block come from
 one matrix product of counts. A group of several blocks has its blocks verified first; then the sets that do not belong
-to the group's largest component so far visit the other blocks. So a large group of copies moves its sets once, and no
-link between different texts is lost.
+to the group's largest component so far visit the other blocks, if that moves each of the group's sets VISITS times at most
+on average. So a large group of copies moves its sets once, and no link within a group is lost.
 
-Scale: only distinct sets are keyed. A bucket of more than HOT_BUCKET fingerprints is not gathered as one: its
-fingerprints are linked in chunks, each against one fingerprint of every group found before it.
+Where fingerprints are no help, an exact way follows: for fingerprints of buckets of more than HOT_BUCKET, which are not
+gathered, and for groups with more visits than that. Two sets at the similarity share one of their first shingles in any
+order of all shingles, if each gives as many as the similarity may leave out, and one more. Shingles are ordered from rare
+to frequent, so these are few to a set. Sets that share such a shingle are a group of their own and are verified as above;
+shingles whose sets are all linked already fall away before a set moves.
+
+Scale: only distinct sets are keyed. What moves besides are numbers, except the sets of groups, once, and those of the
+exact way, once a shingle that two components share.
 
 Defined results: a null or empty text has the empty set, and such texts are equal; repeated rows get equal rows; very long
 texts are treated like any other; a null id is never the smallest unless all of a component are null; an empty table
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +50,7 @@ SHINGLE, SEED = 5, 42
 OVER, UNDER = 4, 5
 ERRORS = 20
 BLOCK = 256
+VISITS = 8
 HOT_BUCKET = 20_000
 LINK = "a long, b long"
 COLUMNS = 4096
@@ -185,36 +192,105 @@ def _links_of_visitors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield _pairs(a, b)
 
 
-def _verified(source: DataFrame, distinct: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """src and dst as connected_components gives them, of verified links. groups: the same of candidates."""
-    nodes, _ = materialize(groups.select(F.col("src").alias("fp"), F.col("dst").alias("comp")).union(groups.select("dst", "dst").distinct()), "nodes")
+def _linked(rows: DataFrame, find, name: str) -> DataFrame:
+    rows = rows.repartition("comp", "block").sortWithinPartitions("comp", "block", "visits")
+    return materialize(rows.mapInArrow(find, LINK), name)[0]
+
+
+def _in_blocks(nodes: DataFrame, block: int) -> DataFrame:
+    """(comp, fp, block, blocks) of nodes (comp, fp)."""
     sizes = nodes.groupBy("comp").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    placed = nodes.join(sizes, "comp").join(distinct.select(F.col("__fp").alias("fp"), "__hash"), "fp")
-    placed = placed.select("__hash", "fp", "comp", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block"), "blocks")
+    return nodes.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
 
-    def make():
-        return lambda texts: [pa.array([shingle_set(words_of(t)).tobytes() for t in texts], pa.binary())]
 
-    texts = source.withColumn("__hash", F.xxhash64("__body")).join(placed, "__hash").dropDuplicates(["fp"])
-    sets, _ = materialize(map_texts(texts, ["fp", "comp", "block", "blocks"], F.col("__body"), make, [T.StructField("members", T.BinaryType(), False)]), "sets")
+def _within(sets: DataFrame) -> DataFrame:
+    """Links within blocks of sets (comp, block, fp, members)."""
+    return _linked(sets.select("comp", "block", F.lit(False).alias("visits"), "fp", F.lit(0).cast("long").alias("root"), "members"), _links_within, "links")
 
-    def linked(rows: DataFrame, find) -> DataFrame:
-        rows = rows.repartition("comp", "block").sortWithinPartitions("comp", "block", "visits")
-        return rows.mapInArrow(find, LINK)
 
-    none = F.lit(0).cast("long").alias("root")
-    links, _ = materialize(linked(sets.select("comp", "block", F.lit(False).alias("visits"), "fp", none, "members"), _links_within), "links")
-    stars, _ = connected_components(links)
+def _rooted(sets: DataFrame, stars: DataFrame) -> DataFrame:
+    return sets.join(stars.withColumnRenamed("src", "fp"), "fp", "left").withColumn("root", F.coalesce("dst", "fp")).drop("dst")
+
+
+def _visits(sets: DataFrame, stars: DataFrame, most: float | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links of the sets outside their group's largest component to its other blocks, and the groups (comp) that would move
+    their sets more than most times (None: no such groups), which have not been visited."""
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return stars
-    rooted = large.join(stars.withColumnRenamed("src", "fp"), "fp", "left").withColumn("root", F.coalesce("dst", "fp"))
-    main = rooted.groupBy("comp", "root").agg(F.count("*").alias("n")).groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    rooted, _ = materialize(rooted.join(main, "comp"), "rooted")
+        return None, None
+    rooted, _ = materialize(_rooted(large, stars), "rooted")
+    parts = rooted.groupBy("comp", "root").agg(F.count("*").alias("n"), F.first("blocks").alias("b"))
+    groups = parts.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), ((F.sum("n") - F.max("n")) * F.first("b") / F.sum("n")).alias("moves"))
+    groups, _ = materialize(groups, "groups")
+    over = None if most is None else groups.where(F.col("moves") > most).select("comp")
+    rooted = rooted.join(groups if most is None else groups.where(F.col("moves") <= most), "comp")
     own = rooted.select("comp", "block", F.lit(False).alias("visits"), "fp", "root", "members")
     out = rooted.where("root != main").select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"), "fp", "root", "members")
-    more, _ = materialize(linked(own.union(out), _links_of_visitors), "more")
-    return connected_components(links.union(more))[0]
+    return _linked(own.union(out), _links_of_visitors, "more"), over
+
+
+def _first_shingles(sets: DataFrame) -> DataFrame:
+    """(fp, shingle): the first of each set, from rare to frequent, of which sets at the similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members = np.frombuffer(batch.column(1)[i].as_py(), np.int64)
+                n = len(members)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(members), pa.array(np.full(n, n, np.int32))], names=["fp", "shingle", "size"])
+
+    each = sets.select("fp", "members").mapInArrow(run, "fp long, shingle long, size int")
+    ranked = each.join(each.groupBy("shingle").agg(F.count("*").alias("often")), "shingle")
+    # a set's own shingles, as many as its text has
+    order = Window.partitionBy("fp").orderBy("often", "shingle")
+    needed = F.col("size") - F.floor((F.col("size") * OVER + UNDER - 1) / UNDER) + 1
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= needed).where("often > 1").select("fp", "shingle")
+
+
+def _exact(sets: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """links and those that span what sets (fp, members) have besides, whatever their fingerprints."""
+    stars, _ = connected_components(links)
+    keys, _ = materialize(_rooted(_first_shingles(sets), stars), "keys")
+    # shingles whose sets belong together already say nothing new
+    mixed = keys.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select(F.col("shingle").alias("comp"))
+    nodes = keys.select(F.col("shingle").alias("comp"), "fp").join(mixed, "comp", "left_semi")
+    placed, _ = materialize(_in_blocks(nodes, block).join(sets, "fp"), "placed")
+    links = links.union(_within(placed))
+    more, _ = _visits(placed, connected_components(links)[0], None)
+    return links if more is None else links.union(more)
+
+
+def _verified(source: DataFrame, distinct: DataFrame, groups: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+    """src and dst as connected_components gives them, of verified links. groups: the same of candidates; hot: (fp) of
+    buckets that were not compared."""
+    nodes, _ = materialize(groups.select(F.col("src").alias("fp"), F.col("dst").alias("comp")).union(groups.select("dst", "dst").distinct()), "nodes")
+    any_hot = not hot.isEmpty()
+    if any_hot:
+        hot, _ = materialize(hot.distinct(), "hot")
+        nodes = nodes.union(hot.join(nodes, "fp", "left_anti").select("fp", F.col("fp").alias("comp")))
+    placed = _in_blocks(nodes, block).join(distinct.select(F.col("__fp").alias("fp"), "__hash"), "fp")
+    placed = placed.select("__hash", "fp", "comp", "block", "blocks")
+
+    def make():
+        return lambda texts: [pa.array([shingle_set(words_of(t)).tobytes() for t in texts], pa.binary())]
+
+    texts = source.withColumn("__hash", F.xxhash64("__body")).join(placed, "__hash").dropDuplicates(["fp"])
+    sets, _ = materialize(map_texts(texts, ["fp", "comp", "block", "blocks"], F.col("__body"), make, [T.StructField("members", T.BinaryType(), False)]), "sets")
+    links = _within(sets)
+    stars, _ = connected_components(links)
+    more, over = _visits(sets, stars, VISITS)
+    if more is not None:
+        links = links.union(more)
+    left = sets.join(hot, "fp", "left_semi") if any_hot else None
+    if over is not None and not over.isEmpty():
+        busy = sets.join(over, "comp", "left_semi")
+        left = busy if left is None else left.unionByName(busy).dropDuplicates(["fp"])
+    if left is not None:
+        left, _ = materialize(left.select("fp", "members"), "left")
+        links = _exact(left, links, block)
+    elif more is None:
+        return stars
+    return connected_components(links)[0]
 
 
 def similar_texts(
@@ -237,9 +313,9 @@ def similar_texts(
     each = marked.groupBy("__fp").agg(F.min("__id").alias("__least"), F.min("__hash").alias("__hash"), F.min("__w0").alias("w0"), F.min("__w1").alias("w1"))
     distinct, _ = materialize(each, "distinct")
     keys = distinct.select("__fp", "w0", "w1").mapInArrow(keyed_rows, "key int, fp long, w0 long, w1 long").repartition("key").sortWithinPartitions("key")
-    links, _ = materialize(keys.mapInArrow(lambda b: link_buckets(b, hot_bucket, ERRORS, in_chunks=True), LINK).distinct(), "candidates")
-    groups, _ = connected_components(links)
-    stars = _verified(source, distinct, groups, block)
+    links, _ = materialize(keys.mapInArrow(lambda b: link_buckets(b, hot_bucket, ERRORS), LINK).distinct(), "candidates")
+    groups, _ = connected_components(links.where("a != b"))
+    stars = _verified(source, distinct, groups, links.where("a = b").select(F.col("a").alias("fp")), block)
     rooted = distinct.join(stars.withColumnRenamed("src", "__fp"), "__fp", "left").withColumn("__root", F.coalesce("dst", "__fp"))
     roots = rooted.groupBy("__root").agg(F.min("__least").alias("__component"))
     named = rooted.select("__fp", "__root").join(roots, "__root")

@@ -16,7 +16,8 @@ pair has a merge over its border, because nothing outside the two pieces acts be
 path of finite weight is the library's result. Whether a border holds is found by undoing the two pieces' last merges in
 turn, latest first, and asking whether the two signs groups that face each other would have merged before that.
 
-Inputs fall into chunks (pieces.chunks), and chunks are composed once while a bounded cache holds them.
+Inputs fall into chunks (pieces.chunks), and chunks are composed once while a cache holds them that is bounded in bytes.
+Texts without blanks, whose chunks are whole lines, take no cache.
 
 Defined results: a null or empty text encodes to no ids and decodes to the empty text; very long texts are encoded whole; the decoded text is the text with
 blank marks read as blanks; repeated rows are encoded each; an empty table gives an empty table; columns that are not
@@ -37,8 +38,9 @@ from pyspark.sql import types as T
 from quatrain.llm.common import map_texts, text_or_empty
 from quatrain.llm.pieces import BYTE, NORMAL, SPACE, PieceModel, chunks, read_model
 
-CACHE_CHUNKS = 250_000
-CACHE_BORDERS = 400_000
+#: Bytes that chunks and their ids may take in each half of a cache; longer chunks than LONG_CHUNK signs are not kept.
+CACHE_BYTES, LONG_CHUNK = 64_000_000, 64
+CACHE_BORDERS, CACHE_LENGTHS = 400_000, 300_000
 
 
 class ArcLengths(dict):
@@ -52,6 +54,8 @@ class ArcLengths(dict):
                 self.long.setdefault(p[:3], set()).add(len(p))
 
     def __missing__(self, begin: str) -> tuple[int, ...]:
+        if len(self) >= CACHE_LENGTHS:
+            self.clear()
         short = {n for n in (1, 2) if len(begin) >= n and begin[:n] in self.pieces}
         self[begin] = found = tuple(sorted(self.long.get(begin, set()) | short, reverse=True))
         return found
@@ -59,19 +63,23 @@ class ArcLengths(dict):
 
 class Composed(dict):
     """What chunks write, as bytes of their ids; composed when they are first asked for. Of the most recent ones twice
-    the bound is held: when one half is full the other is forgotten."""
+    the bound is held, in bytes: when one half is full the other is forgotten. Long chunks, such as whole lines of a
+    script without blanks, seldom come again and are composed each time."""
 
     def __init__(self, compose, most: int):
         super().__init__()
-        self.compose, self.most, self.older = compose, most, {}
+        self.compose, self.most, self.held, self.older = compose, most, 0, {}
 
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
             found = array("i", self.compose(chunk)).tobytes()
-        if len(self) >= self.most:
-            self.older = dict(self)
+        if len(chunk) > LONG_CHUNK:
+            return found
+        if self.held >= self.most:
+            self.older, self.held = dict(self), 0
             self.clear()
+        self.held += 200 + 4 * len(chunk) + len(found)
         self[chunk] = found
         return found
 
@@ -82,7 +90,7 @@ INFINITE = float("inf")
 
 
 class PieceTransducer:
-    def __init__(self, model: PieceModel, cache: int = CACHE_CHUNKS):
+    def __init__(self, model: PieceModel, cache: int = CACHE_BYTES):
         self.model = model
         self.ids = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == NORMAL}
         self.bytes = model.byte_ids

@@ -24,7 +24,7 @@ def strings(n: int) -> list[str]:
 
 def test_counts_are_the_librarys():
     texts, lib = strings(4000), library()
-    counts = token_count.ChunkCounts(model_path(), cache=500)
+    counts = token_count.ChunkCounts(model_path(), token_count.prove_single_tokens(model_path()), cache=80_000)
     assert counts.count(texts) == [len(ids) for ids in lib.encode(texts)]
     assert counts.count(texts[::-1]) == [len(ids) for ids in lib.encode(texts[::-1])]
 
@@ -43,7 +43,7 @@ def test_chunks_cover_texts():
 
 def test_encoding_is_the_librarys_and_decodes():
     texts, lib = strings(4000), library()
-    machine = spm_fst.PieceTransducer(read_model(model_path()), cache=2000)
+    machine = spm_fst.PieceTransducer(read_model(model_path()), cache=300_000)
     for t, ids in zip(texts, lib.encode(texts)):
         assert machine.encode(t).tolist() == ids
         assert machine.decode(ids) == t.replace("▁", " ") == lib.decode(ids)
@@ -90,3 +90,23 @@ def test_very_long_texts(spark):
     assert encoded == {i: (lib.encode(t), t) for i, t in enumerate(texts)}
     counts = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(df, model_path()).collect()}
     assert counts == {i: len(lib.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_texts_without_blanks_take_no_cache():
+    """Each line of such a text is one chunk of thousands of signs."""
+    counts = token_count.ChunkCounts(model_path(), token_count.prove_single_tokens(model_path()), cache=500_000)
+    machine = spm_fst.PieceTransducer(read_model(model_path()), cache=500_000)
+    size = lambda d: sum(150 + 4 * len(k) for k in d)
+    proven = size(counts.proven)
+    signs = "日本語中文字漢한글がな的一是"
+    rnd = random.Random(7)
+    for _ in range(30):
+        texts = ["\n".join("".join(rnd.choice(signs) for _ in range(rnd.choice([1500, 12]))) for _ in range(5))]
+        assert counts.count(texts) == [len(machine.encode(t)) for t in texts]
+    for _ in range(40):
+        texts = [" ".join("".join(rnd.choice(signs) for _ in range(rnd.randint(1, 60))) for _ in range(300))]
+        assert counts.count(texts) == [len(machine.encode(t)) for t in texts]
+    assert size(counts) - proven < 700_000
+    assert max(map(len, machine.known)) <= spm_fst.LONG_CHUNK and all(len(c) <= token_count.LONG_CHUNK for c in counts if c not in counts.proven)
+    for half in (machine.known, machine.known.older):
+        assert sum(200 + 4 * len(c) + len(ids) for c, ids in half.items()) < 510_000

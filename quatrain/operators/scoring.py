@@ -1,6 +1,7 @@
 """Verse scores: form, rhyme, parallel lines and their weighted sum. Narrow projections, no shuffle.
 
-Pronunciations come as a table (char, final, tone, syllable); small ones become a map literal, larger ones a join.
+How signs are read comes from one of three: Pronunciation, a small table that becomes a map literal; JoinedSounds, a column
+that pronounce.with_sounds has joined from a table of any size; LastSign, for scripts that are spelled as they sound.
 """
 
 from __future__ import annotations
@@ -86,7 +87,27 @@ def normal_final(final: Column, mode: str, syllable: Column | None = None) -> Co
     return low
 
 
-class Pronunciation:
+class _BySign:
+    """Reads a line's last sign by itself."""
+
+    def at(self, lines: Column, place: int) -> tuple[Column, Column, Column]:
+        """final, tone and syllable of the last sign of the line at a 1-based place."""
+        c = X.last_char(F.get(lines, F.lit(place - 1)))
+        return self.final(c), self.tone(c), self.syllable(c)
+
+
+class JoinedSounds:
+    """What pronounce.with_sounds has joined."""
+
+    def __init__(self, column: str = "sounds"):
+        self.column = column
+
+    def at(self, lines: Column, place: int) -> tuple[Column, Column, Column]:
+        found = F.try_element_at(F.col(self.column), F.lit(place))
+        return found["final"], found["tone"].cast("int"), found["syllable"]
+
+
+class Pronunciation(_BySign):
     """A small table of characters: final, tone and syllable of each. Others are unknown."""
 
     def __init__(self, table: Mapping[str, tuple[str, int, str]]):
@@ -102,7 +123,7 @@ class Pronunciation:
         return _lookup({k: v[2] for k, v in self.table.items()}, c, "string")
 
 
-class LastSign:
+class LastSign(_BySign):
     """Rhyme by spelling: a line's last sign is its own final. For scripts without a table."""
 
     def final(self, c: Column) -> Column:
@@ -123,7 +144,7 @@ def check_two_rhymes(text: Column, sounds, mode: str = "strict") -> Column:
 def _two_rhymes(lines: Column, sounds, mode: str) -> Column:
     def judged(lines: Column) -> Column:
         last2, last4 = X.last_char(F.get(lines, F.lit(1))), X.last_char(F.get(lines, F.lit(3)))
-        f2, f4 = sounds.final(last2), sounds.final(last4)
+        f2, f4 = sounds.at(lines, 2)[0], sounds.at(lines, 4)[0]
         n2, n4 = normal_final(f2, mode), normal_final(f4, mode)
         few = F.size(lines) < 4
         no_char, no_final = last2.isNull() | last4.isNull(), f2.isNull() | f4.isNull()
@@ -159,9 +180,8 @@ def _rhymes(lines: Column, sounds, positions: Sequence[int], mode: str, require_
 
     def judged(lines: Column) -> Column:
         chars = [X.last_char(F.get(lines, F.lit(p - 1))) for p in positions]
-        finals = [sounds.final(c) for c in chars]
-        norms = [normal_final(f, mode, sounds.syllable(c)) for f, c in zip(finals, chars, strict=True)]
-        tones = [sounds.tone(c) for c in chars]
+        finals, tones, syllables = zip(*[sounds.at(lines, p) for p in positions], strict=True)
+        norms = [normal_final(f, mode, s) for f, s in zip(finals, syllables, strict=True)]
         size = F.size(lines)
         absent = F.filter(F.array(*[F.when((size < p) | F.lit(p < 1), p) for p in positions]), lambda x: x.isNotNull())
         missing = F.size(absent) > 0
@@ -217,35 +237,31 @@ def check_pair(a: Column, b: Column, threshold: float = 0.6, tags: Column | None
     return X.let(F.struct(X.clean_line(X.strip(a)).alias("x"), X.clean_line(X.strip(b)).alias("y")), judged)
 
 
-def _agreement(tags: Mapping[str, str], a: Column, b: Column) -> Column:
-    """The share of words of two lines that have the same part of speech (first letter of the tag), by a table of words:
-    each line is cut from its start into the table's longest words, and a sign that begins none is a word of part x. Null
-    if the lines do not have equally many words, or none."""
-    words = sorted(tags, key=lambda w: (-len(w), w))
-    pattern = "|".join([*("".join(f"\\x{{{ord(c):x}}}" for c in w) for w in words), "(?s)."])
-    cut = lambda c: F.regexp_extract_all(X.clean_line(X.strip(c)), F.lit(f"({pattern})"), F.lit(1))
-    part = lambda w: F.left(F.coalesce(_lookup(tags, w, "string"), F.lit("x")), F.lit(1))
+def _agreement(tags: Column, a: int, b: int) -> Column:
+    """The share of words of two lines that have the same part of speech (first letter of the tag). Null if the lines do
+    not have equally many words, or none."""
+    first = lambda p: F.transform(F.get(tags, F.lit(p - 1)), lambda t: F.left(t, F.lit(1)))
 
     def share(s: Column) -> Column:
-        same = F.size(F.filter(F.zip_with(s["x"], s["y"], lambda p, q: part(p) == part(q)), lambda d: d))
+        same = F.size(F.filter(F.zip_with(s["x"], s["y"], lambda p, q: p == q), lambda d: d))
         return F.when((F.size(s["x"]) == F.size(s["y"])) & (F.size(s["x"]) > 0), same / F.size(s["x"]))
 
-    return X.let(F.struct(cut(a).alias("x"), cut(b).alias("y")), share)
+    return X.let(F.struct(first(a).alias("x"), first(b).alias("y")), share)
 
 
 def check_parallel(
-    text: Column, pairs: Sequence[tuple[int, int]] = ((3, 4), (5, 6)), names: Sequence[str] = ("颔联", "颈联"), threshold: float = 0.6, tags: Mapping[str, str] | None = None
+    text: Column, pairs: Sequence[tuple[int, int]] = ((3, 4), (5, 6)), names: Sequence[str] = ("颔联", "颈联"), threshold: float = 0.6, tags: Column | None = None
 ) -> Column:
-    """Pairs of lines are parallel: ok (all), score (mean), pairs by name; none if a line is missing. tags: parts of speech
-    of words; with it the share of equal parts is averaged in."""
+    """Pairs of lines are parallel: ok (all), score (mean), pairs by name; none if a line is missing. tags: parts of
+    speech of the words of each line, as words.with_tags gives them; with it the share of equal parts is averaged in."""
     return X.let(X.raw_lines(text), lambda lines: _parallel(lines, pairs, names, threshold, tags))
 
 
-def _parallel(lines: Column, pairs: Sequence[tuple[int, int]], names: Sequence[str], threshold: float, tags: Mapping[str, str] | None) -> Column:
+def _parallel(lines: Column, pairs: Sequence[tuple[int, int]], names: Sequence[str], threshold: float, tags: Column | None) -> Column:
     last = max(p for pair in pairs for p in pair)
     few = F.size(lines) < last
     line = lambda k: F.get(lines, F.lit(k - 1))
-    found = F.array(*[check_pair(line(a), line(b), threshold, _agreement(tags, line(a), line(b)) if tags else None) for a, b in pairs])
+    found = F.array(*[check_pair(line(a), line(b), threshold, _agreement(tags, a, b) if tags is not None else None) for a, b in pairs])
 
     def judged(each: Column) -> Column:
         total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x["score"]) / len(pairs)
@@ -277,7 +293,7 @@ def score_quatrain(text: Column, sounds, mode: str = "strict", n_chars: int = 7,
 
 
 def score_regulated(
-    text: Column, sounds, mode: str = "strict", require_level: bool = False, n_chars: int = 7, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), tags: Mapping[str, str] | None = None
+    text: Column, sounds, mode: str = "strict", require_level: bool = False, n_chars: int = 7, weights: tuple[float, float, float] = (0.5, 0.3, 0.2), tags: Column | None = None
 ) -> Column:
     def scored(raw: Column, lines: Column) -> Column:
         parts = F.struct(

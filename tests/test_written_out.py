@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quatrain.functions import text as X
 from quatrain.operators import annotate, forms, lexicon, prompts, sampling, scoring, segment
+from quatrain.operators.words import with_tags
 from quatrain.sources import parse_shards
 
 CASES = {}
@@ -99,7 +100,9 @@ def tagged_pairs(spark):
     tags = {"白云": "ns", "黄鹤": "n", "千载": "t", "一去": "v", "悠悠": "z", "不返": "v"}
     rows = [("same parts", "白云白云黄鹤", "黄鹤黄鹤白云"), ("other parts", "白云千载悠悠", "黄鹤一去不返"), ("unequal words", "白云千载", "山水黄鹤"), ("same line", "白云，千载", "白云千载。"), ("lengths", "白云", "黄鹤一")]
     df = spark.createDataFrame(rows, "name string, a string, b string")
-    pair = scoring.check_parallel(F.concat_ws("\n", "a", "b"), ((1, 2),), ("pair",), tags=tags)["pairs"]["pair"]
+    words = spark.createDataFrame([(w, 10, t) for w, t in tags.items()], "word string, freq int, tag string")
+    df = with_tags(df.withColumn("text", F.concat_ws("\n", "a", "b")), words)
+    pair = scoring.check_parallel(F.col("text"), ((1, 2),), ("pair",), tags=F.col("tags"))["pairs"]["pair"]
     return df.select("name", pair.alias("p")).select("name", "p.ok", F.bround("p.score", 6).alias("score"), F.bround("p.diff_score", 6).alias("diff_score"), F.bround("p.pos_score", 6).alias("pos_score"))
 
 

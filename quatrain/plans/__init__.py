@@ -380,3 +380,6 @@ def event_sessions(spark, sf_dir):
 @query("SELECT text_md5, n FROM (SELECT md5(text) AS text_md5, count(*) AS n FROM documents GROUP BY text) WHERE n > 1")
 def duplicate_texts(spark, sf_dir):
     return sampling.duplicate_ids(table(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5")), "text_md5")
+
+
+from quatrain.plans import wide  # noqa: E402, F401  (registers further queries)

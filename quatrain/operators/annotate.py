@@ -103,15 +103,30 @@ def validate_answer(answer: Column, text: Column, taxonomy: Mapping[str, Sequenc
     return F.struct(*[F.when(error.isNull(), p).alias(d) for p, d in zip(parts, MODEL_DIMS, strict=True)], error.alias("error"))
 
 
-def apply_answers(df: DataFrame, answer_col: str, taxonomy: Mapping[str, Sequence[str]], prelabel_col: str = "prelabel", text_col: str = "text") -> DataFrame:
-    """Take a model's raw answers into the prelabel; what does not hold becomes an error row of the record instead."""
+ERRORS = "array<struct<stage:string,message:string>>"
+
+
+def with_error(errors: Column, message: Column) -> Column:
+    """A record's errors with one more of the model's stage, cut to 1000 signs; as they are where there is no message."""
+    old = F.coalesce(errors, F.array().cast(ERRORS))
+    return F.when(message.isNull(), old).otherwise(F.concat(old, F.array(F.struct(F.lit("llm").alias("stage"), F.substring(message, 1, 1000).alias("message")))))
+
+
+def apply_answers(df: DataFrame, answer_col: str, taxonomy: Mapping[str, Sequence[str]], prelabel_col: str = "prelabel", text_col: str = "text", failure_col: str | None = None) -> DataFrame:
+    """Take a model's raw answers into the prelabel; what does not hold becomes one more error of the record instead, behind
+    those of earlier runs. failure_col: messages of calls that failed. prelabel_col may stand inside a struct, as
+    annotation.prelabel does; then the errors stand beside it."""
+    path = prelabel_col.rsplit(".", 1)
     checked = df.withColumn("__checked", validate_answer(X.json_object_in(F.col(answer_col)), F.col(text_col), taxonomy))
+    message = F.col("__checked.error") if failure_col is None else F.coalesce(F.col(failure_col), F.col("__checked.error"))
     label = F.col(prelabel_col)
     for d in MODEL_DIMS:
-        label = label.withField(d, F.when(F.col("__checked.error").isNull(), F.col(f"__checked.{d}")).otherwise(F.col(f"{prelabel_col}.{d}")))
-    problem = F.array(F.struct(F.lit("llm").alias("stage"), F.substring(F.col("__checked.error"), 1, 1000).alias("message")))
-    none = F.array().cast("array<struct<stage:string,message:string>>")
-    return checked.withColumn(prelabel_col, label).withColumn("errors", F.when(F.col("__checked.error").isNull(), none).otherwise(problem)).drop("__checked")
+        label = label.withField(d, F.when(message.isNull(), F.col(f"__checked.{d}")).otherwise(F.col(f"{prelabel_col}.{d}")))
+    if len(path) == 2:
+        grown = F.col(path[0]).withField(path[1], label).withField("errors", with_error(F.col(f"{path[0]}.errors"), message))
+        return checked.withColumn(path[0], grown).drop("__checked")
+    old = F.col("errors") if "errors" in df.columns else F.lit(None).cast(ERRORS)
+    return checked.withColumn(prelabel_col, label).withColumn("errors", with_error(old, message)).drop("__checked")
 
 
 def ask_model(df: DataFrame, prompt_col: str, client: Callable[[str], str], answer_col: str = "answer") -> DataFrame:
@@ -160,5 +175,30 @@ def annotation_report(df: DataFrame, imagery: str, density: str, complete: Colum
     return df.agg(F.count("*").alias("n_rows"), F.count_if(F.size(imagery) == 0).alias("imagery_empty"), F.count_if(complete).alias("llm_complete"), *counts)
 
 
+def run_report(records: DataFrame, version: str = "v1", attempted: int = 0, succeeded: int = 0, failed: int = 0, domain: Sequence[str] = ("sparse", "medium", "dense")) -> DataFrame:
+    """One row about annotated records, nested as it is written: version, number, what the rules gave (records without
+    imagery, counts of its labels and of density over a fixed domain), what the model gave in all and in this run, and that
+    neither style nor gold is touched. One aggregate, with labels counted on the way."""
+    label = F.col("annotation.prelabel")
+    per = records.select(label.alias("p"), F.coalesce(label["imagery"]["value"], F.array().cast("array<string>")).alias("i"))
+    labels = per.select(F.explode("i").alias("k")).groupBy("k").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "n")))).alias("labels"))
+    counts = per.agg(
+        F.count("*").alias("records"), F.count_if(F.size("i") == 0).alias("empty"), F.count_if(is_complete(F.col("p"))).alias("complete"),
+        *[F.count_if(F.col("p.density.value") == v).alias(f"density_{v}") for v in domain],
+    )
+    # one row each
+    both = counts.withColumn("__one", F.lit(1)).join(labels.withColumn("__one", F.lit(1)), "__one")
+    density = F.create_map(*[x for v in domain for x in (F.lit(v), F.col(f"density_{v}"))])
+    return both.select(
+        F.lit(version).alias("annotation_version"), "records",
+        F.struct(F.lit("lexicon_longest_match_v1").alias("method"), F.col("empty").alias("imagery_empty"), F.col("labels").alias("imagery_label_counts"), density.alias("density_label_counts")).alias("rules"),
+        F.struct(
+            F.lit("llm_weak_label_v1").alias("method"), F.col("complete").alias("complete_records"), F.lit(attempted).cast("long").alias("attempted_this_run"),
+            F.lit(succeeded).cast("long").alias("success_this_run"), F.lit(failed).cast("long").alias("failed_this_run"),
+        ).alias("llm"),
+        F.lit("candidate_only_until_human_review").alias("gold_status"), F.lit(False).alias("style_fields_modified"),
+    )
+
+
 def label_counts(df: DataFrame, labels: str) -> DataFrame:
     return df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("n"))

@@ -93,7 +93,29 @@ def render_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def label_prompt(text: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column:
-    """Asks a model for labels. Author and title stay out, so they cannot sway it."""
-    lines = [f"{d}: {', '.join(v)}" for d, v in taxonomy.items()]
-    return F.concat_ws("\n", F.lit("Label the poem. Use these values only, quote evidence word by word, answer in JSON."), *[F.lit(x) for x in lines], F.lit("Poem:"), text)
+#: Fixed value: the shape in which a model has to answer.
+ANSWER_SHAPE = """{
+  "emotion": {"value": ["label"], "confidence": 0.0, "evidence": ["words of the poem"]},
+  "diction": {"value": "label", "confidence": 0.0, "evidence": ["words of the poem"]},
+  "expression": {"value": "label", "confidence": 0.0, "evidence": ["words of the poem"]},
+  "energy": {"value": "label", "confidence": 0.0, "evidence": ["words of the poem"]}
+}"""
+LABEL_RULES = (
+    "Give one or two of the allowed labels for emotion, and exactly one for each other dimension.",
+    "Where two labels fit, give the one that rules the whole poem; only emotion may have two.",
+    "confidence is a number from 0 to 1 that says how sure you are of the label, and does not judge the poem.",
+    "evidence holds up to three short passages of the poem, word by word; nothing that does not stand there.",
+    "Answer with one JSON object and nothing around it.",
+)
+
+
+def label_prompt(text: Column, taxonomy: Mapping[str, Mapping[str, str] | Sequence[str]], form: Column | None = None) -> Column:
+    """Asks a model for labels: the form, the poem, each dimension's values with what they mean (if taxonomy says so), the
+    rules and the shape of the answer. Author and title stay out, so they cannot sway it."""
+    said = lambda v: "; ".join(f"{k}={x}" for k, x in v.items()) if isinstance(v, Mapping) else ", ".join(v)
+    parts = [F.lit("Label the style of this classical poem for research. Judge by the text alone, and do not guess who wrote it.")]
+    if form is not None:
+        parts.append(F.concat(F.lit("Form: "), form))
+    parts += [F.concat(F.lit("Poem:\n"), text), F.lit("Dimensions and values:\n" + "\n".join(f"{d}: {said(v)}" for d, v in taxonomy.items()))]
+    parts += [F.lit("Rules:\n" + "\n".join(f"{i}. {r}" for i, r in enumerate(LABEL_RULES, 1))), F.lit("Shape of the answer:\n" + ANSWER_SHAPE)]
+    return F.concat_ws("\n\n", *parts)

@@ -211,6 +211,35 @@ def test_answers(spark):
     assert [(r["answer"], r["failure"]) for r in asked] == [("A", None), (None, "boom")]
 
 
+def test_errors_of_earlier_runs_stay(spark):
+    docs, _, found = labels(spark, ["朝辭白帝彩雲間\n關山月", "花"])
+    records = docs.withColumn("metadata", F.struct(F.lit("x").alias("author"), F.lit("a").alias("annotation_method"), F.lit("b").alias("review_status")))
+    first = annotate.with_rule_annotation(records, found).withColumn("answer", F.lit("no json")).withColumn("failure", F.when(F.col("id") == "1", "time ran out"))
+    once = annotate.apply_answers(first, "answer", TAXONOMY, "annotation.prelabel", failure_col="failure").drop("answer", "failure")
+    # rules run anew, and the model is asked again
+    again = annotate.with_rule_annotation(once, found).withColumn("answer", F.lit(answer()))
+    rows = {r["id"]: r["annotation"] for r in annotate.apply_answers(again, "answer", TAXONOMY, "annotation.prelabel").collect()}
+    assert [e["message"] for e in rows["0"]["errors"]] == ["no object"] and rows["0"]["prelabel"]["energy"]["status"] == "prelabeled"
+    assert [e["message"] for e in rows["1"]["errors"]] == ["time ran out", "emotion: evidence not found in the text"] and rows["1"]["errors"][0]["stage"] == "llm"
+    flat = spark.createDataFrame([("x", "no", [("llm", "old")])], "text string, answer string, errors array<struct<stage:string,message:string>>")
+    flat = annotate.apply_answers(flat.withColumn("prelabel", F.struct(*[annotate.pending(d).alias(d) for d in annotate.MODEL_DIMS])), "answer", TAXONOMY)
+    assert [e["message"] for e in flat.first()["errors"]] == ["old", "no object"]
+
+
+def test_run_report(spark):
+    docs, _, found = labels(spark, ["朝辭白帝彩雲間\n關山月", "花", "無"])
+    records = docs.withColumn("metadata", F.struct(F.lit("x").alias("author"), F.lit("a").alias("annotation_method"), F.lit("b").alias("review_status")))
+    out = annotate.with_rule_annotation(records, found).withColumn("answer", F.when(F.col("id") == "0", answer()))
+    labelled = annotate.apply_answers(out, "answer", TAXONOMY, "annotation.prelabel")
+    row = annotate.run_report(labelled, "v1", 3, 1, 2).first().asDict(recursive=True)
+    assert row["records"] == 3 and row["gold_status"] == "candidate_only_until_human_review" and row["style_fields_modified"] is False
+    assert row["llm"] == {"method": "llm_weak_label_v1", "complete_records": 1, "attempted_this_run": 3, "success_this_run": 1, "failed_this_run": 2}
+    assert row["rules"]["imagery_empty"] == 1 and row["rules"]["imagery_label_counts"] == {"celestial": 1, "flora": 1, "frontier": 1, "landscape": 1, "travel": 1}
+    assert row["rules"]["density_label_counts"] == {"sparse": 1, "medium": 1, "dense": 1}
+    none = annotate.run_report(labelled.limit(0)).first()
+    assert none["records"] == 0 and none["rules"]["imagery_label_counts"] == {}
+
+
 def test_rule_annotation_and_resume(spark):
     docs, _, found = labels(spark, ["關山月", "花"])
     records = docs.withColumn("metadata", F.struct(F.lit("x").alias("author"), F.lit("a").alias("annotation_method"), F.lit("b").alias("review_status"))).withColumn("style", F.lit("blank"))
@@ -236,7 +265,9 @@ def test_prompts(spark):
     out = prompts.render_requests(spark.createDataFrame(rows, "text string, style string, source_lang string, target_lang string, intensity int")).collect()
     assert len(out) == 3 and "韩语" in out[0]["prompt"] and prompts.INTENSITY[3] in out[0]["prompt"] and prompts.MODERN["RU"] in out[1]["prompt"] and prompts.CLASSICAL["RU"] in out[2]["prompt"]
     label = spark.range(1).select(prompts.label_prompt(F.lit("詩"), TAXONOMY).alias("p")).first()["p"]
-    assert "joy" in label and label.endswith("詩")
+    assert "joy" in label and "Poem:\n詩" in label and all(r in label for r in prompts.LABEL_RULES) and label.endswith(prompts.ANSWER_SHAPE)
+    told = spark.range(1).select(prompts.label_prompt(F.lit("詩"), {"energy": {"still": "靜", "wild": "狂"}}, F.lit("qijue7")).alias("p")).first()["p"]
+    assert "energy: still=靜; wild=狂" in told and "Form: qijue7" in told and set(json.loads(prompts.ANSWER_SHAPE)) == set(annotate.MODEL_DIMS)
     assert spark.range(1).select(prompts.target_language(F.lit("ZH"), F.lit("ZH")).alias("t")).first()["t"] == "KO"
 
 

@@ -130,24 +130,27 @@ def apply_answers(df: DataFrame, answer_col: str, taxonomy: Mapping[str, Sequenc
 
 
 def ask_model(df: DataFrame, prompt_col: str, client: Callable[[str], str], answer_col: str = "answer") -> DataFrame:
-    """Send prompts through a client that is passed in; a failure becomes an answer of null and its message."""
+    """Send prompts through a client that is passed in; a failure becomes an answer of null and its message. Other columns,
+    nested ones too, pass through as they are."""
+    import pyarrow as pa
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField(answer_col, T.StringType()), T.StructField("failure", T.StringType())])
 
     def run(batches: Iterator) -> Iterator:
-        for pdf in batches:
+        for batch in batches:
             answers, failures = [], []
-            for prompt in pdf[prompt_col]:
+            for prompt in batch.column(batch.schema.get_field_index(prompt_col)).to_pylist():
                 try:
                     answers.append(client(prompt))
                     failures.append(None)
                 except Exception as e:
                     answers.append(None)
                     failures.append(str(e)[:1000])
-            yield pdf.assign(**{answer_col: answers, "failure": failures})
+            fields = [*batch.schema, pa.field(answer_col, pa.string()), pa.field("failure", pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string()), pa.array(failures, pa.string())], schema=pa.schema(fields))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def run_counts(df: DataFrame, success: Column, failure: Column, most: int | None = None) -> DataFrame:

@@ -382,4 +382,4 @@ def duplicate_texts(spark, sf_dir):
     return sampling.duplicate_ids(table(spark, sf_dir, "documents").select(F.md5("text").alias("text_md5")), "text_md5")
 
 
-from quatrain.plans import wide  # noqa: E402, F401  (registers further queries)
+from quatrain.plans import runs, wide  # noqa: E402, F401  (register further queries)

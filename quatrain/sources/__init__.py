@@ -7,12 +7,12 @@ import os
 import tempfile
 import time
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,14 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_counted(df: DataFrame, path: str, counts: Mapping[str, Column], write: Callable[[DataFrame, str], None] = write_jsonl) -> dict[str, int]:
+    """Write df, and what the write itself has counted: written, and each of counts (conditions). One job, no second pass
+    over the rows, and a task that is tried again is counted once."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("written"), *[F.count_if(c).alias(k) for k, c in counts.items()]), path)
+    return dict(seen.get)
+
+
 def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         found = json.load(f)

@@ -83,11 +83,14 @@ def _proven_copies(per: DataFrame, df: DataFrame, text_col: str, id_col: str) ->
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, s: a + s["chars"])
     once = F.array_distinct(F.transform("x", lambda s: F.struct(s["line"], s["chars"])))
     near = per.where(COPY_SHARE * total(F.col("x")) > F.col("size")).select("id", "version", "keeper", total(once).alias("shared"))
+    # written, so Spark knows its size before it decides whether all texts have to move to meet it
+    near, _ = materialize(near, "near")
+    own_id = lambda rows: F.col("t_id").eqNullSafe(rows["id"]) & (F.col("t_version") == rows["version"])
     texts = df.select(F.col(id_col).alias("t_id"), F.xxhash64(text_col).alias("t_version"), F.col(text_col).cast("string").alias("t"))
-    kept = texts.join(near.select("keeper").distinct(), F.col("t_id") == F.col("keeper"), "left_semi").select(F.col("t_id").alias("keeper"), F.col("t").alias("of")).distinct()
+    own, _ = materialize(texts.join(near, own_id(near), "left_semi").distinct(), "own")
+    kept, _ = materialize(df.select(F.col(id_col).alias("keeper"), F.col(text_col).cast("string").alias("of")).join(near, "keeper", "left_semi").distinct(), "kept")
     asked = near.join(kept, "keeper").where(COPY_SHARE * F.col("shared") > F.length("of"))
-    own = texts.join(asked.select("id", "version").distinct(), F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_version") == F.col("version")), "left_semi").distinct()
-    pairs = asked.join(own, F.col("t_id").eqNullSafe(F.col("id")) & (F.col("t_version") == F.col("version")))
+    pairs = asked.join(own, own_id(asked))
     both = pairs.select("id", "version", _shingles(F.col("t")).alias("a"), _shingles(F.col("of")).alias("b")).withColumn("n", F.size(F.array_intersect("a", "b")))
     alike = F.col("n") * UNDER >= OVER * (F.size("a") + F.size("b") - F.col("n"))
     return both.where(alike).select(F.col("id").alias("__id"), F.col("version").alias("__version")).distinct()

@@ -50,7 +50,7 @@ SHINGLE, SEED = 5, 42
 OVER, UNDER = 4, 5
 ERRORS = 20
 BLOCK = 256
-VISITS = 8
+VISITS = 32
 HOT_BUCKET = 20_000
 LINK = "a long, b long"
 COLUMNS = 4096

@@ -57,6 +57,8 @@ SEED = 20_240_601
 #: Fixed value: signs that are words of their own.
 SIGNS = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{SIGNS}]|[^\W{SIGNS}]+")
+#: The same words in Spark's patterns.
+JVM_WORD = r"(?U)[\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]|[\w&&[^\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{3ffff}]]+"
 PAST_END, PAST_TEXT = -1, -2
 TWIST = np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,7 +196,8 @@ class LeakIndex:
         if not len(found):
             return out
         best: dict[int, dict[int, int]] = defaultdict(dict)
-        tried: dict[tuple[int, int], list[int]] = defaultdict(list)
+        # places tried, by bins of as many words as an item may be shifted by
+        tried: dict[tuple[int, int, int], list[int]] = defaultdict(list)
         for part in range(0, len(found), WINDOWS):
             starts, sizes, text = found[part : part + WINDOWS].T
             low, high = bounds[text], bounds[text + 1] - 1
@@ -210,9 +213,10 @@ class LeakIndex:
                 i, t = self.piece_item[p], int(text[w])
                 n, begin = len(self.items[i]), int(starts[w]) - self.piece_at[p]
                 k = int(MOST_EDITS * n)
-                if best[t].get(i, k + 1) == 0 or any(abs(begin - x) <= k for x in tried[t, i]):
+                own = begin // (k + 1)
+                if best[t].get(i, k + 1) == 0 or any(abs(begin - x) <= k for b in (own - 1, own, own + 1) for x in tried.get((t, i, b), ())):
                     continue
-                tried[t, i].append(begin)
+                tried[t, i, own].append(begin)
                 a, b = max(int(low[w]), begin - 3 * k), min(int(high[w]), begin + n + 3 * k)
                 # each of the item's words that is nowhere in the passage costs an edit
                 if int((~np.isin(self.items[i], ids[a:b])).sum()) > k:
@@ -226,10 +230,13 @@ class LeakIndex:
 
 
 def mark_leaks(
-    df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", leaks_col: str = "leaks"
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", item_text_col: str = "text", leaks_col: str = "leaks", least_words: int = 1
 ) -> DataFrame:
-    """Kept columns and leaks: an array of (item_id, edits), empty for clean documents."""
+    """Kept columns and leaks: an array of (item_id, edits), empty for clean documents. Items of fewer than least_words words
+    are no items."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("body")).where("body is not null")
+    if least_words > 1:
+        items = items.where(F.regexp_count(F.lower("body"), F.lit(JVM_WORD)) >= least_words)
     kind = items.schema["item"].dataType
     leak = T.StructType([T.StructField("item_id", kind), T.StructField("edits", T.IntegerType(), False)])
     leaks = T.StructField("__leaks", T.ArrayType(leak, True), False)

@@ -109,3 +109,24 @@ def test_short_items_and_scripts_without_blanks(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("cast(item_id as decimal(9,0)) item_id", "text")
     got = sorted((r["doc_id"], int(r["item_id"]), r["edits"]) for r in D.find_leaks(df, bench).collect())
     assert got == [(1, 1, 0), (3, 3, 0), (4, 3, 1), (5, 2, 0)]
+
+
+def test_least_words_and_repeated_items(spark):
+    import time
+
+    from quatrain.llm.decontaminate import LeakIndex, find_leaks, mark_leaks, words_of
+
+    items = spark.createDataFrame([(1, "the"), (2, "one two three four"), (3, "日本語文字"), (4, "one two three four five")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the one two three four five"), (2, "x 日本語文字 y")], "doc_id long, text string")
+    found = lambda n: {(r["doc_id"], x["item_id"]) for r in mark_leaks(docs, items, least_words=n).collect() for x in r["leaks"]}
+    assert found(1) == {(1, 1), (1, 2), (1, 4), (2, 3)} and found(5) == {(1, 4), (2, 3)}
+    assert len(words_of("日本語文字")) == 5 and find_leaks(docs, items).count() == 4
+    # a text that repeats an item with an edit takes time in proportion to its length
+    item = [f"w{i}" for i in range(10)]
+    index, took = LeakIndex([(1, " ".join(item))]), []
+    for n in (1000, 4000):
+        text = " ".join(" ".join([*item[:5], "other", *item[6:]]) for _ in range(n))
+        begin = time.process_time()
+        assert index.leaks([text]) == [[(1, 1)]]
+        took.append(time.process_time() - begin)
+    assert took[1] < 9 * took[0]

@@ -20,6 +20,8 @@ from quatrain.llm.similar import similar_texts
 from quatrain.llm.spm_fst import encode_texts
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of the shortest benchmark items that documents are dropped for.
+LEAST_ITEM_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
-    marked = mark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS)
+    """Documents into which no benchmark item leaked; an item of a few words would be a phrase of many clean documents."""
+    marked = mark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS, least_words=LEAST_ITEM_WORDS)
     return marked.where(F.size("leaks") == 0).select(*COLUMNS)
 
 

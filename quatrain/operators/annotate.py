@@ -119,12 +119,12 @@ def apply_answers(df: DataFrame, answer_col: str, taxonomy: Mapping[str, Sequenc
     path = prelabel_col.rsplit(".", 1)
     checked = df.withColumn("__checked", validate_answer(X.json_object_in(F.col(answer_col)), F.col(text_col), taxonomy))
     message = F.col("__checked.error") if failure_col is None else F.coalesce(F.col(failure_col), F.col("__checked.error"))
-    label = F.col(prelabel_col)
-    for d in MODEL_DIMS:
-        label = label.withField(d, F.when(message.isNull(), F.col(f"__checked.{d}")).otherwise(F.col(f"{prelabel_col}.{d}")))
+    held = df.select(F.col(prelabel_col).alias("p")).schema["p"].dataType.names
+    label = F.struct(*[(F.when(message.isNull(), F.col(f"__checked.{d}")).otherwise(F.col(f"{prelabel_col}.{d}")) if d in MODEL_DIMS else F.col(f"{prelabel_col}.{d}")).alias(d) for d in held])
     if len(path) == 2:
-        grown = F.col(path[0]).withField(path[1], label).withField("errors", with_error(F.col(f"{path[0]}.errors"), message))
-        return checked.withColumn(path[0], grown).drop("__checked")
+        around = df.schema[path[0]].dataType.names
+        now = {path[1]: label, "errors": with_error(F.col(f"{path[0]}.errors"), message)}
+        return checked.withColumn(path[0], F.struct(*[now.get(c, F.col(f"{path[0]}.{c}")).alias(c) for c in around])).drop("__checked")
     old = F.col("errors") if "errors" in df.columns else F.lit(None).cast(ERRORS)
     return checked.withColumn(prelabel_col, label).withColumn("errors", with_error(old, message)).drop("__checked")
 

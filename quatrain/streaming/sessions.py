@@ -8,65 +8,56 @@ from datetime import timedelta
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The store that keeps such state; set spark.sql.streaming.stateStore.providerClass to it.
+#: A store that keeps state on disk and not in the heap; set spark.sql.streaming.stateStore.providerClass to it.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "begins array<bigint>, finishes array<bigint>, ns array<bigint>"
 
 
-class Sessions(StatefulProcessor):
-    """The open sessions of a user, as (begin, end, n) with end a gap behind the last event, ordered and apart. An event
-    widens the sessions that its own gap touches to one; a session closes when the watermark has passed its end."""
-
-    def __init__(self, gap: timedelta):
-        self.gap = gap // timedelta(microseconds=1)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getMapState("open", "begin bigint", "finish bigint, n bigint")
+def widened(sessions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sessions (begin, end, n) in order, those that touch made one."""
+    new: list[tuple[int, int, int]] = []
+    for begin, end, n in sorted(sessions):
+        if new and begin < new[-1][1]:
+            new[-1] = (new[-1][0], max(new[-1][1], end), new[-1][2] + n)
+        else:
+            new.append((begin, end, n))
+    return new
 
-    def _sessions(self) -> list[tuple[int, int, int]]:
-        return sorted((k[0], v[0], v[1]) for k, v in self.open.iterator())
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        old = self._sessions()
-        every = sorted([*old, *((t, t + self.gap, 1) for part in rows for t in part["at"].tolist())])
-        new: list[tuple[int, int, int]] = []
-        for begin, end, n in every:
-            if new and begin < new[-1][1]:
-                new[-1] = (new[-1][0], max(new[-1][1], end), new[-1][2] + n)
-            else:
-                new.append((begin, end, n))
-        for begin, _, _ in set(old) - set(new):
-            self.open.removeKey((begin,))
-        for begin, end, n in set(new) - set(old):
-            self.open.updateValue((begin,), (end, n))
-            # timers count milliseconds; one whose session has grown since finds nothing to close
-            self.handle.registerTimer(-(-end // 1000))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        done = [s for s in self._sessions() if s[1] <= now]
-        for begin, _, _ in done:
-            self.open.removeKey((begin,))
+def sessions_of(gap: timedelta):
+    """The open sessions of a user, as (begin, end, n) with end a gap behind the last event, ordered and apart. An event
+    widens the sessions that its own gap touches to one; a session closes when the watermark has passed its end. A user's
+    state is one value, which travels with the user's rows, and the timer is that of the session which ends first."""
+    micros = gap // timedelta(microseconds=1)
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get, strict=True)) if state.exists else []
+        now = state.getCurrentWatermarkMs() * 1000
+        if not state.hasTimedOut and not pd.isna(key[0]):
+            held = widened([*held, *((t, t + micros, 1) for part in rows for t in part["at"].tolist())])
+        done, left = [s for s in held if s[1] <= now], [s for s in held if s[1] > now]
+        if left:
+            state.update(tuple(map(list, zip(*left, strict=True))))
+            # timers count milliseconds
+            state.setTimeoutTimestamp(-(-min(s[1] for s in left) // 1000))
+        elif state.exists:
+            state.remove()
         if done:
             yield pd.DataFrame({"user": [key[0]] * len(done), "begin": [s[0] for s in done], "finish": [s[1] for s in done], "n": [s[2] for s in done]})
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def stateful_sessions(events: DataFrame, time_col: str = "ts", user: str = "user_id", gap: timedelta = timedelta(minutes=30), delay: str = "10 minutes") -> DataFrame:
     """(user, session_start, session_end, n) of sessions that have closed, from a stream. Events that come later than the
     delay, behind the watermark, are left out by Spark; a session is given once, when no event can widen it any more. State
     holds open sessions only, so it follows the users that are active. Rows without a user move the clock on and have no
-    sessions. Needs the state store STORE."""
+    sessions."""
     kinds = [events.schema[c].dataType.simpleString() for c in (user, time_col)]
     at = F.col(time_col).cast("timestamp")
     timed = events.select(F.col(user).alias("user"), at.alias("ts"), F.unix_micros(at).alias("at")).withWatermark("ts", delay)
-    closed = timed.where("ts is not null").groupBy("user").transformWithStateInPandas(Sessions(gap), f"user {kinds[0]}, begin bigint, finish bigint, n bigint", outputMode="Append", timeMode="EventTime")
+    closed = timed.where("ts is not null").groupBy("user").applyInPandasWithState(sessions_of(gap), f"user {kinds[0]}, begin bigint, finish bigint, n bigint", STATE, "append", GroupStateTimeout.EventTimeTimeout)
     when = lambda c: F.timestamp_micros(c).cast(kinds[1])
     return closed.select(F.col("user").alias(user), when("begin").alias("session_start"), when("finish").alias("session_end"), "n")

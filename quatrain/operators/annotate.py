@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,10 +73,9 @@ def validate_answer(answer: Column, text: Column, taxonomy: Mapping[str, Sequenc
     from 0 to 1 and not a boolean; evidence (none if it is left out) up to three non-blank strings that stand in the text without its line ends.
     """
     flat = F.replace(text, F.lit("\n"), F.lit(""))
-    parts, errors = [], [F.when(answer.isNull(), "no object")]
-    for d in MODEL_DIMS:
-        part = F.try_variant_get(answer, f"$.{d}", "variant")
-        kind = lambda p, a=part: F.schema_of_variant(F.try_variant_get(a, p, "variant"))
+
+    def check(d: str, part: Column) -> Column:
+        kind = lambda p: F.schema_of_variant(F.try_variant_get(part, p, "variant"))
         allowed = F.array(*[F.lit(v) for v in taxonomy[d]])
         if d == MANY:
             value = F.try_variant_get(part, "$.value", "array<string>")
@@ -91,16 +91,23 @@ def validate_answer(answer: Column, text: Column, taxonomy: Mapping[str, Sequenc
         strings = absent | F.coalesce(kind("$.evidence").isin("ARRAY<STRING>", "ARRAY<VOID>", "ARRAY<NULL>"), F.lit(False))
         shaped = strings & (F.size(proof) <= MOST_EVIDENCE) & F.forall(proof, lambda p: p != "")
         found = F.forall(proof, lambda p: F.contains(flat, p))
-        errors.append(
+        error = (
             F.when(~F.coalesce(F.schema_of_variant(part).startswith("OBJECT"), F.lit(False)), f"{d}: no object")
             .when(~F.coalesce(good, F.lit(False)), f"{d}: label not allowed")
             .when(~number, f"{d}: bad confidence")
             .when(~F.coalesce(shaped, F.lit(False)), f"{d}: bad evidence")
             .when(~F.coalesce(found, F.lit(False)), f"{d}: evidence not found in the text")
         )
-        parts.append(F.struct(value.alias("value"), F.bround(sure, 3).alias("confidence"), proof.alias("evidence"), F.lit("llm_weak_label_v1").alias("method"), F.lit("prelabeled").alias("status")).cast(dim_type(d)).alias(d))
-    error = F.coalesce(*errors)
-    return F.struct(*[F.when(error.isNull(), p).alias(d) for p, d in zip(parts, MODEL_DIMS, strict=True)], error.alias("error"))
+        label = F.struct(value.alias("value"), F.bround(sure, 3).alias("confidence"), proof.alias("evidence"), F.lit("llm_weak_label_v1").alias("method"), F.lit("prelabeled").alias("status")).cast(dim_type(d))
+        return F.struct(label.alias("label"), error.alias("error"))
+
+    def whole(given: Column, dims: Column) -> Column:
+        first = F.coalesce(F.when(given.isNull(), "no object"), *[dims[d]["error"] for d in MODEL_DIMS])
+        return X.let(first, lambda error: F.struct(*[F.when(error.isNull(), dims[d]["label"]).alias(d) for d in MODEL_DIMS], error.alias("error")))
+
+    # the answer, its parts and what is wrong are named many times each: without let they would be computed as many times
+    parts = lambda given: F.struct(*[X.let(F.try_variant_get(given, f"$.{d}", "variant"), partial(check, d)).alias(d) for d in MODEL_DIMS])
+    return X.let(answer, lambda given: X.let(parts(given), partial(whole, given)))
 
 
 ERRORS = "array<struct<stage:string,message:string>>"

@@ -69,6 +69,21 @@ def test_a_run_that_breaks_off_goes_on(spark, tmp_path, monkeypatch):
     assert last[8]["prelabel"]["energy"]["status"] == "prelabeled" and last[4]["prelabel"]["energy"]["status"] == "pending_llm" and not last[1]["errors"]
 
 
+def test_an_answer_is_checked_once_a_row(spark):
+    rows = spark.range(3).select("id", F.lit("text").alias("text"), F.lit(answer()).alias("answer"), F.struct(F.struct(*[annotate.pending(d).alias(d) for d in annotate.MODEL_DIMS]).alias("prelabel"), F.lit(None).cast(annotate.ERRORS).alias("errors")).alias("annotation"))
+    asked = annotate.ask_model(rows, "answer", lambda p: p, "__answer")
+    labelled = annotate.apply_answers(asked, "__answer", TAXONOMY, labelling.LABEL, failure_col="failure").select(*rows.columns)
+    wide = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = labelled._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", wide)
+    # the check names the answer and its parts some hundred times
+    assert plan.count("not allowed") == len(annotate.MODEL_DIMS) and plan.lower().count("json") < 50
+    assert all(r["annotation"]["prelabel"]["energy"]["value"] == "still" for r in labelled.collect())
+
+
 def test_counts_of_the_write_itself(spark, tmp_path):
     df = spark.range(100).withColumn("form", F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 1, "b")).repartition(5)
     tracker = spark.sparkContext.statusTracker()

@@ -2,22 +2,30 @@
 
 A page's visible text is cut into blocks. Blocks in menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments (by element, role or class) are no main text. If the page's article (main or article elements) holds
-text, its other blocks are the main text, whatever other pages repeat of it, because pages may share passages. If there
-is none, every block that is left is open, and the host decides: the token streams of all text that the host's pages do
-not have in an article are concatenated, suffix arrays find strings of MIN_TOKENS tokens or more that distinct pages
-repeat, and open tokens that they cover are removed; the rest is the main text. A string is repeated if MIN_CONTENTS
-distinct contents of the host hold it, and MIN_SHARE of them. Copies of a page are one content. The arrays are sorted to
-MIN_TOKENS tokens: a longer repeated string is covered by its parts of that length, which are repeated as well.
+text, its other blocks are the main text. If there is none, every block that is left is open. All pages then go through
+the suffix arrays of their host, which find strings of MIN_TOKENS tokens that distinct contents repeat, in two families
+of token streams: the articles, and what the host's pages hold outside of them (open pages: all of it).
+
+* Open tokens that strings repeated outside articles cover are removed. A string is repeated if MIN_CONTENTS distinct
+  contents of its family hold it, and MIN_SHARE of them.
+* Inside an article plain blocks are settled, whatever other pages repeat of them, because pages may share passages. What
+  names leave unsettled is a box: an element whose class or id says something that is neither chrome nor layout. A box is
+  removed if strings that lie in it, and that BOX_CONTENTS distinct articles of the host and BOX_SHARE of them hold, cover
+  all of its own tokens (a notice of an odd name); no part of a box is cut, and no article is emptied.
+
+Copies of a page are one content. The arrays are sorted to MIN_TOKENS tokens: a longer repeated string is covered by its
+parts of that length, which are repeated as well.
 
 Class and id names count as whole tokens: a name is no main text if each of its parts (at hyphens, underscores and capitals;
 glued parts are taken apart) is a chrome name, says something about layout or is a measure, and one is a chrome name
 (comment-list, commentlist, sponsoredContent and ad-slot-728x90, but not social-science). Names do not bear on the outermost
 article element. What is hidden (attribute, style or name) is no main text either.
 
-Scale: each page is parsed once, and its blocks are written to the shared folder. A host's streams are never gathered:
-each task builds suffix arrays over the pages it holds, host by host; equal strings stand side by side there, and it
-sends each distinct one once a content, as hashes. Merged over tasks, the distinct contents of a string are counted. That
-is what one array over the whole host would say, for a host of any size. Only hosts with open pages take part.
+Scale: each page is parsed once, and its blocks are written to the shared folder. A host's streams are dealt to buckets of
+some BUCKET_PAGES pages by their content, packed. A bucket's suffix array says which strings are repeated in it. What is
+repeated in a share of a host's contents is repeated in that share of some bucket's contents, so no other string needs to
+be counted over the host; buckets are counted a second time for these alone, where a page is open or has a box. That is
+what one array over the whole host would say, for a host of any size.
 
 Defined results: a null or empty page has the empty text; a null or unparsable URL belongs to the host ""; rows that
 repeat a page count as one page and get equal rows; pages that differ only in their ids get equal texts; very long pages
@@ -44,8 +52,14 @@ from quatrain.llm.common import materialize, text_or_empty
 MIN_TOKENS = 8
 #: A string is repeated if so many distinct contents of the host hold it, and so large a share of them.
 MIN_CONTENTS, MIN_SHARE = 2, 0.1
-#: Pages that are parsed, or sorted in one array, at a time.
+#: The same inside articles, for boxes.
+BOX_CONTENTS, BOX_SHARE = 3, 0.5
+#: Pages that are parsed at a time.
 PAGES = 1024
+#: Pages of a host, and signs of them, that a bucket has about.
+BUCKET_PAGES, BUCKET_SIGNS = 256, 4_000_000
+#: Copies that a task remembers, so that it sends them once.
+COPIES = 100_000
 
 CHROME_TAGS = frozenset("nav footer aside form noscript template iframe svg select button dialog menu head object canvas audio video map".split())
 CHROME_NAMES = frozenset(
@@ -120,18 +134,31 @@ def _is_chrome(tag: str, attributes: str, names: bool = True) -> bool:
     return False
 
 
+def _is_odd(attributes: str) -> bool:
+    """Whether a class or id says something that is neither chrome nor layout."""
+    names = (n for m in ATTRIBUTE.finditer(attributes) if m[1].lower() != "role" for n in (m[2] or m[3] or m[4] or "").split())
+    return any(_known_parts(p.lower()) is None for n in names for p in PARTS.split(n) if p)
+
+
 def blocks(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
     """(text, in chrome, in article) of the page's blocks in order, and whether its article holds text."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, in chrome, in article
+    found, marked = boxed_blocks(page)
+    return [b[:3] for b in found], marked
+
+
+def boxed_blocks(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
+    """The same, with the number of the innermost box in the article that holds a block; 0 is none."""
+    out: list[tuple[str, bool, bool, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, in chrome, in article, box
     held: list[str] = []
     chrome = article = False
+    box = boxes = 0
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            out.append((text, chrome, article))
+            out.append((text, chrome, article, box))
 
     at, size = 0, len(page)
     while at < size:
@@ -173,14 +200,17 @@ def blocks(page: str) -> tuple[list[tuple[str, bool, bool]], bool]:
         else:
             if stack and stack[-1][0] in LOOSE_TAGS and (stack[-1][0] == tag or stack[-1][0] == "p"):
                 stack.pop()
-            above = stack[-1] if stack else ("", False, False)
+            above = stack[-1] if stack else ("", False, False, 0)
             root = tag in ("main", "article") or "main" in attributes and re.search(r"""role\s*=\s*["']?main""", attributes) is not None
             bad = above[1] or _is_chrome(tag, attributes, not root or above[2]) or tag == "header" and not above[2]
             if not attributes.endswith("/"):
-                stack.append((tag, bad, above[2] or root and not bad))
-        chrome, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                own = above[3]
+                if above[2] and not bad and "=" in attributes and _is_odd(attributes):
+                    own = boxes = boxes + 1
+                stack.append((tag, bad, above[2] or root and not bad, own))
+        chrome, article, box = stack[-1][1:] if stack else (False, False, 0)
     flush()
-    return out, any(inside and not bad for _, bad, inside in out)
+    return out, any(inside and not bad for _, bad, inside, _ in out)
 
 
 def host_of(url: str | None) -> str:
@@ -228,39 +258,31 @@ def stream(found: list[dict]) -> tuple[list[str], list[bool]]:
     return [w for w, _ in words], [c for _, c in words]
 
 
-def content_of(words: list[str]) -> int:
-    """Equal for copies of a page."""
+def content_of(text: str) -> int:
+    """Equal for copies."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(" ".join(words))
-
-
-def _repeat_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, blocks) to (host, string, content): each distinct string of a content once a batch and host."""
-    for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
-        hosts: dict[str, dict[int, list[str]]] = {}
-        for host, found in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
-            words, _ = stream(found)
-            if len(words) >= MIN_TOKENS:
-                hosts.setdefault(host, {})[content_of(words)] = words
-        rows: tuple[list, ...] = ([], [], [])
-        for host, pages in hosts.items():
-            streams = [token_numbers(w) for w in pages.values()]
-            sizes = np.array([len(s) for s in streams])
-            ends = np.repeat(np.cumsum(sizes), sizes)
-            keys = np.repeat(np.array(list(pages), np.uint64).view(np.int64), sizes)
-            tokens = np.concatenate(streams)
-            order, rank = suffix_order(tokens, ends, MIN_TOKENS)
-            order = order[order + MIN_TOKENS <= ends[order]]
-            if not len(order):
-                continue
-            order = order[np.lexsort((keys[order], rank[order]))]
-            firsts = np.flatnonzero(np.concatenate([[True], (np.diff(rank[order]) != 0) | (keys[order][1:] != keys[order][:-1])]))
-            rows[0].extend([host] * len(firsts))
-            rows[1].append(string_hashes(tokens, MIN_TOKENS)[order[firsts]])
-            rows[2].append(keys[order[firsts]])
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(np.concatenate(r)) for r in rows[1:])], names=["host", "string", "content"])
+    return np.uint64(xxhash.xxh64_intdigest(text)).astype(np.int64).item()
+
+
+#: Families of streams, by what a page's text hangs on, and from when on a string is repeated in them.
+OUTSIDE, INSIDE = 0, 1
+REPEATED = {OUTSIDE: (MIN_CONTENTS, MIN_SHARE), INSIDE: (BOX_CONTENTS, BOX_SHARE)}
+OUTSIDE_BLOCKS, INSIDE_BLOCKS = "array<struct<text:string,chrome:boolean>>", "array<struct<text:string,box:int>>"
+PARCEL = "host string, family int, bucket int, buckets int, size long, lines binary"
+FOUND = "host string, family int, bucket int, string long, of long, asks boolean"
+HELD = "host string, family int, string long, content long, n long"
+
+
+def article_text(found: list[dict], repeated: set[int]) -> str:
+    """Blocks of an article (text, box) without the boxes that repeated strings cover."""
+    words = [(w, b["box"]) for b in found for w in b["text"].split()] if repeated else []
+    covered = [False] * len(words)
+    for i, h in enumerate(string_hashes(token_numbers([w for w, _ in words]), MIN_TOKENS).tolist()):
+        if h in repeated and words[i][1] and len({b for _, b in words[i : i + MIN_TOKENS]}) == 1:
+            covered[i : i + MIN_TOKENS] = [True] * MIN_TOKENS
+    gone = {b for _, b in words if b} - {b for (_, b), c in zip(words, covered, strict=True) if not c}
+    return " ".join(b["text"] for b in found if b["box"] not in gone) or " ".join(b["text"] for b in found)
 
 
 def unique_runs(found: list[dict], repeated: set[int]) -> str:
@@ -279,59 +301,148 @@ def unique_runs(found: list[dict], repeated: set[int]) -> str:
     return " ".join(kept)
 
 
-BLOCKS = "array<struct<text:string,chrome:boolean>>"
-
-
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, host, text (null for open pages) and blocks (all of an open page, those outside the article else)."""
+    """page_id, url, host, signs of text, family and content of the stream that the page's text hangs on (content null if
+    nothing is open), blocks outside the article (open page: all), and blocks of main text in it."""
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    schema = T.StructType([source.schema["page_id"], source.schema["url"]] + [T.StructField(n, T.StringType()) for n in ("host", "text")] + [T.StructField("blocks", T._parse_datatype_string(BLOCKS))])
-    kind = to_arrow_type(schema["blocks"].dataType)
+    added = T._parse_datatype_string(f"host string, signs long, family int, content long, outside {OUTSIDE_BLOCKS}, inside {INSIDE_BLOCKS}")
+    schema = T.StructType([source.schema["page_id"], source.schema["url"], *added.fields])
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
-            texts, outside = [], []
-            for page in batch.column(2).to_pylist():
-                found, marked = blocks(page)
-                texts.append(" ".join(x for x, bad, inside in found if inside and not bad) if marked else None if found else "")
-                outside.append([{"text": x, "chrome": bad} for x, bad, inside in found if not (marked and inside)])
-            hosts = [host_of(u) for u in batch.column(1).cast(pa.string()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(outside, kind)], names=schema.names)
+            rows: list[tuple] = []
+            for url, page in zip(batch.column(1).cast(pa.string()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found, marked = boxed_blocks(page)
+                inside = [{"text": x, "box": box} for x, bad, within, box in found if marked and within and not bad]
+                outside = [{"text": x, "chrome": bad} for x, bad, within, _ in found if not (marked and within)]
+                asks = any(b["box"] for b in inside) if marked else bool(found)
+                content = content_of(" ".join(b["text"] for b in (inside if marked else outside))) if asks else None
+                rows.append((host_of(url), sum(len(x[0]) for x in found), INSIDE if marked else OUTSIDE, content, outside, inside))
+            made = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=schema.names)
 
     return pages.select(F.col(id_col), F.col(url_col), text_or_empty(html_col)).mapInArrow(parse, schema)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text and n_chars of every page."""
-    parsed, _ = materialize(parsed_pages(pages, id_col, url_col, html_col), "pages")
-    text = parsed.where("text is not null").select("page_id", "url", "text")
-    open_hosts, _ = materialize(parsed.where("text is null").select("host").distinct(), "hosts")
-    if not open_hosts.isEmpty():
-        text = text.unionByName(_open_texts(parsed, open_hosts))
-    return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+def parcels(parsed: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Streams of the pages, packed by host, family and bucket: a line each, with a sign ahead that says whether the text of
+    a page hangs on it. Copies fall into one bucket, and a task sends them once. hosts: those of several buckets."""
+    schema = T._parse_datatype_string(PARCEL)
+    source = parsed.join(F.broadcast(hosts), "host", "left").select("host", F.coalesce("buckets", F.lit(1)).alias("buckets"), "family", "content", "outside", "inside")
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
+        for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
+            held: dict[tuple, list[str]] = {}
+            host, buckets, family, content = (batch.column(i).to_pylist() for i in range(4))
+            for which, column in ((OUTSIDE, batch.column(4)), (INSIDE, batch.column(5))):
+                for k, found in enumerate(column.to_pylist()):
+                    line = " ".join(b["text"] for b in found)
+                    if line.count(" ") < MIN_TOKENS - 1:
+                        continue
+                    asks = content[k] is not None and family[k] == which
+                    key = (host[k], which, asks, number := content_of(line))
+                    if key not in seen:
+                        if len(seen) >= COPIES:
+                            seen.clear()
+                        seen.add(key)
+                        held.setdefault((host[k], which, number % buckets[k], buckets[k]), []).append(("1" if asks else "0") + line)
+            if held:
+                plain = ["\n".join(lines).encode() for lines in held.values()]
+                packed = [pa.compress(x, codec="zstd", asbytes=True) for x in plain]
+                columns = [*zip(*held, strict=True), list(map(len, plain)), packed]
+                yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
+
+    return source.mapInArrow(pack, schema)
+
+
+def unpacked(packed: pa.Table) -> tuple[list[int], list[bool], list[np.ndarray]]:
+    """Distinct contents of parcels, whether a text hangs on them, and their tokens."""
+    streams: dict[int, np.ndarray] = {}
+    asking: set[int] = set()
+    for size, lines in zip(packed.column("size").to_pylist(), packed.column("lines").to_pylist(), strict=True):
+        for line in pa.decompress(lines, size, codec="zstd", asbytes=True).decode().split("\n"):
+            content = content_of(line[1:])
+            if line[0] == "1":
+                asking.add(content)
+            if content not in streams:
+                streams[content] = token_numbers(line[1:].split(" "))
+    return list(streams), [c in asking for c in streams], list(streams.values())
+
+
+def repeated_in_bucket(key: tuple, packed: pa.Table) -> pa.Table:
+    """Strings that are repeated in a bucket, by its suffix array; and a row without a string, for its number of contents."""
+    host, family, bucket = (k.as_py() for k in key)
+    contents, asking, streams = unpacked(packed)
+    sizes = np.array([len(s) for s in streams])
+    ends, owner, tokens = np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(sizes)), sizes), np.concatenate(streams)
+    order, rank = suffix_order(tokens, ends, MIN_TOKENS)
+    order = order[order + MIN_TOKENS <= ends[order]]
+    # equal strings stand side by side; each counts once a content
+    pairs = np.unique(rank[order] * len(sizes) + owner[order])
+    ranks, n = np.unique(pairs // len(sizes), return_counts=True)
+    least, share = REPEATED[family]
+    alone = packed.column("buckets")[0].as_py() == 1
+    wanted = ranks[(n >= share * len(sizes)) & (n >= (least if alone else 1))]
+    place = np.empty(int(rank.max()) + 1, np.int64)
+    place[rank[order]] = order
+    strings = [None, *string_hashes(tokens, MIN_TOKENS)[place[wanted]].tolist()]
+    rows = len(strings)
+    return pa.table([pa.array([host] * rows, pa.string()), pa.array([family] * rows, pa.int32()), pa.array([bucket] * rows, pa.int32()), pa.array(strings, pa.int64()), pa.array([len(sizes)] * rows, pa.int64()), pa.array([any(asking)] * rows)], names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def held_in_bucket(key: tuple, packed: pa.Table, strings: pa.Table) -> pa.Table:
+    """In how many contents of a bucket each string stands (content null), and in which of those that a text hangs on."""
+    rows: list[tuple] = []
+    if packed.num_rows and strings.num_rows:
+        wanted, counts = np.array(strings.column("string").to_pylist(), np.int64), {}
+        contents, asking, streams = unpacked(packed)
+        for content, asks, tokens in zip(contents, asking, streams, strict=True):
+            for x in np.intersect1d(string_hashes(tokens, MIN_TOKENS), wanted).tolist():
+                counts[x] = counts.get(x, 0) + 1
+                if asks:
+                    rows.append((x, content, 0))
+        rows += [(x, None, n) for x, n in counts.items()]
+    of = [pa.array([k.as_py()] * len(rows), kind) for k, kind in zip(key, (pa.string(), pa.int32()), strict=False)]
+    return pa.table([*of, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names=[c.split()[0] for c in HELD.split(", ")])
 
-def _open_texts(parsed: DataFrame, open_hosts: DataFrame) -> DataFrame:
-    streams = parsed.select("host", "blocks").join(open_hosts, "host", "left_semi")
-    strings, _ = materialize(streams.mapInArrow(_repeat_candidates, "host string, string long, content long").distinct(), "strings")
-    contents = strings.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    held_by = strings.groupBy("host", "string").agg(F.count("*").alias("n"))
-    repeated = held_by.join(contents, "host").where((F.col("n") >= MIN_CONTENTS) & (F.col("n") >= MIN_SHARE * F.col("of"))).select("host", "string")
-    covered = strings.join(repeated, ["host", "string"]).groupBy("host", "content").agg(F.collect_set("string").alias("strings"))
-    covered, _ = materialize(covered, "covered")
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [content_of(stream(found)[0]) for found in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(keys, np.uint64).view(np.int64))], names=[*batch.schema.names, "content"])
 
-    rows = parsed.where("text is null").select("page_id", "url", "host", "blocks")
-    rows = rows.mapInArrow(keyed, T.StructType([*rows.schema.fields, T.StructField("content", T.LongType())]))
-    joined = rows.join(covered, ["host", "content"], "left").select("page_id", "url", "blocks", "strings")
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id, url, text and n_chars of every page."""
+    parsed, _ = materialize(parsed_pages(pages, id_col, url_col, html_col), "pages")
+    covered = covered_contents(parsed)
+    asking = parsed.where("content is not null").join(covered, ["host", "family", "content"], "left")
+    settled = parsed.where("content is null").withColumn("strings", F.lit(None).cast("array<long>"))
+    columns = ["page_id", "url", "family", "outside", "inside", "strings"]
+    rows = settled.select(*columns).unionByName(asking.select(*columns))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [unique_runs(b, set(s or ())) for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            family, outside, inside, strings = (batch.column(i).to_pylist() for i in range(2, 6))
+            texts = [article_text(i, set(s or ())) if f == INSIDE else unique_runs(o, set(s or ())) for f, o, i, s in zip(family, outside, inside, strings, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(finish, T.StructType([parsed.schema["page_id"], parsed.schema["url"], T.StructField("text", T.StringType())]))
+    text = rows.mapInArrow(finish, T.StructType([parsed.schema["page_id"], parsed.schema["url"], T.StructField("text", T.StringType())]))
+    return text.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def covered_contents(parsed: DataFrame) -> DataFrame:
+    """host, family, content and the host's repeated strings in it, of the streams that a text hangs on."""
+    buckets = F.greatest(F.ceil(F.count("*") / BUCKET_PAGES), F.ceil(F.sum("signs") / BUCKET_SIGNS)).cast("int")
+    hosts, _ = materialize(parsed.groupBy("host").agg(buckets.alias("buckets")).where("buckets > 1"), "hosts")
+    packed, key = parcels(parsed, hosts), ["host", "family", "bucket"]
+    found, _ = materialize(packed.groupBy(*key).applyInArrow(repeated_in_bucket, FOUND), "strings")
+    of = found.where("string is null").groupBy("host", "family").agg(F.sum("of").alias("of"), F.bool_or("asks").alias("asks")).where("asks").drop("asks")
+    strings, _ = materialize(found.where("string is not null").select("host", "family", "string").distinct().join(of, ["host", "family"]), "wanted")
+    empty = parsed.select("host", "family", "content", F.lit(None).cast("array<long>").alias("strings")).limit(0)
+    if strings.isEmpty():
+        return empty
+    # each bucket of the host looks for all of its strings
+    looked = found.where("string is null").select(*key).join(strings, ["host", "family"])
+    held, _ = materialize(packed.groupBy(*key).cogroup(looked.groupBy(*key)).applyInArrow(held_in_bucket, HELD), "held")
+    least, share = (F.when(F.col("family") == OUTSIDE, REPEATED[OUTSIDE][i]).otherwise(REPEATED[INSIDE][i]) for i in range(2))
+    counted = held.groupBy("host", "family", "string").agg(F.sum("n").alias("n")).join(of, ["host", "family"])
+    repeated = counted.where((F.col("n") >= least) & (F.col("n") >= share * F.col("of"))).select("host", "family", "string")
+    covered = held.where("content is not null").join(repeated, ["host", "family", "string"])
+    return materialize(covered.groupBy("host", "family", "content").agg(F.collect_set("string").alias("strings")), "covered")[0]

@@ -128,3 +128,61 @@ def test_copies_and_shared_passages_of_open_pages(spark):
     assert got[1] == got[2] == "this page stands alone on its host but under two or more page ids"
     assert got[101] == f"p1 has its own words {passage}" and got[100] == got[200] == got[219] == f"p0 has its own words {passage}"
     assert got[105] == "p5 has its own words"
+
+
+def brute_articles(pages: dict[int, tuple[str, list[tuple[str, bool]]]]) -> dict[int, str]:
+    """pages: host and an article's paragraphs, each a box or plain. Written without the operator: a box goes if strings in it
+    that half of the host's distinct articles, and three, hold cover its words."""
+    grams = lambda w: {tuple(w[i : i + H.MIN_TOKENS]) for i in range(len(w) - H.MIN_TOKENS + 1)}
+    articles: dict[str, set[tuple]] = {}
+    for host, parts in pages.values():
+        words = tuple(w for text, _ in parts for w in text.split())
+        if len(words) >= H.MIN_TOKENS:
+            articles.setdefault(host, set()).add(words)
+    known = {h: [grams(a) for a in found] for h, found in articles.items()}
+    out = {}
+    for k, (host, parts) in pages.items():
+        kept = []
+        for text, box in parts:
+            words, covered = text.split(), set()
+            for i in range(len(words) - H.MIN_TOKENS + 1):
+                n = sum(tuple(words[i : i + H.MIN_TOKENS]) in a for a in known[host])
+                if n >= H.BOX_CONTENTS and n >= H.BOX_SHARE * len(known[host]):
+                    covered |= set(range(i, i + H.MIN_TOKENS))
+            if not box or len(covered) < len(words):
+                kept.append(text)
+        out[k] = " ".join(kept or [text for text, _ in parts])
+    return out
+
+
+def test_articles_go_through_their_host_s_arrays(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    letter, passage = "write to us and get the weekly letter of our house for free", "a passage that all articles of this host cite in full and in plain paragraphs"
+    pages, rows = {}, []
+    for k in range(90):
+        parts = [(" ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(0, 25))) or "x", rnd.random() < 0.2) for _ in range(2)]
+        parts += [(passage, False)] + [(letter, True)] * (rnd.random() < (0.9, 0.4, 0.6)[k % 3]) + [(f"{letter} signed by w{k}", True)] * (rnd.random() < 0.2)
+        rnd.shuffle(parts)
+        pages[k] = (f"host{k % 3}", parts)
+    pages |= {90: ("small", [(letter, True), ("one", False)]), 91: ("small", [(letter, True), ("two", False)]), 92: ("host0", [(letter, True)])}
+    pages |= {k: pages[1] for k in range(100, 140)}
+    for k, (host, parts) in pages.items():
+        body = "".join(f'<div class="zephyr-{k}"><p>{t}</p></div>' if box else f"<p>{t}</p>" for t, box in parts)
+        rows.append((k, f"http://{host}/{k}", f"<nav>{letter}</nav><article class=odd>{body}</article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = brute_articles(pages)
+    # the arrays are whole, or in buckets of a few pages
+    for size in (H.BUCKET_PAGES, 7):
+        monkeypatch.setattr(H, "BUCKET_PAGES", size)
+        assert {r["page_id"]: r["text"] for r in H.extract_main_text(df).collect()} == want, size
+    cut = {host for k, (host, parts) in pages.items() if (letter, True) in parts and letter not in want[k]}
+    assert "host0" in cut and "small" not in cut
+    assert want[90] == f"{letter} one" and want[92] == letter and all(passage in want[k] for k in range(90))
+
+
+def test_names_that_leave_a_block_unsettled():
+    boxes = lambda page: [b[3] for b in H.boxed_blocks(page)[0]]
+    assert boxes('<article class="zephyr"><p>a<div class="zephyr"><p>b<p>c</div>d<section id="post-list">e</section><p class="lede">f</p></article>') == [0, 1, 1, 0, 0, 2]
+    assert boxes('<div class="zephyr">a</div><article><div class="ad zephyr">b</div>c</article>') == [0, 0, 0]

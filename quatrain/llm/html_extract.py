@@ -384,7 +384,8 @@ def repeated_in_bucket(key: tuple, packed: pa.Table) -> pa.Table:
     ranks, n = np.unique(pairs // len(sizes), return_counts=True)
     least, share = REPEATED[family]
     alone = packed.column("buckets")[0].as_py() == 1
-    wanted = ranks[(n >= share * len(sizes)) & (n >= (least if alone else 1))]
+    # rounding must not lose a string that is counted again
+    wanted = ranks[(n + 1e-6 >= share * len(sizes)) & (n >= (least if alone else 1))]
     place = np.empty(int(rank.max()) + 1, np.int64)
     place[rank[order]] = order
     strings = [None, *string_hashes(tokens, MIN_TOKENS)[place[wanted]].tolist()]

@@ -9,9 +9,10 @@ estimate passes CUTOFF. Every coordinate's variance is raised by a floor, so gro
 statistic of zero do not reject texts for a trace of it.
 
 Scale: rows are never gathered by group. Medians and nearest shares come from counts over a fixed grid, and moments are
-partial sums, so a source with a third of all rows sends a few thousand counts a task. Groups with fewer than MIN_GROUP
-texts pool with the small groups of their language, then of all languages. Estimates are broadcast only if there are at
-most BROADCAST_GROUPS of them, and joined otherwise.
+partial sums by cell of that grid, so a source with a third of all rows sends a few thousand rows a task. Vectors are a
+table of their own, five columns wide, that each step reads once. Groups with fewer than MIN_GROUP texts pool with the small
+groups of their language, then of all languages. Estimates are broadcast only if there are at most BROADCAST_GROUPS of them,
+and joined otherwise. Their factors are columns, so plans stay small on the driver whatever the input's size.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages or sources count as empty
 strings; repeated rows count each and get equal rows; very long texts are counted whole; groups too small for an estimate
@@ -23,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quatrain.llm.common import materialize, text_or_empty
+from quatrain.llm.common import discard, materialize, text_or_empty
 
 #: Fixed by the contract of the query.
 MIN_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
@@ -114,25 +115,24 @@ def _vector() -> list[Column]:
     ]
 
 
-def _attach(df: DataFrame, stats: DataFrame, name: str, on: list[str], how: str = "inner") -> DataFrame:
-    """Join per-group numbers to rows; they are broadcast only after their rows have been counted."""
-    stats, _ = materialize(stats, name)
-    if stats.count() <= BROADCAST_GROUPS:
-        stats = F.broadcast(stats)
-    return df.join(stats, on, how)
+def _attach(df: DataFrame, stats: DataFrame, few: bool, on: list[str], how: str = "inner") -> DataFrame:
+    """Join per-group numbers that stand in a table of their own to rows; few of them are broadcast."""
+    return df.join(F.broadcast(stats) if few else stats, on, how)
 
 
-def _grid_quantiles(df: DataFrame, values: dict[str, Column], q: float) -> DataFrame:
-    """Per __g the upper edge of the grid cell that holds the q-quantile of each value; exact counts, fixed grid."""
-    long = df.select("__g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.ceil(v * GRID).alias("c")) for k, v in values.items()])).alias("x"))
-    cells = long.groupBy("__g", "x.k", "x.c").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+def _placed(cells: DataFrame, by: list[str]) -> DataFrame:
+    """Of cells c with n rows each: upto, the rows up to the cell, and all, those of all cells."""
+    running = Window.partitionBy(*by).orderBy("c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return cells.select("*", F.sum("n").over(running).alias("upto"), F.sum("n").over(whole).alias("all"))
 
-    running = Window.partitionBy("__g", "k").orderBy("c")
-    whole = Window.partitionBy("__g", "k")
-    placed = cells.withColumn("upto", F.sum("n").over(running)).withColumn("all", F.sum("n").over(whole))
-    edges = placed.where(F.col("upto") >= q * F.col("all")).groupBy("__g", "k").agg((F.min("c") / F.lit(GRID)).alias("edge"))
-    return edges.groupBy("__g").agg(*[F.max(F.when(F.col("k") == k, F.col("edge"))).alias(k) for k in values])
+
+def _grid_quantiles(df: DataFrame, by: list[str], values: dict[str, Column], q: float) -> DataFrame:
+    """Per by the upper edge of the grid cell that holds the q-quantile of each value; exact counts, fixed grid."""
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.ceil(v * GRID).alias("c")) for k, v in values.items()])).alias("x"))
+    cells = long.groupBy(*by, "x.k", "x.c").agg(F.count("*").alias("n"))
+    beyond = _placed(cells, [*by, "k"]).where(F.col("upto") >= q * F.col("all"))
+    return beyond.groupBy(*by).agg(*[(F.min(F.when(F.col("k") == k, F.col("c"))) / F.lit(GRID)).alias(k) for k in values])
 
 
 def _consistency() -> float:
@@ -144,58 +144,72 @@ def _consistency() -> float:
     return H_SHARE / (1 - math.exp(-x / 2) * (1 + x / 2 + x * x / 8))
 
 
+def _factored(model: DataFrame) -> DataFrame:
+    """__g, m0..m3 and the Cholesky factor l00..l33 of the covariance s00..s33, an entry from those before it, which stand
+    in columns: written out in the s, the last entry alone would have hundreds of terms."""
+
+    def rest(i: int, j: int) -> Column:
+        out = F.col(f"s{j}{i}")
+        for k in range(j):
+            out = out - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        return out
+
+    for j in DIMS:
+        model = model.withColumn(f"l{j}{j}", F.sqrt(F.greatest(rest(j, j), F.lit(FLOORS[j] ** 2 * 1e-3))))
+        if below := range(j + 1, len(DIMS)):
+            model = model.withColumns({f"l{i}{j}": rest(i, j) / F.col(f"l{j}{j}") for i in below})
+    return model.select("__g", *[f"m{i}" for i in DIMS], *[f"l{i}{j}" for i in DIMS for j in range(i + 1)])
+
+
 def _distance() -> Column:
-    """Squared Mahalanobis distance of v0..v3 from m0..m3 under covariance s00..s33, by a Cholesky factor in columns."""
-    low: dict[tuple[int, int], Column] = {}
-    for i in DIMS:
-        for j in range(i + 1):
-            rest = F.col(f"s{j}{i}")
-            for k in range(j):
-                rest = rest - low[i, k] * low[j, k]
-            low[i, j] = F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 * 1e-3))) if i == j else rest / low[j, j]
+    """Squared Mahalanobis distance of v0..v3 from m0..m3 under the covariance of which l00..l33 is the Cholesky factor."""
     solved: list[Column] = []
     for i in DIMS:
         rest = F.col(f"v{i}") - F.col(f"m{i}")
         for k in range(i):
-            rest = rest - low[i, k] * solved[k]
-        solved.append(rest / low[i, i])
+            rest = rest - F.col(f"l{i}{k}") * solved[k]
+        solved.append(rest / F.col(f"l{i}{i}"))
     return sum((x * x for x in solved[1:]), solved[0] * solved[0])
 
 
-def _estimates(vectors: DataFrame) -> DataFrame:
-    """Per __g: m0..m3 and s00..s33 of the minimum-covariance-determinant estimate. vectors: __g, v0..v3."""
+def _estimates(vectors: DataFrame) -> tuple[DataFrame, bool]:
+    """Per __g: m0..m3 and l00..l33 of the minimum-covariance-determinant estimate, and whether they are few enough to be
+    broadcast. vectors: __g, v0..v3, a table that is read once for the medians, the deviations and each step."""
     names = [f"v{i}" for i in DIMS]
-    medians = _grid_quantiles(vectors, {f"m{i}": F.col(n) for i, n in enumerate(names)}, 0.5)
-    centred = _attach(vectors, medians, "medians", ["__g"])
-    spreads = _grid_quantiles(centred, {f"d{i}": F.abs(F.col(n) - F.col(f"m{i}")) for i, n in enumerate(names)}, 0.5)
-    spreads = spreads.select("__g", *[(F.pow(1.4826 * F.col(f"d{j}"), 2) + FLOORS[j] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in DIMS for j in range(i, 4)])
-    model = medians.join(spreads, "__g")
+    middle = [f"m{i}" for i in DIMS]
+    medians, at = materialize(_grid_quantiles(vectors, ["__g"], {m: F.col(n) for m, n in zip(middle, names, strict=True)}, 0.5), "medians")
+    few = medians.count() <= BROADCAST_GROUPS
+    centred = _attach(vectors, medians, few, ["__g"])
+    spreads = _grid_quantiles(centred, ["__g", *middle], {f"d{i}": F.abs(F.col(n) - F.col(f"m{i}")) for i, n in enumerate(names)}, 0.5)
+    model = spreads.select("__g", *middle, *[(F.pow(1.4826 * F.col(f"d{j}"), 2) + FLOORS[j] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in DIMS for j in range(i, 4)])
     scale = _consistency()
+    off = [F.col(n) - F.col(m) for m, n in zip(middle, names, strict=True)]
+    moments = {f"a{i}": off[i] for i in DIMS} | {f"p{i}{j}": off[i] * off[j] for i in DIMS for j in range(i, 4)}
     for step in range(STEPS):
-        measured = _attach(vectors, model, f"model{step}", ["__g"]).withColumn("__d", F.log1p(_distance()))
-        edges = _grid_quantiles(measured, {"edge": F.col("__d")}, H_SHARE)
-        near = _attach(measured, edges, f"edges{step}", ["__g"]).where(F.ceil(F.col("__d") * GRID) <= F.col("edge") * GRID + 0.5)
-        off = [F.col(n) - F.col(f"m{i}") for i, n in enumerate(names)]
-        sums = near.groupBy("__g").agg(
-            F.count("*").alias("n"),
-            *[F.first(f"m{i}").alias(f"c{i}") for i in DIMS],
-            *[F.sum(off[i]).alias(f"a{i}") for i in DIMS],
-            *[F.sum(off[i] * off[j]).alias(f"p{i}{j}") for i in DIMS for j in range(i, 4)],
+        model, now = materialize(_factored(model), f"model{step}")
+        discard(at)
+        at = now
+        cells = (
+            _attach(vectors, model, few, ["__g"])
+            .groupBy("__g", F.ceil(F.log1p(_distance()) * GRID).alias("c"))
+            .agg(F.count("*").alias("n"), *[F.first(m).alias(m) for m in middle], *[F.sum(v).alias(k) for k, v in moments.items()])
         )
+        near = _placed(cells, ["__g"]).where(F.col("upto") - F.col("n") < H_SHARE * F.col("all"))
+        sums = near.groupBy("__g").agg(F.sum("n").alias("n"), *[F.first(m).alias(f"c{i}") for i, m in enumerate(middle)], *[F.sum(k).alias(k) for k in moments])
         mean = [F.col(f"a{i}") / F.col("n") for i in DIMS]
         model = sums.select(
             "__g",
             *[(F.col(f"c{i}") + mean[i]).alias(f"m{i}") for i in DIMS],
             *[(scale * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in DIMS for j in range(i, 4)],
         )
-    return model
+    model, _ = materialize(_factored(model), "estimates")
+    discard(at)
+    return model, few
 
 
 def _pooled(df: DataFrame) -> DataFrame:
     """Column __g: language and source, or the pool of the language's small sources, or the pool of all the rest."""
     own = df.where("not base_failed").groupBy("__lang", "__source").agg(F.count("*").alias("__n"))
-    from pyspark.sql import Window
-
     small = F.sum(F.when(F.col("__n") < MIN_GROUP, F.col("__n")).otherwise(0)).over(Window.partitionBy("__lang"))
     keys = own.withColumn("__s", small).select(
         "__lang",
@@ -205,7 +219,8 @@ def _pooled(df: DataFrame) -> DataFrame:
         .otherwise(F.lit("[]"))
         .alias("__g"),
     )
-    return _attach(df, keys, "groups", ["__lang", "__source"], "left")
+    keys, _ = materialize(keys, "groups")
+    return _attach(df, keys, keys.count() <= BROADCAST_GROUPS, ["__lang", "__source"], "left")
 
 
 def quality_verdicts(
@@ -223,8 +238,9 @@ def quality_verdicts(
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     stats, _ = materialize(stats.withColumn("base_failed", failed), "statistics")
     grouped = _pooled(stats).select(*held, *stats.columns[len(held) + 2 :], "__g", *[v.alias(f"v{i}") for i, v in enumerate(_vector())])
-    vectors = grouped.where("not base_failed").select("__g", *[f"v{i}" for i in DIMS])
-    judged = _attach(grouped, _estimates(vectors), "estimates", ["__g"], "left")
+    vectors, at = materialize(grouped.where("not base_failed").select("__g", *[f"v{i}" for i in DIMS]), "vectors")
+    judged = _attach(grouped, *_estimates(vectors), ["__g"], "left")
+    discard(at)
     out = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUTOFF)
     return out.select(

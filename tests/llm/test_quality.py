@@ -117,3 +117,15 @@ def test_no_python_in_plans(spark):
     df = spark.createDataFrame(fixture(1)[:50], "doc_id long, text string, lang string, source string, n_words int, kept string, distance double")
     plan = Q.text_statistics(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_driver_plans_little(spark):
+    """Plans and passes are what the driver's memory goes to: 1.3 GB of it once, for tables of any size."""
+    df = spark.createDataFrame(fixture(2)[:200], "doc_id long, text string, lang string, source string, n_words int, kept string, distance double")
+    spark.sparkContext.setJobGroup("verdicts", "")
+    try:
+        plan = Q.quality_verdicts(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(plan) < 8_000
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("verdicts")) < 45
